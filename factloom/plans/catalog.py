@@ -1,22 +1,538 @@
-"""Registered queries of the engine's own operators."""
+"""Registered queries of the engine's own operators, each with the DuckDB statement of the same result where SQL has one."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from factloom.operators import triples
+from factloom.functions import dist, text
+from factloom.operators import atoms, chunk, extract, kb, metrics, planner, reasoner, triples, vectors
+from factloom.plans import relational
+from factloom.plans.sqltext import CONCEPTS, FLAT, REASON, SCORE, SENTENCES, STATEMENTS, TRIPLES, UNITS, YES_NO, canon, normal, normal_particles, plural, singular
 from factloom.session import table
+from factloom.streaming import ingest
 
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
 
-def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    return triples.relation_counts(triples.eligible(table(spark, sf, "conceptnet_assertions"), 2.0))
+
+def query(sql: str | None = None):
+    def register(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    """Who is at region_1: suppliers and customers by the two-premise location rule."""
+    return _QUERIES["rule_join_two_premise"](spark, sf)
+
+
+# Text.
+
+
+@query(f"select doc_id, {normal('text')} as norm from documents")
+def normalize_text(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", text.normalize_text(F.col("text")).alias("norm"))
+
+
+@query("""
+with w as (select distinct unnest(string_split(lower(p_name), ' ')) as word from part), v as (select word, {p} as plural0 from w)
+select word, plural0 as plural, {s} as back from v
+""".format(p=plural("word"), s=singular("plural0")))
+def pluralize_roundtrip(spark, sf):
+    w = table(spark, sf, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("word")).distinct()
+    return w.withColumn("plural", text.pluralize(F.col("word"))).withColumn("back", text.singularize(F.col("plural")))
+
+
+@query(f"""
+select assertion_id, {canon("coalesce(regexp_extract(start_uri, '^/c/[a-z]+/([^/]*)', 1), '')")} as symbol,
+  {canon("coalesce(regexp_extract(start_uri, '^/c/[a-z]+/([^/]*)', 1), '')", False)} as plain from conceptnet_assertions
+""")
+def canonical_symbols(spark, sf):
+    term = F.coalesce(F.regexp_extract("start_uri", "^/c/[a-z]+/([^/]*)", 1), F.lit(""))
+    return table(spark, sf, "conceptnet_assertions").select("assertion_id", text.canonical_symbol(term).alias("symbol"), text.canonical_symbol(term, False).alias("plain"))
+
+
+@query(f"with {SENTENCES} select doc_id, cast(pos as int) as pos, sentence from sentences")
+def sentence_split(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.posexplode(text.split_sentences(F.col("text"))).alias("pos", "sentence"))
+
+
+@query(UNITS)
+def sentence_units(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.posexplode(chunk.sentence_units(F.col("text"))).alias("unit_no", "unit"))
+
+
+@query()
+def document_chunks(spark, sf):
+    return chunk.document_chunks(table(spark, sf, "documents"))
+
+
+@query()
+def paragraph_chunks(spark, sf):
+    return chunk.document_paragraphs(table(spark, sf, "documents"))
+
+
+@query()
+def chunk_batches(spark, sf):
+    units = chunk.sentence_units(F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", F.posexplode(chunk.batches(units)).alias("batch_no", "batch"))
+
+
+@query(CONCEPTS)
+def extract_concepts(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", text.extract_concepts(F.col("text")).alias("concepts"))
+
+
+@query(f"select case_id, coalesce({YES_NO}, false) as yes_no from benchmark_cases")
+def yes_no_questions(spark, sf):
+    return table(spark, sf, "benchmark_cases").select("case_id", F.coalesce(text.is_yes_no(F.col("question")), F.lit(False)).alias("yes_no"))
+
+
+@query(r"""
+select p_partkey, lower(regexp_replace(regexp_replace(regexp_replace(trim(p_name), '([a-z0-9])([A-Z])', '\1_\2', 'g'), '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) as snake,
+  replace(lower(trim(p_name)), ' ', '_') as slug,
+  array_to_string([upper(x[1]) || x[2:] for x in string_split_regex(p_name, '[^A-Za-z0-9]+') if x <> ''], '') as pascal
+from part
+""")
+def symbol_styles(spark, sf):
+    n = F.col("p_name")
+    return table(spark, sf, "part").select("p_partkey", text.snake_symbol(n).alias("snake"), text.slug(n).alias("slug"), text.pascal_symbol(n).alias("pascal"))
+
+
+# Statements.
+
+
+def _statements(spark, sf):
+    rows = table(spark, sf, "vector_records").select("record_id", F.posexplode("pln").alias("pos", "stmt"))
+    return rows.withColumn("stmt", atoms.collapse_space(F.col("stmt")))
+
+
+@query(f"with {STATEMENTS} select record_id, cast(pos as int) as pos, {REASON} as reason from tidy where stmt <> ''")
+def statement_validate(spark, sf):
+    return atoms.validate(_statements(spark, sf)).select("record_id", "pos", "reason")
+
+
+@query(f"""
+with {STATEMENTS}, b as (select stmt, regexp_extract(stmt, '^\\(:\\s+[^\\s()]+\\s+(\\([^()]+\\))\\s+\\(', 1) as body from tidy)
+select regexp_extract(body, '^{FLAT}$', 1) as head, cast(len(list_filter(string_split_regex(trim(regexp_extract(body, '^{FLAT}$', 2)), '\\s+'), lambda x: x <> '')) as int) as arity, count(*) as n
+from b where regexp_matches(body, '^{FLAT}$') group by 1, 2
+""")
+def statement_parse(spark, sf):
+    return kb.parse_statements(_statements(spark, sf)).where("kind = 'fact'").groupBy("head", "arity").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""
+with {STATEMENTS} select record_id, cast(pos as int) as pos from tidy
+where case when contains(stmt, 'Implication') then contains(stmt, '(Premises') and contains(stmt, '(Conclusions') else not regexp_matches(stmt, '\\$[A-Za-z_][A-Za-z0-9_]*') end
+""")
+def keep_statements(spark, sf):
+    return _statements(spark, sf).where(atoms.keep_statement(F.col("stmt"))).select("record_id", "pos")
+
+
+@query(f"""
+with {STATEMENTS}, r as (
+  select record_id, pos, stmt, regexp_extract_all(regexp_extract(stmt, '\\(Premises\\s+((?:\\([^()]+\\)\\s*)+)\\)', 1), '\\([^()]+\\)') as p,
+    regexp_extract(stmt, '\\(Premises\\s+(?:\\([^()]+\\)\\s*)+\\)', 0) as whole from tidy where contains(stmt, 'Implication')
+), k as (select *, list_filter(p, lambda x: not regexp_matches(x, '^\\(IsA\\s+[$?]\\S+\\s+\\S+\\)$')) as kept from r)
+select record_id, cast(pos as int) as pos, case when len(p) > 1 and len(kept) > 0 and len(kept) < len(p) then replace(stmt, whole, '(Premises ' || array_to_string(kept, ' ') || ')') else stmt end as pruned from k
+""")
+def prune_premises(spark, sf):
+    rules = _statements(spark, sf).where(F.contains("stmt", F.lit("Implication")))
+    return rules.select("record_id", "pos", atoms.prune_sortal_premises(F.col("stmt")).alias("pruned"))
+
+
+@query(f"""
+with {STATEMENTS}, f as (
+  select 'fact' as kind, unnest(regexp_extract_all(stmt, '\\(:\\s+[^\\s()]+\\s+(\\([^()]+\\))\\s+\\((?:STV|PointMass|ParticleFromNormal|ParticleFromPairs)', 1)) as a from tidy
+  union all
+  select 'conclusion', unnest(flatten([regexp_extract_all(b, '\\([^()]+\\)') for b in regexp_extract_all(stmt, '\\(Conclusions\\s+((?:\\([^()]+\\)\\s*)+)\\)', 1)])) from tidy
+)
+select kind, regexp_extract(a, '^\\(([A-Za-z][A-Za-z0-9_]*)', 1) as head, count(*) as n from f where regexp_matches(a, '^{FLAT}$') and not starts_with(a, '(Implication') group by 1, 2
+""")
+def signatures(spark, sf):
+    s = _statements(spark, sf)
+    each = s.select(F.lit("fact").alias("kind"), F.explode(atoms.fact_atoms(F.col("stmt"))).alias("a")).unionByName(s.select(F.lit("conclusion").alias("kind"), F.explode(atoms.conclusion_atoms(F.col("stmt"))).alias("a")))
+    return each.groupBy("kind", F.regexp_extract("a", r"^\(([A-Za-z][A-Za-z0-9_]*)", 1).alias("head")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""
+with {STATEMENTS}, v as (select try_cast(regexp_extract(stmt, '\\(STV\\s+([0-9.eE+-]+)\\s+([0-9.eE+-]+)\\s*\\)\\s*\\)$', 1) as double) as s,
+  try_cast(regexp_extract(stmt, '\\(STV\\s+([0-9.eE+-]+)\\s+([0-9.eE+-]+)\\s*\\)\\s*\\)$', 2) as double) as c from tidy)
+select s as strength, count(*) as n, round(avg(c), 6) as mean_confidence from v where s is not null group by 1
+""")
+def truth_values(spark, sf):
+    tv = _statements(spark, sf).select(atoms.truth_of(F.col("stmt")).alias("tv")).where("tv.s is not null")
+    return tv.groupBy(F.col("tv.s").alias("strength")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("tv.c"), 6).alias("mean_confidence"))
+
+
+@query(f"""
+with {STATEMENTS}, w as (select record_id, pos, regexp_extract_all(stmt, '[A-Za-z_][A-Za-z0-9_]*') as l from tidy)
+select record_id, cast(pos as int) as pos from w where len(list_filter(l, lambda x: contains(x, 'of_the') or contains(x, 'in_culture') or (length(x) >= 32 and contains(x, '_')) or length(regexp_replace(x, '[^_]', '', 'g')) >= 5)) > 0
+""")
+def overliteral_gate(spark, sf):
+    return _statements(spark, sf).where(atoms.overliteral(F.col("stmt"))).select("record_id", "pos")
+
+
+# Background triples.
+
+
+@query(f"with {TRIPLES} select assertion_id, load_batch, predicate, source, target, weight from eligible")
+def triples_eligible(spark, sf):
+    return triples.eligible(table(spark, sf, "conceptnet_assertions")).select("assertion_id", "load_batch", "predicate", "source", "target", "weight")
+
+
+@query(f"with {TRIPLES} select predicate, count(*) as n from eligible group by 1")
+def relation_counts(spark, sf):
+    return triples.relation_counts(triples.eligible(table(spark, sf, "conceptnet_assertions")))
+
+
+@query(f"with {TRIPLES} select distinct predicate, source, target from eligible where {SCORE} < 0.25")
+def hash_sample(spark, sf):
+    kept = triples.hash_sample(triples.eligible(table(spark, sf, "conceptnet_assertions")), 25.0)
+    return kept.select("predicate", "source", "target").distinct()
+
+
+@query(f"""
+with {TRIPLES}, f as (select predicate, source, target, arg_min(weight, assertion_id * 1000 + load_batch) as weight, arg_min(relation, assertion_id * 1000 + load_batch) as relation from eligible group by 1, 2, 3)
+select '(: cnet_' || lower(predicate) || '_' || substr(md5(predicate || '|' || source || '|' || target), 1, 10) || ' (' || predicate || ' ' || source || ' ' || target || ') (STV 1.0 ' || printf('%.4f', least(weight / (weight + 0.2), 0.9999)) || '))' as atom,
+  case when relation = '/r/HasProperty' then source || ' is ' || target else replace(source, '_', ' ') || case predicate when 'IsA' then ' is a kind of ' when 'PartOf' then ' is part of ' when 'UsedFor' then ' is used for '
+    when 'CapableOf' then ' is capable of ' when 'AtLocation' then ' is located at ' when 'HasA' then ' has a ' else ' is made of ' end || replace(target, '_', ' ') end as nl
+from f
+""")
+def background_export(spark, sf):
+    rows = triples.eligible(table(spark, sf, "conceptnet_assertions")).withColumn("seq", F.col("assertion_id") * 1000 + F.col("load_batch"))
+    first = triples.dedupe_first(rows.select("predicate", "source", "target", "weight", "relation", "seq"))
+    return triples.emit(first).select("atom", "nl")
+
+
+@query(f"""
+with {TRIPLES}, f as (
+  select source_file, predicate, source, target, coalesce(predicate is not null and source is not null and target is not null and weight >= 2.0 and not isnan(weight), false) as ok from t0
+), k as (select *, ok and coalesce({SCORE} < 0.5, false) as kept from f)
+select source_file, cast(count(*) as bigint) as scanned_rows, cast(count(*) filter (ok) as bigint) as eligible_row_count, cast(count(*) filter (kept) as bigint) as sampled_row_count,
+  count(distinct case when kept then predicate || ' ' || source || ' ' || target end) as deduped_atom_count from k group by 1
+""")
+def export_manifest(spark, sf):
+    return triples.manifest(table(spark, sf, "conceptnet_assertions"), 2.0, 50.0, 42)
+
+
+@query("""
+select batch_no, count(*) as lines, count(*) filter (ok) as records from (
+  select batch_no, coalesce(case when json_valid(line) and json_type(line) = 'OBJECT' then json_extract_string(line, '$.nl') is not null and json_type(line, '$.pln') = 'ARRAY' end, false) as ok from background_jsonl)
+group by 1
+""")
+def background_scan(spark, sf):
+    r = F.from_json("line", "nl string, pln array<string>, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    rows = table(spark, sf, "background_jsonl").withColumn("r", F.when(F.trim("line").startswith("{"), r))
+    good = F.coalesce(F.col("r._bad").isNull() & F.col("r.nl").isNotNull() & F.col("r.pln").isNotNull(), F.lit(False))
+    return rows.groupBy("batch_no").agg(F.count(F.lit(1)).alias("lines"), F.count_if(good).alias("records"))
+
+
+# Lookup and rules.
+
+_FACTS = f"""
+{STATEMENTS}, facts as (
+  select record_id * 1000 + pos as seq, stmt, regexp_extract(stmt, '^\\(:\\s+[^\\s()]+\\s+(\\([^()]+\\))\\s+\\(STV\\s+[^()]*\\)\\s*\\)$', 1) as body from tidy
+), gs as (
+  select item_id * 1000 + pos as goal_id, regexp_extract(trim(regexp_replace(raw, '\\s+', ' ', 'g')), '^\\(:\\s+[^\\s()]+\\s+(\\([^()]+\\))\\s+\\(', 1) as body
+  from (select item_id, unnest(atoms) as raw, unnest(range(len(atoms))) as pos from ingest_item_results)
+), goals as (select * from gs where body <> '')
+"""
+
+
+def _goals_and_facts(spark, sf):
+    items = table(spark, sf, "ingest_item_results").select("item_id", F.posexplode("atoms").alias("pos", "stmt"))
+    body = F.regexp_extract(atoms.collapse_space(F.col("stmt")), r"^\(:\s+[^\s()]+\s+(\([^()]+\))\s+\(", 1)
+    goals = items.select((F.col("item_id") * 1000 + F.col("pos")).alias("goal_id"), body.alias("b")).where("b <> ''")
+    goals = goals.select("goal_id", F.concat(F.lit("(: $prf "), "b", F.lit(" $tv)")).alias("goal"))
+    facts = kb.parse_statements(_statements(spark, sf)).withColumn("seq", F.col("record_id") * 1000 + F.col("pos"))
+    return goals, facts.where(atoms.body_of(F.col("stmt")).isNotNull())
+
+
+@query(f"with {_FACTS} select goal_id, arg_min(stmt, seq) as proof from goals left join facts on facts.body = goals.body and not regexp_matches(goals.body, '[$?]') group by 1")
+def fact_lookup_exact(spark, sf):
+    return kb.lookup_exact(*_goals_and_facts(spark, sf))
+
+
+def _canon_key(body: str) -> str:
+    return f"case when regexp_matches({body}, '^{FLAT}$') then array_to_string(list_concat([regexp_extract({body}, '^{FLAT}$', 1)], [{canon('a')} for a in string_split_regex(trim(regexp_extract({body}, '^{FLAT}$', 2)), '\\s+') if a <> '']), ' ') end"
+
+
+@query(f"""
+with {_FACTS}, fk as (select seq, stmt, {_canon_key('body')} as k from facts), gk as (select goal_id, case when not regexp_matches(body, '[$?]') then {_canon_key('body')} end as k from goals)
+select goal_id, arg_min(stmt, seq) as proof from gk left join fk using (k) group by 1
+""")
+def fact_lookup_canonical(spark, sf):
+    return kb.lookup_canonical(*_goals_and_facts(spark, sf))
+
+
+LOCATION_RULE = "(: at_region (Implication (Premises (AtLocation $x $n) (PartOf $n $r)) (Conclusions (AtLocation $x $r))) (STV 1.0 0.9))"
+_LOCATED = "(select 'supplier_' || s_suppkey as x, s_nationkey as n from supplier union all select 'customer_' || c_custkey, c_nationkey from customer)"
+
+
+@query(f"select x, 'region_' || n_regionkey as place, 0.9::double as confidence from {_LOCATED} l join nation on n = n_nationkey")
+def rule_join_two_premise(spark, sf):
+    facts = relational.locations(spark, sf).unionByName(relational.nations(spark, sf))
+    out = reasoner.apply_rules(facts, reasoner.parse_rule(LOCATION_RULE))
+    return out.select(F.get("args", F.lit(0)).alias("x"), F.get("args", F.lit(1)).alias("place"), F.round("c", 6).alias("confidence"))
+
+
+@query(f"select x as who from {_LOCATED} l join nation on n = n_nationkey where n_regionkey = 1")
+def goal_answers(spark, sf):
+    facts = relational.locations(spark, sf).unionByName(relational.nations(spark, sf))
+    closed = reasoner.fixpoint(facts, reasoner.relevant(reasoner.parse_rule(LOCATION_RULE), "AtLocation"))
+    return reasoner.answers(closed, "(: $prf (AtLocation $who region_1) $tv)").select(F.col("$who").alias("who"))
+
+
+@query("""
+with recursive e as (select distinct p_partkey % 97 as a, (p_partkey % 97 * 7 + 1) % 97 as b from part),
+c as (select a, b from e union select c.a, e.b from c join e on c.b = e.a)
+select 'p_' || a as a, 'p_' || b as b from c
+""")
+def rule_transitive_closure(spark, sf):
+    p = F.col("p_partkey") % 97
+    edges = table(spark, sf, "part").select(p.alias("a"), ((p * 7 + 1) % 97).alias("b")).distinct()
+    name = lambda c: F.concat(F.lit("p_"), F.col(c).cast("string"))
+    facts = edges.select(F.lit("Reaches").alias("head"), F.array(name("a"), name("b")).alias("args"), F.lit(1.0).alias("s"), F.lit(1.0).alias("c"))
+    rule = "(: trans (Implication (Premises (Reaches $x $y) (Reaches $y $z)) (Conclusions (Reaches $x $z))) (STV 1.0 1.0))"
+    out = reasoner.fixpoint(facts, reasoner.parse_rule(rule))
+    return out.select(F.get("args", F.lit(0)).alias("a"), F.get("args", F.lit(1)).alias("b"))
+
+
+@query("select 'customer_' || c_custkey as who from customer where c_custkey not in (select o_custkey from orders)")
+def negation_as_failure(spark, sf):
+    facts = relational.classes(spark, sf).unionByName(relational.orders_by(spark, sf))
+    rule = reasoner.Rule("idle", (reasoner.Atom("IsA", ("$p", "$k")), reasoner.Atom("Ordered", ("$p", "something"), True)), (reasoner.Atom("Idle", ("$p",)),))
+    return reasoner.apply_rules(facts, [rule], closed_world=True).select(F.get("args", F.lit(0)).alias("who"))
+
+
+@query("select 'customer_' || c_custkey as who from customer where c_acctbal < 0 and c_custkey in (select o_custkey from orders)")
+def negation_explicit(spark, sf):
+    poor = table(spark, sf, "customer").where("c_acctbal < 0").select(F.lit("Not:Solvent").alias("head"), F.array(relational.named("customer", "c_custkey")).alias("args"), F.lit(1.0).alias("s"), F.lit(1.0).alias("c"))
+    rule = "(: risky (Implication (Premises (Ordered $p something) (Not (Solvent $p))) (Conclusions (Risky $p))) (STV 1.0 1.0))"
+    return reasoner.apply_rules(poor.unionByName(relational.orders_by(spark, sf)), reasoner.parse_rule(rule)).select(F.get("args", F.lit(0)).alias("who"))
+
+
+@query("select distinct 'customer_' || c_custkey as who from customer where c_mktsegment in ('BUILDING', 'MACHINERY')")
+def disjunctive_premise(spark, sf):
+    rule = "(: heavy (Implication (Premises (Or (IsA $p building) (IsA $p machinery))) (Conclusions (Heavy $p))) (STV 1.0 1.0))"
+    return reasoner.apply_rules(relational.classes(spark, sf), reasoner.parse_rule(rule)).select(F.get("args", F.lit(0)).alias("who"))
+
+
+# Goals.
+
+
+def _nation_goals(spark, sf):
+    """Three goals for each nation: an open one and two ground ones."""
+    who = relational.named("nation", "n_nationkey")
+    goals = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(r).alias("r")) for k, r in enumerate(("$r", "region_0", "region_3"))])
+    n = table(spark, sf, "nation").select("n_nationkey", F.inline(goals))
+    return n.select(
+        (F.col("n_nationkey") * 10 + F.col("k")).alias("goal_id"),
+        F.concat(F.lit("Is "), who, F.lit(" part of a region?")).alias("question"),
+        F.concat(F.lit("(: $prf (PartOf "), who, F.lit(" "), "r", F.lit(") $tv)")).alias("goal"),
+    )
+
+
+def _nation_signatures(spark, sf):
+    return relational.nations(spark, sf).select("head", "args", F.lit("fact").alias("kind"))
+
+
+_NATION_SCORES = """
+select n_nationkey * 10 + k as goal_id, 'Is nation_' || n_nationkey || ' part of a region?' as question, '(: $prf (PartOf nation_' || n_nationkey || ' ' || r || ') $tv)' as goal,
+  6 + case when k > 0 then 3 else 0 end + case when r = 'region_' || n_regionkey then 2 else 0 end as score
+from nation, (values (0, '$r'), (1, 'region_0'), (2, 'region_3')) v(k, r)
+"""
+
+
+@query(_NATION_SCORES)
+def query_candidate_score(spark, sf):
+    return planner.score_goals(_nation_goals(spark, sf), _nation_signatures(spark, sf))
+
+
+@query(f"with s as ({_NATION_SCORES}) select goal_id, question, goal, score, row_number() over (partition by question order by score desc, goal_id) as rank from s")
+def query_plan_rank(spark, sf):
+    return planner.rank_goals(planner.score_goals(_nation_goals(spark, sf), _nation_signatures(spark, sf)))
+
+
+@query("select n_nationkey * 10 as goal_id, '(: $prf (PartOf nation_' || n_nationkey || ' region_' || n_regionkey || ') $tv)' as candidate, 3 + 5 as score from nation")
+def grounded_fallback(spark, sf):
+    return planner.grounded_fallback(_nation_goals(spark, sf), _nation_signatures(spark, sf))
+
+
+@query("""
+select n_nationkey * 10 + k as goal_id, '(: $prf (PartOf nation_' || m || ' region_' || n_regionkey2 || ') $tv)' as candidate,
+  case when n_nationkey = m then 4 else 1 end + case when r = 'region_' || n_regionkey2 then 4 else 1 end as score
+from nation, (values (1, 'region_0'), (2, 'region_3')) v(k, r), (select n_nationkey as m, n_regionkey as n_regionkey2 from nation) o
+""")
+def aligned_fallback(spark, sf):
+    return planner.aligned_fallback(_nation_goals(spark, sf), _nation_signatures(spark, sf))
+
+
+@query("select n_nationkey * 10 + k as goal_id, case when k = 0 then 'weakly_aligned' else 'well_aligned' end as status from nation, (values (0), (1), (2)) v(k)")
+def query_status(spark, sf):
+    return _nation_goals(spark, sf).select("goal_id", atoms.query_status(F.col("goal"), F.col("question"), F.lit(False)).alias("status"))
+
+
+@query()
+def question_goals(spark, sf):
+    return table(spark, sf, "benchmark_cases").select("case_id", planner.question_goal(F.col("question")).alias("goal"), text.question_constants(F.col("question")).alias("constants"))
+
+
+# Vectors.
+
+
+@query("""
+with s as (
+  select q.vec_id as query_id, p.vec_id, round(list_cosine_similarity(q.embedding::double[], p.embedding::double[]), 12) as score
+  from (select * from embeddings where vec_id % 100 = 0) q, embeddings p
+), r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, vec_id, round(score, 6) as score, rank from r where rank <= 10
+""")
+def vector_topk(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return vectors.top_k(e, e.where(F.col("vec_id") % 100 == 0), 10).withColumn("score", F.round("score", 6))
+
+
+@query("select source, count(*) as n from vector_records group by 1")
+def count_by_source(spark, sf):
+    return table(spark, sf, "vector_records").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select record_id from vector_records where source is distinct from 'conceptnet'")
+def delete_by_source(spark, sf):
+    return kb.delete_by_source(table(spark, sf, "vector_records"), "conceptnet").select("record_id")
+
+
+@query("with f as (select unnest(pln) as stmt, record_id from vector_records), d as (select stmt, min(record_id) as record_id from f group by 1) select stmt, record_id from d order by record_id desc, stmt desc limit 50")
+def context_last50(spark, sf):
+    rows = table(spark, sf, "vector_records").select(F.explode("pln").alias("stmt"), "record_id")
+    return vectors.last_distinct(rows, "stmt", "record_id", 50)
+
+
+# Distributions.
+
+
+@query("""
+select l_orderkey, round(sum(l_quantity * l_extendedprice) / sum(l_extendedprice), 6) as mean, round(sum(case when l_quantity > 25 then l_extendedprice else 0 end) / sum(l_extendedprice), 6) as above
+from lineitem group by 1
+""")
+def weighted_distribution(spark, sf):
+    pairs = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("w"))).alias("p"))  # an order has a few lines
+    d = dist.normalised(F.col("p"))
+    return pairs.select("l_orderkey", F.round(dist.mean(d), 6).alias("mean"), F.round(dist.greater_than(d, F.lit(25.0)), 6).alias("above"))
+
+
+@query("select p_partkey, round(({}) / 16.0, 6) as above, round(p_retailprice * p_size, 4) as area from part".format(" + ".join(f"case when p_retailprice + p_size * ({z!r})::double > 1000 then 1 else 0 end" for z in normal_particles(16))))
+def normal_distribution(spark, sf):
+    d = dist.from_normal(F.col("p_retailprice"), F.col("p_size"))
+    area = dist.mean(dist.map2_dist(dist.point_mass(F.col("p_retailprice")), dist.point_mass(F.col("p_size")), lambda a, b: a * b))
+    return table(spark, sf, "part").select("p_partkey", F.round(dist.greater_than(d, F.lit(1000.0)), 6).alias("above"), F.round(area, 4).alias("area"))
+
+
+# Metrics.
+
+
+def _results(spark, sf):
+    e = table(spark, sf, "events")
+    return e.select(
+        (F.col("user_id") % 3).alias("parser"),
+        (F.col("event_id") % 2 == 0).alias("proof_found"),
+        F.when(F.col("event_id") % 5 > 0, F.col("event_id") % 3 == 0).alias("expected"),
+        F.when(F.col("event_id") % 7 == 0, "no_query").when(F.col("event_id") % 7 == 1, "weakly_aligned").otherwise("well_aligned").alias("status"),
+        (F.col("event_id") % 11 == 0).alias("fallback_used"),
+        F.col("value").alias("seconds"),
+        F.when(F.col("event_id") % 4 > 0, F.col("value") * 2).alias("ingest_seconds"),
+    )
+
+
+_RESULTS = """
+r as (select user_id % 3 as parser, event_id % 2 = 0 as proof_found, case when event_id % 5 > 0 then event_id % 3 = 0 end as expected,
+  case when event_id % 7 = 0 then 'no_query' when event_id % 7 = 1 then 'weakly_aligned' else 'well_aligned' end as status, event_id % 11 = 0 as fallback_used, value as seconds,
+  case when event_id % 4 > 0 then value * 2 end as ingest_seconds from events)
+"""
+
+
+@query(f"""
+with {_RESULTS} select parser, count(*) as cases, count(*) filter (proof_found = expected) as correct, count(expected) as correct_known, count(*) filter (proof_found) as proof_found,
+  count(*) filter (status = 'no_query') as no_query, count(*) filter (status = 'weakly_aligned') as weakly_aligned, count(*) filter (fallback_used) as fallback_used,
+  round(avg(seconds), 4) as avg_seconds, round(median(seconds), 4) as median_seconds from r group by 1
+""")
+def parser_summary(spark, sf):
+    return metrics.parser_summary(_results(spark, sf))
+
+
+@query(f"""
+with {_RESULTS} select parser, avg(proof_found::int) as proof_rate, avg(fallback_used::int) as fallback_rate, avg((status = 'no_query')::int) as no_query_rate, avg(fallback_used::int) filter (proof_found) as proxy_rate,
+  median(seconds) as median_seconds, median(ingest_seconds) as median_ingest_seconds from r group by 1
+""")
+def analysis_summary(spark, sf):
+    return metrics.analysis_summary(_results(spark, sf))
+
+
+@query("""
+with t as (select unnest(['smoke', 'entailmentbank', 'abstracts']) as suite, unnest([5, 3, 6]) as n),
+r as (select b.case_id, b.suite, n, row_number() over (partition by b.suite order by case_id) as k from benchmark_cases b join t using (suite))
+select case_id, suite from r where k <= n
+""")
+def quick_cases(spark, sf):
+    return metrics.select_cases(table(spark, sf, "benchmark_cases"), "combined", quick=True).select("case_id", "suite")
+
+
+@query("""
+select s.parser, count(*) as items, count(*) filter (status = 'failed') as failed, sum(chunk_count) as chunks, sum(rejected_count) as rejected
+from (select distinct request_id, setting_id from ingest_requests) q join ingest_item_results using (request_id) join ingest_settings s using (setting_id) group by 1
+""")
+def ingest_report(spark, sf):
+    requests = table(spark, sf, "ingest_requests").select("request_id", "setting_id").distinct()
+    items = table(spark, sf, "ingest_item_results").join(requests, "request_id").join(table(spark, sf, "ingest_settings").select("setting_id", "parser"), "setting_id")
+    return items.groupBy("parser").agg(F.count(F.lit(1)).alias("items"), F.count_if(F.col("status") == "failed").alias("failed"), F.sum("chunk_count").alias("chunks"), F.sum("rejected_count").alias("rejected"))
+
+
+# Extractions.
+
+
+@query()
+def extraction_translate(spark, sf):
+    a = table(spark, sf, "conceptnet_assertions")
+    subject, obj = F.regexp_extract("start_uri", "^/c/[a-z]+/([^/]*)", 1), F.regexp_extract("end_uri", "^/c/[a-z]+/([^/]*)", 1)
+    rows = a.select(
+        "assertion_id",
+        F.when(F.col("relation") == "/r/IsA", "type_decl").when(F.col("relation") == "/r/HasProperty", "property").otherwise("fact").alias("cls"),
+        F.create_map(*[x for k, v in {"predicate": F.substring("relation", 4, 40), "subject": subject, "object": obj, "entity": subject, "type": obj, "property": F.lit("quality"), "value": obj}.items() for x in (F.lit(k), v)]).alias("attributes"),
+        F.array().cast("array<string>").alias("arguments"),
+        F.when(F.col("assertion_id") % 9 == 0, "MATCH_FUZZY").otherwise("MATCH_EXACT").alias("alignment"),
+    )
+    return extract.translate(rows).select("assertion_id", "stmt", "reason")
+
+
+# Event windows (extensions).
+
+
+@query("select time_bucket(interval '1 hour', ts) as window_start, event_type, count(*) as n, sum(value) as total from events group by 1, 2")
+def event_windows(spark, sf):
+    return ingest.event_windows(table(spark, sf, "events"))
+
+
+@query("""
+with g as (select user_id, ts, case when ts < lag(ts) over (partition by user_id order by ts) + interval '30 minutes' then 0 else 1 end as opens from events),
+s as (select *, sum(opens) over (partition by user_id order by ts, opens desc rows unbounded preceding) as k from g)
+select user_id, min(ts) as session_start, max(ts) + interval '30 minutes' as session_end, count(*) as n from s group by user_id, k
+""")
+def event_sessions(spark, sf):
+    return ingest.sessions(table(spark, sf, "events"))
