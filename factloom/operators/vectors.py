@@ -99,3 +99,29 @@ def hashing_embedder(dimensions: int = 64):
 def store(records: DataFrame, path: str, dimensions: int = 64) -> None:
     """Appends records with their vectors, partitioned by source."""
     records.withColumn("vector", hashing_embedder(dimensions)(F.col("nl"))).write.mode("append").partitionBy("source").parquet(path)
+
+
+def checked_dimension(points: DataFrame, vector: str = "embedding") -> int | None:
+    """The one dimension of all vectors; None for an empty table, an error where they differ."""
+    row = points.where(F.col(vector).isNotNull()).agg(F.min(F.size(vector)).alias("a"), F.max(F.size(vector)).alias("b")).first()
+    if row.a != row.b:
+        raise ValueError(f"vectors of {row.a} and of {row.b} dimensions")
+    return row.a
+
+
+def proof_atoms(proof: Column) -> Column:
+    """Innermost atoms of a proof without truth values, of at least five characters, sorted and distinct."""
+    found = F.regexp_extract_all(proof, F.lit(r"\([^()]+\)"), F.lit(0))
+    return F.array_sort(F.array_distinct(F.filter(found, lambda a: ~F.contains(a, F.lit("STV")) & (F.length(a) >= 5))))
+
+
+def source_lookup(proofs: DataFrame, points: DataFrame, embed, least: float = 0.6, atoms_per_proof: int = 10) -> DataFrame:
+    """proofs(proof_id, proof): distinct nl of the point nearest to each of its atoms, where the score is over least.
+
+    points(vec_id, embedding, nl). Atoms are embedded once each.
+    """
+    each = proofs.select("proof_id", F.explode(F.slice(proof_atoms(F.col("proof")), 1, atoms_per_proof)).alias("atom"))
+    wanted = each.select("atom").distinct().withColumn("vec_id", F.xxhash64("atom")).withColumn("embedding", embed(F.translate("atom", "()", "")))
+    hits = top_k(points, wanted, 1).where(F.col("score") > least)
+    named = hits.join(points.select("vec_id", "nl"), "vec_id").select(F.col("query_id"), "nl")
+    return each.withColumn("query_id", F.xxhash64("atom")).join(named, "query_id").select("proof_id", "nl").distinct()

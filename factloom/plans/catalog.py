@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import dist, text
-from factloom.operators import atoms, chunk, extract, kb, metrics, planner, reasoner, triples, vectors
+from factloom.operators import atoms, chunk, extract, hints, kb, metrics, planner, reasoner, triples, vectors
 from factloom.plans import relational
 from factloom.plans.sqltext import CONCEPTS, FLAT, REASON, SCORE, SENTENCES, STATEMENTS, TRIPLES, UNITS, YES_NO, canon, normal, normal_particles, plural, singular
 from factloom.session import table
@@ -114,6 +114,17 @@ def symbol_styles(spark, sf):
     return table(spark, sf, "part").select("p_partkey", text.snake_symbol(n).alias("snake"), text.slug(n).alias("slug"), text.pascal_symbol(n).alias("pascal"))
 
 
+_INNER = "flatten(list_transform(list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), lambda x: string_split_regex(x, '\\s+')[2:]))"
+
+
+@query(f"""
+with w as (select doc_id, list_filter(list_transform({_INNER}, lambda x: regexp_extract(x, '[A-Za-z][A-Za-z0-9_]*', 0)), lambda x: x <> '') as l from documents)
+select doc_id, list_sort(list_distinct(list_filter([lower(x) for x in l if regexp_matches(x, '^[A-Z]')], lambda y: not list_contains(l, y)))) as names from w
+""")
+def proper_names(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", hints.proper_names(F.col("text")).alias("names"))
+
+
 # Statements.
 
 
@@ -188,6 +199,29 @@ def overliteral_gate(spark, sf):
     return _statements(spark, sf).where(atoms.overliteral(F.col("stmt"))).select("record_id", "pos")
 
 
+@query(f"""
+with i as (select item_id, text, trim(regexp_replace(raw, '\\s+', ' ', 'g')) as stmt from (select item_id, text, unnest(atoms) as raw from ingest_item_results)),
+r as (select item_id, text, {normal('text')} as words, unnest(regexp_extract_all(regexp_extract(stmt, '\\(Premises\\s+((?:\\([^()]+\\)\\s*)+)\\)', 1), '\\([^()]+\\)')) as p from i where contains(stmt, 'Implication')
+  and not (contains(lower(text), ' indicate ') or contains(lower(text), ' indicates ') or contains(lower(text), ' imply ') or contains(lower(text), ' implies ') or contains(lower(text), ' suggest ') or contains(lower(text), ' suggests ') or contains(lower(text), ' if ') or contains(lower(text), ' when '))),
+v as (select *, regexp_extract_all(p, '[$?]([^()\\s]+)', 1) as vs from r where regexp_matches(p, '^{FLAT}$'))
+select item_id, '(: materialized_' || lower(regexp_extract(p, '^{FLAT}$', 1)) || '_fact ' || regexp_replace(regexp_replace(p, '[$?]', '', 'g'), '\\s+', ' ', 'g') || ' (STV 1.0 1.0))' as fact
+from v where len(vs) > 0 and len(list_filter(vs, lambda x: not list_contains(string_split(words, ' '), x))) = 0
+""")
+def grounded_premises(spark, sf):
+    items = table(spark, sf, "ingest_item_results").select("item_id", "text", F.explode("atoms").alias("stmt"))
+    return items.select("item_id", F.explode(hints.grounded_premises(F.col("text"), atoms.collapse_space(F.col("stmt")))).alias("fact"))
+
+
+@query(f"""
+with {STATEMENTS}, h0 as (select record_id, pos, regexp_extract_all(stmt, '\\(([A-Za-z]\\w*)', 1) as l from tidy),
+h as (select record_id, pos, [case when list_contains([{", ".join(f"'{h}'" for h in atoms.STRUCTURAL_HEADS)}], x) then x else coalesce(element_at(map {{{", ".join(f"'{k}': '{v}'" for k, v in atoms.PREDICATE_ALIASES.items())}}}, {canon("x", False)})[1], x) end for x in l] as l from h0)
+select record_id, cast(pos as int) as pos, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[1:12], ' ') as heads from h
+""")
+def context_predicates(spark, sf):
+    heads = atoms.context_predicates(F.col("stmt"))
+    return _statements(spark, sf).select("record_id", "pos", F.array_join(heads, " ").alias("heads"))
+
+
 # Background triples.
 
 
@@ -425,6 +459,15 @@ def context_last50(spark, sf):
     return vectors.last_distinct(rows, "stmt", "record_id", 50)
 
 
+@query()
+def source_lookup(spark, sf):
+    """The stored sentences nearest to the sentences of each benchmark case."""
+    embed = vectors.hashing_embedder()
+    points = table(spark, sf, "vector_records").select(F.col("record_id").alias("vec_id"), "nl", embed(F.col("nl")).alias("embedding"))
+    texts = table(spark, sf, "benchmark_cases").select(F.col("case_id").alias("proof_id"), F.transform("texts", lambda t: F.concat(F.lit("("), F.translate(t, "()", ""), F.lit(")"))).alias("p"))
+    return vectors.source_lookup(texts.select("proof_id", F.array_join("p", " ").alias("proof")), points, embed)
+
+
 # Distributions.
 
 
