@@ -87,7 +87,7 @@ def _abbreviation(text: str, stop: int, low: int) -> str:
         return "maybe" if word.islower() and before[-1:].isdigit() else "never"
     parts = word.split(".")
     if len(parts) > 1 and all(len(p) == 1 and p.isalpha() for p in parts if p):
-        return "maybe" if word.isupper() else "never"
+        return "maybe" if word.isupper() and len(parts) > 2 else "never"
     return ""
 
 
@@ -134,7 +134,9 @@ def _ends(text: str, mark: str, a: int, b: int, e: int, begin: int, stop: int, q
             before = text[a - 1 : a]
             if nxt.isdigit() or len(mark) > 1:
                 return False
-            if kind or not (before.isalnum() or before in CLOSERS) or THAI.match(nxt) or (before.isdigit() and not (nxt.isupper() and text[k + 1 : k + 2].islower())):
+            if kind and not (nxt.isupper() and text[k + 1 : k + 2].islower()):
+                return False
+            if not (before.isalnum() or before in CLOSERS) or THAI.match(nxt) or (before.isdigit() and not (nxt.isupper() and text[k + 1 : k + 2].islower())):
                 return False
             if nxt.isupper():
                 return text[k + 1 : k + 2].islower() or text[k + 1 : k + 2] in "'’ ."
