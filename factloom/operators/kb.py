@@ -46,21 +46,21 @@ def append(statements: DataFrame, path: str, column: str = "stmt") -> DataFrame:
     return bad
 
 
-def lookup_exact(goals: DataFrame, facts: DataFrame) -> DataFrame:
-    """goals(goal_id, goal) with the first fact (by seq) whose body is the ground goal's; NULL where there is none.
+def _first_by(facts: DataFrame, key: str) -> DataFrame:
+    """First fact of each key by seq, combined before the shuffle, so that a join meets one row per key."""
+    return facts.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.min_by("stmt", "seq").alias("proof"))
+
 
-    One row per goal: candidates are reduced by a min_by aggregate, which combines before its shuffle.
-    """
-    wanted = goals.withColumn("key", atoms.ground_goal(F.col("goal")))
-    found = wanted.join(facts.select(F.col("body").alias("key"), "stmt", "seq"), "key", "left")
-    return found.groupBy("goal_id").agg(F.min_by("stmt", F.when(F.col("stmt").isNotNull(), F.col("seq"))).alias("proof"))
+def lookup_exact(goals: DataFrame, facts: DataFrame) -> DataFrame:
+    """goals(goal_id, goal) with the first fact (by seq) whose body is the ground goal's; NULL where there is none."""
+    wanted = goals.select("goal_id", atoms.ground_goal(F.col("goal")).alias("key"))
+    return wanted.join(_first_by(facts, "body"), "key", "left").select("goal_id", "proof")
 
 
 def lookup_canonical(goals: DataFrame, facts: DataFrame) -> DataFrame:
     """As lookup_exact, by head and canonical arguments."""
-    wanted = goals.withColumn("key", canonical_key(atoms.parse_flat(atoms.ground_goal(F.col("goal")))))
-    found = wanted.join(facts.select(F.col("canon_key").alias("key"), "stmt", "seq"), "key", "left")
-    return found.groupBy("goal_id").agg(F.min_by("stmt", F.when(F.col("stmt").isNotNull(), F.col("seq"))).alias("proof"))
+    wanted = goals.select("goal_id", canonical_key(atoms.parse_flat(atoms.ground_goal(F.col("goal")))).alias("key"))
+    return wanted.join(_first_by(facts, "canon_key"), "key", "left").select("goal_id", "proof")
 
 
 def lookup(goals: DataFrame, facts: DataFrame) -> DataFrame:
