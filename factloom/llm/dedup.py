@@ -12,8 +12,9 @@ share in all decides, counted exactly from the token hashes.
 
 Within a batch items repeat each other too. A batch is taken in slices of identifier order, the first one small: a
 family of near-copies is then represented in the table after its first slice and later members meet that one
-representative instead of each other. Inside a slice pairs are resolved in rounds: an item without an undecided
-smaller neighbour is accepted, its neighbours are rejected.
+representative instead of each other, so the pairs of a family are bounded by the first slice's size. Exact copies
+inside a slice are reduced to their first before pairs are formed. Pairs are resolved in rounds: an item without an
+undecided smaller neighbour is accepted, its neighbours are rejected.
 
 Defined cases: only items with status 'success' take part; NULL nl and NULL or empty atoms give an empty set, which
 shares nothing; an item without a stored record is compared by its statements; of several stored records the one with
@@ -36,7 +37,7 @@ from factloom.session import materialize, scratch_path
 
 #: Shared part of all tokens from which on an item repeats another, as tenths.
 TENTHS = 7
-#: Tokens whose frequency in the first batch orders them; any bound gives a valid order and the same result.
+#: Tokens that are ordered by frequency, the most frequent ones; any bound gives a valid order and the same result.
 ORDERED_TOKENS = 200_000
 FIRST_SLICE = 15_000
 SLICE_GROWTH = 20
@@ -144,6 +145,14 @@ def _candidates(earlier: DataFrame, later: DataFrame, ordered: bool) -> DataFram
     return a.join(b, ["view", "token"]).where(sizes).select("first", "later").distinct()
 
 
+def _copies(keyed: DataFrame) -> DataFrame:
+    """item_id and same_as of each item with both sets like those of a smaller one: what is decided for that one holds
+    for it. Only hashes are shuffled; without this, copies would meet each other in pairs."""
+    some = keyed.where((F.size("words") > 0) | (F.size("bodies") > 0))
+    sets = some.select("item_id", F.xxhash64("words", "bodies").alias("h1"), F.xxhash64(F.lit(1), "bodies", F.lit(2), "words").alias("h2"))
+    return sets.select("item_id", F.expr("min(item_id) over (partition by h1, h2)").alias("same_as")).where("item_id <> same_as")
+
+
 class History:
     """Accepted records and their chunk table, in the shared folder."""
 
@@ -169,13 +178,19 @@ class History:
             repeats = _verified(pairs, self.accepted(), keyed).groupBy("later").agg(F.min("first").alias("first"))
             found.append(materialize(repeats.select("first", "later"), "repeats"))
             keyed = keyed.join(found[0], keyed["item_id"] == found[0]["later"], "left_anti")
+        copies = materialize(_copies(keyed), "copies")
+        keyed = keyed.join(copies, "item_id", "left_anti")
         own = _chunks(keyed)
         edges = materialize(_verified(_candidates(own, own, ordered=True), keyed, keyed), "edges")
-        if not edges.isEmpty():
+        if edges.isEmpty():
+            found.append(copies.selectExpr("same_as as first", "item_id as later"))
+        else:
             dead = self._rejected(edges)
             kept = edges.join(dead.selectExpr("later as first"), "first", "left_anti").join(dead, "later")
-            found.append(materialize(kept.groupBy("later").agg(F.min("first").alias("first")).select("first", "later"), "repeats"))
-            keyed = keyed.join(found[-1], keyed["item_id"] == found[-1]["later"], "left_anti")
+            near = materialize(kept.groupBy("later").agg(F.min("first").alias("first")).select("first", "later"), "repeats")
+            of_near = copies.join(near.selectExpr("first as head", "later as same_as"), "same_as", "left")
+            found += [near, of_near.selectExpr("coalesce(head, same_as) as first", "item_id as later")]
+            keyed = keyed.join(near, keyed["item_id"] == near["later"], "left_anti")
         self.append(keyed)
         return found
 
@@ -209,7 +224,7 @@ def repeats(items: DataFrame, records: DataFrame) -> DataFrame:
             merged.append([lo, hi, n])
     if not merged:
         return spark.createDataFrame([], "first_item_id long, later_item_id long")
-    order = token_order(hashed.where(F.col("item_id").between(merged[0][0], merged[0][1])))
+    order = token_order(hashed)
     keyed = materialize(hashed.mapInArrow(_ordered(order), KEYED), "keyed-items")
     history = History(spark)
     found: list[DataFrame] = []

@@ -66,12 +66,23 @@ def sample(rows: DataFrame, ident: str, rate: float, seed: int, domain_bits: int
     return rows.where(selected(F.col(ident), F.lit(rate), F.lit(seed), domain_bits))
 
 
+#: Parts into which the rows of each source file are split for a join, so that no file is one task's.
+SALTS = 16
+
+
+def _join_by_file(rows: DataFrame, per_file: DataFrame) -> DataFrame:
+    """rows with the columns of their source file's row in per_file. Rows are spread by identifier over SALTS parts of
+    each file and the small rows of per_file are repeated for each part."""
+    spread = per_file.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("assertion_id"), F.lit(SALTS)).cast("int")).join(spread, ["source_file", "salt"]).drop("salt")
+
+
 def with_sample_counts(assertions: DataFrame, settings: DataFrame) -> DataFrame:
     """Rows, eligible rows and sampled rows of each source file, setting and load batch.
 
     settings: distinct source_file, min_weight, coverage_percent, sample_seed; a handful per source file. Its
-    settings are gathered into one array per file, so the rows of a file meet one row, and the join's shuffle is
-    split by adaptive execution where a file is hot. Counting combines before its shuffle.
+    settings are gathered into one array per file, so that a row of a file meets one row. Counting combines before its
+    shuffle.
     """
     per_file = settings.groupBy("source_file").agg(F.collect_set(F.struct("min_weight", "coverage_percent", "sample_seed")).alias("each"))
     rows = with_triple(assertions).select(
@@ -80,7 +91,7 @@ def with_sample_counts(assertions: DataFrame, settings: DataFrame) -> DataFrame:
         "assertion_id",
         F.when(F.col("predicate").isNotNull() & F.col("source").isNotNull() & F.col("target").isNotNull(), F.col("weight")).alias("weight"),
     )
-    each = rows.join(per_file, "source_file").select("*", F.explode("each").alias("s")).drop("each")
+    each = _join_by_file(rows, per_file).select("*", F.explode("each").alias("s")).drop("each")
     is_eligible = F.coalesce(F.col("weight") >= F.col("s.min_weight"), F.lit(False))
     in_sample = is_eligible & selected(F.col("assertion_id"), F.col("s.coverage_percent") / 100.0, F.col("s.sample_seed"))
     return each.groupBy("source_file", "s.min_weight", "s.coverage_percent", "s.sample_seed", "load_batch").agg(
@@ -143,7 +154,7 @@ def sampled_assertions(assertions: DataFrame, manifest: DataFrame) -> DataFrame:
         F.max_by(F.struct("min_weight", "coverage_percent", "sample_seed"), F.struct("exported_at", "manifest_id")).alias("s")
     )
     rows = with_triple(assertions).where("predicate is not null and source is not null and target is not null and weight is not null")
-    kept = rows.join(latest, "source_file").where(
+    kept = _join_by_file(rows.select("source_file", "assertion_id", "load_batch", "weight"), latest).where(
         (F.col("weight") >= F.col("s.min_weight")) & selected(F.col("assertion_id"), F.col("s.coverage_percent") / 100.0, F.col("s.sample_seed"))
     )
     return kept.groupBy("source_file", "assertion_id").agg(F.min("load_batch").alias("load_batch"))
