@@ -6,12 +6,11 @@ import os
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators import chunk, kb, planner, reasoner
+from factloom.operators import chunk, kb, planner, reasoner, vectors
 
 
 class Translator(Protocol):
@@ -73,6 +72,8 @@ class ExternalTranslator:
         translate = self.translate
 
         def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            import pandas as pd
+
             for pdf in it:
                 yield pd.DataFrame({"stmt": [s for part in translate(pdf["chunk"].tolist()) for s in part]})
 
@@ -83,8 +84,8 @@ TRANSLATORS: dict[str, Callable[[], Translator]] = {"pattern": PatternTranslator
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, path: str, translator: str | Translator = "pattern") -> None:
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, translator: str | Translator = "pattern", dimensions: int = 64) -> None:
+        self.spark, self.path, self.dimensions = spark, path, dimensions
         self.translator = TRANSLATORS[translator]() if isinstance(translator, str) else translator
         self.last_error = ""
 
@@ -112,10 +113,29 @@ class Engine:
         made = self.translator.statements(units)
         before = self.facts().count()
         bad = self.add(made)
+        self.index(units.select(F.col("chunk").alias("nl")))
         added = self.facts().count() - before
         row = (units.count(), added, bad.count(), "success" if added else "failed")
         return self.spark.createDataFrame([row], "chunk_count long, added long, rejected_count long, status string")
 
+    def index(self, records: DataFrame, source: str = "user") -> None:
+        """Stores records(nl, optional pln) with their vectors."""
+        rows = records if "pln" in records.columns else records.withColumn("pln", F.array().cast("array<string>"))
+        vectors.store(rows.select(F.xxhash64("nl").alias("record_id"), "nl", "pln", F.lit(source).alias("source")), f"{self.path}/vectors", self.dimensions)
+
+    def stored(self) -> DataFrame:
+        return self._read("vectors", "record_id long, nl string, pln array<string>, vector array<float>, source string")
+
+    def retrieve(self, question: str, k: int = 10) -> DataFrame:
+        """The k stored records nearest to a question."""
+        wanted = self.spark.createDataFrame([(0, question)], "record_id long, nl string").withColumn("vector", vectors.hashing_embedder(self.dimensions)(F.col("nl")))
+        found = vectors.top_k(self.stored(), wanted, k, "record_id", "vector")
+        return found.join(self.stored().select("record_id", "nl", "pln").dropDuplicates(["record_id"]), "record_id").select("rank", "score", "nl", "pln").orderBy("rank")
+
+    def context(self, n: int = 50) -> DataFrame:
+        """The last n distinct statements."""
+        return vectors.last_distinct(self.facts(), "stmt", "seq", n)
+
     def rules(self) -> list[reasoner.Rule]:
         rows = self.facts().where(F.col("kind") == "rule").select("stmt").toLocalIterator()
         return [r for row in rows for r in reasoner.parse_rule(row.stmt)]
@@ -130,8 +150,10 @@ class Engine:
         rules = reasoner.relevant(self.rules(), reasoner.parse_atom(inner).head)
         return reasoner.answers(reasoner.fixpoint(base, rules, max_rounds), goal) if rules else direct
 
-    def query(self, question: str) -> dict:
-        """Goal of the question, its answers and a status."""
+    def query(self, question: str, support: DataFrame | None = None) -> dict:
+        """Goal of the question, its answers and a status. Support statements are stored first, where given."""
+        if support is not None:
+            self.add(support)
         goal = self.translator.goal(question)
         if goal is None:
             row = self.spark.range(1).select(planner.question_goal(F.lit(question)).alias("g")).first()
@@ -142,10 +164,13 @@ class Engine:
         text = "; ".join(", ".join(f"{k} = {v}" for k, v in r.items()) for r in rows) or "No proof was found."
         return {"question": question, "executed_query": goal, "status": "well_aligned", "answers": rows, "answer": text}
 
-    def reset(self) -> None:
+    def reset(self, scope: str = "all") -> None:
+        """Removes the statements ('atomspace'), the vectors ('vectordb') or both ('all')."""
+        parts = {"all": ("statements", "vectors"), "atomspace": ("statements",), "vectordb": ("vectors",)}[scope]
         jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(self.path)
-        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        for part in parts:
+            target = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{part}")
+            target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
     def health(self) -> dict:
         return {"status": "degraded" if self.last_error else "ok", "statements": self.facts().count(), "last_error": self.last_error, "path": os.path.basename(self.path)}

@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +35,8 @@ def windows(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) ->
 
 def _split_long(key: str):
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
         for pdf in it:
             yield pd.DataFrame({key: pdf[key], "units": [[w for p in parts for w in windows(p)] for parts in pdf["units"]]})
 
@@ -110,6 +111,8 @@ def paragraph_chunks(text: str, size: int = CHUNK_SIZE) -> list[str]:
 
 def document_paragraphs(documents: DataFrame, key: str = "doc_id", text: str = "text", size: int = CHUNK_SIZE) -> DataFrame:
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
         for pdf in it:
             parts = [paragraph_chunks(t, size) for t in pdf[text]]
             yield pd.DataFrame({key: pdf[key], "chunks": parts})

@@ -67,15 +67,18 @@ def render(tree: list | str) -> str:
     return "(" + " ".join(render(x) for x in (head, *args)) + ")"
 
 
-@F.udf(T.ArrayType(T.StringType()))
-def rule_premises(body: str) -> list[str] | None:
-    """Premises of a rule body as atoms; NULL if the body cannot be parsed. Rules are few beside facts."""
+def _premises(body):
     try:
         return [render(p) for p in flatten_premises(parse_expression(body))]
     except (ValueError, IndexError, AttributeError):
         return None
 
 
+def rule_premises(body: Column) -> Column:
+    """Premises of a rule body as atoms; NULL if the body cannot be parsed. Rules are few beside facts."""
+    return F.udf(_premises, T.ArrayType(T.StringType()))(body)
+
+
 def attribute(name: str) -> Column:
     return F.nullif(F.trim(F.try_element_at("attributes", F.lit(name))), F.lit(""))
 

@@ -136,3 +136,34 @@ def first_proved(ranked: DataFrame, proofs: DataFrame, by: str = "question") ->
         F.min_by("proof", F.when(proved, F.col("rank"))).alias("proof"),
         F.min_by("goal", "rank").alias("original"),
     ).withColumn("fallback_used", F.coalesce(F.col("executed") != F.col("original"), F.lit(False)))
+
+
+def merge_ordered(first: Column, second: Column) -> Column:
+    """Items of both arrays, each once, in order of first appearance."""
+    return F.array_distinct(F.concat(F.coalesce(first, F.array().cast("array<string>")), F.coalesce(second, F.array().cast("array<string>"))))
+
+
+def preserves_grounded(query_args: Column, args: Column, question_symbols: Column) -> Column:
+    """Whether a signature keeps a query's constants and holds all symbols of the question."""
+    pairs = F.arrays_zip(query_args.alias("q"), args.alias("a"))
+    return F.forall(pairs, lambda p: _variable(p["q"]) | (p["q"] == p["a"])) & (F.size(F.array_except(question_symbols, args)) == 0)
+
+
+def plan(goals: DataFrame, signatures: DataFrame) -> DataFrame:
+    """question, goal, stage and rank of all candidates: scored goals, then aligned and grounded signatures, then the
+    question's own pattern (the last two for yes-no questions). A candidate found at several stages counts at the first."""
+    asked = goals.select("goal_id", "question").distinct()
+    own = rank_goals(score_goals(goals, signatures)).select("question", F.lit(0).alias("stage"), F.coalesce("score", F.lit(0)).alias("score"), "goal")
+    aligned = aligned_fallback(goals, signatures).join(asked, "goal_id").select("question", F.lit(1).alias("stage"), "score", F.col("candidate").alias("goal"))
+    grounded = grounded_fallback(goals, signatures).join(asked, "goal_id").select("question", F.lit(2).alias("stage"), "score", F.col("candidate").alias("goal"))
+    pattern = goals.where(is_yes_no(F.col("question"))).select("question", F.lit(3).alias("stage"), F.lit(0).alias("score"), question_goal(F.col("question")).alias("goal")).where("goal is not null")
+    every = own.unionByName(aligned).unionByName(grounded).unionByName(pattern)
+    best = every.groupBy("question", "goal").agg(F.min(F.struct("stage", (-F.col("score")).alias("minus"))).alias("b"))
+    rank = F.row_number().over(W.partitionBy("question").orderBy("b.stage", "b.minus", "goal"))
+    return best.select("question", "goal", F.col("b.stage").alias("stage"), rank.alias("rank"))
+
+
+def cap_candidates(ranked: DataFrame, max_tries: int, fallback: bool = True) -> DataFrame:
+    """Candidates that are tried: one without fallback, else max_tries, 0 for all."""
+    most = max_tries if fallback else 1
+    return ranked.where(F.col("rank") <= most) if most else ranked

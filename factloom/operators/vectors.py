@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,6 +34,8 @@ def top_k(points: DataFrame, queries: DataFrame, k: int = 10, id_: str = "vec_id
         q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            import pandas as pd
+
             best_s, best_i = np.empty((len(ids), 0)), np.empty((len(ids), 0), np.int64)
             for pdf in batches:
                 v = np.stack(pdf[vector].to_numpy()).astype(np.float64)
@@ -78,8 +79,9 @@ def last_distinct(rows: DataFrame, key: str, order: str, n: int = 50) -> DataFra
 def hashing_embedder(dimensions: int = 64):
     """A deterministic embedding of texts: signed feature hashing of words and word pairs, of unit length."""
 
-    @F.pandas_udf("array<float>")
-    def embed(texts: pd.Series) -> pd.Series:
+    import pandas as pd
+
+    def embed(texts):
         import xxhash
 
         out = []
@@ -93,7 +95,8 @@ def hashing_embedder(dimensions: int = 64):
             out.append((v / n if n else v).astype(np.float32).tolist())
         return pd.Series(out)
 
-    return embed
+    embed.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return F.pandas_udf(embed, "array<float>")
 
 
 def store(records: DataFrame, path: str, dimensions: int = 64) -> None:

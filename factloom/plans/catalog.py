@@ -418,6 +418,22 @@ def aligned_fallback(spark, sf):
     return planner.aligned_fallback(_nation_goals(spark, sf), _nation_signatures(spark, sf))
 
 
+@query("select 'Is nation_' || n_nationkey || ' part of a region?' as question, '(: $prf (PartOf nation_' || n_nationkey || ' region_' || n_regionkey || ') $tv)' as executed, n_regionkey not in (0, 3) as fallback_used from nation where n_regionkey in (0, 3)")
+def candidate_execution(spark, sf):
+    """The first ranked goal of each question that a fact proves."""
+    goals = _nation_goals(spark, sf)
+    facts = relational.nations(spark, sf).select(F.concat(F.lit("("), F.concat_ws(" ", "head", F.array_join("args", " ")), F.lit(")")).alias("body"))
+    facts = facts.select("body", F.concat(F.lit("(: f "), "body", F.lit(" (STV 1.0 1.0))")).alias("stmt"), F.lit(0).alias("seq"))
+    proofs = kb.lookup_exact(goals, facts)
+    ranked = planner.rank_goals(planner.score_goals(goals, _nation_signatures(spark, sf)))
+    return planner.first_proved(ranked, proofs).where("executed is not null").select("question", "executed", "fallback_used")
+
+
+@query()
+def canonical_plan(spark, sf):
+    return planner.plan(_nation_goals(spark, sf), _nation_signatures(spark, sf))
+
+
 @query("select n_nationkey * 10 + k as goal_id, case when k = 0 then 'weakly_aligned' else 'well_aligned' end as status from nation, (values (0), (1), (2)) v(k)")
 def query_status(spark, sf):
     return _nation_goals(spark, sf).select("goal_id", atoms.query_status(F.col("goal"), F.col("question"), F.lit(False)).alias("status"))

@@ -80,3 +80,24 @@ def write_background(emitted: DataFrame, atoms_path: str, records_path: str) ->
     """Atom lines and JSON records of emitted triples."""
     emitted.select("atom").write.mode("overwrite").text(atoms_path)
     emitted.select("nl", "pln", "source", "background", "relation").write.mode("overwrite").json(records_path)
+
+
+def lines_sha256(lines: DataFrame, column: str) -> str:
+    """SHA-256 over the sorted SHA-256 of the lines: the same for every layout of files. The hashes are reduced in 4,096
+    groups before the last step."""
+    h = lines.select(F.sha2(column, 256).alias("h"))
+    groups = h.groupBy(F.substring("h", 1, 3).alias("g")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
+    return groups.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("g", "h"))), ""), 256).alias("h")).first().h
+
+
+def write_manifest(counts: dict, path: str) -> None:
+    """A manifest of sorted keys as one JSON file."""
+    import json
+
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(counts, f, indent=2, sort_keys=True)
+
+
+def needs_reindex(existing: int, expected: int) -> bool:
+    """Whether an index has to be rebuilt: it is empty, or holds fewer records than expected."""
+    return not (existing > 0 and (expected == 0 or existing >= expected))

@@ -18,8 +18,12 @@ def test_ingest_query_reset(spark, tmp_path):
     rule = "(: r (Implication (Premises (IsA $x dog)) (Conclusions (IsA $x animal))) (STV 1.0 0.9))"
     assert e.add(spark.createDataFrame([(rule,), ("bad",)], "stmt string")).count() == 1
     assert [x["$who"] for x in e.goal("(: $prf (IsA $who animal) $tv)").collect()] == ["rex"]
+    assert e.retrieve("A hammer is used for nails.", 1).first().nl == "A hammer is used for nails."
+    assert e.context(2).count() == 2
+    e.reset("atomspace")
+    assert e.health()["statements"] == 0 and e.stored().count() == 3
     e.reset()
-    assert e.health()["statements"] == 0
+    assert e.stored().count() == 0
 
 
 def test_external_translator(spark, tmp_path):
@@ -44,6 +48,11 @@ def test_sources(spark, tmp_path):
     (tmp_path / "m.json").write_text('{"source_file": "f", "min_weight": 2.0}')
     assert files.manifest(spark, str(tmp_path / "m.json"))["source_file"] == "f" and files.manifest(spark, str(tmp_path / "none.json")) is None
     assert files.is_stale(None, "f", 1, 2.0, 10.0, 42)
+    lines = spark.createDataFrame([("b",), ("a",), ("a",)], "s string")
+    assert files.lines_sha256(lines, "s") == files.lines_sha256(lines.repartition(3), "s") != files.lines_sha256(lines.distinct(), "s")
+    files.write_manifest({"b": 1, "a": 2}, str(tmp_path / "w.json"))
+    assert files.manifest(spark, str(tmp_path / "w.json")) == {"a": 2, "b": 1}
+    assert files.needs_reindex(0, 0) and files.needs_reindex(3, 5) and not files.needs_reindex(5, 5) and not files.needs_reindex(1, 0)
     (tmp_path / "ctx.json").write_text('["(: a (P x) (STV 1 1))"]')
     assert files.context(spark, str(tmp_path / "ctx.json")).count() == 1
 
