@@ -12,7 +12,7 @@ never cut.
 
 Words are runs of letters and digits; case and the composition of accents are ignored.
 
-Defined cases: NULL and empty texts hold nothing; evaluation texts of fewer than MIN_WORDS words cannot leak; NULL
+Defined cases: rows without doc_id or case_id are left out; NULL and empty texts hold nothing; evaluation texts of fewer than MIN_WORDS words cannot leak; NULL
 entries are skipped; a passage found at several places of a document is reported at the first of the longest ones.
 """
 
@@ -200,13 +200,15 @@ def _search(suite: Suite):
 def entries(cases: DataFrame) -> DataFrame:
     """case_id, entry_no and text of every text of a case; the question is entry -1."""
     texts = cases.select("case_id", F.posexplode("texts").alias("entry_no", "text"))
-    return texts.unionByName(cases.select("case_id", F.lit(-1).alias("entry_no"), F.col("question").alias("text"))).where(F.col("text").isNotNull())
+    return texts.unionByName(cases.select("case_id", F.lit(-1).alias("entry_no"), F.col("question").alias("text"))).where(
+        F.col("case_id").isNotNull() & F.col("text").isNotNull()
+    )
 
 
 def longest_matches(documents: DataFrame, cases: DataFrame) -> DataFrame:
     """The longest verbatim match of each evaluation text in each document that holds MIN_WORDS words of it in a row."""
     spark = documents.sparkSession
-    docs = documents.select(F.col("doc_id").cast("long"), "text").where(F.length("text") >= 2 * MIN_WORDS - 1)
+    docs = documents.select(F.col("doc_id").cast("long"), "text").where(F.col("doc_id").isNotNull() & (F.length("text") >= 2 * MIN_WORDS - 1))
     out: DataFrame | None = None
     part: list[tuple[int, int, str]] = []
     size = 0

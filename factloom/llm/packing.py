@@ -8,7 +8,7 @@ cut only if it exceeds the capacity: into full pieces and a rest, which is packe
 
 Items are sized in tokens of a public tokenizer, whose vocabulary file is a parameter.
 
-Defined cases: NULL and empty texts have no tokens and take no room: they give no row;
+Defined cases: rows without an identifier or a size are left out; NULL and empty texts have no tokens and take no room: they give no row;
 capacities that are NULL or not positive take nothing; of repeated capacities each is filled on its own; equal room
 is decided in favour of the container opened first.
 """
@@ -161,7 +161,8 @@ def pack(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
     """
     caps = [(r.budget_id, r.capacity_tokens) for r in budgets.select("budget_id", "capacity_tokens").where("capacity_tokens > 0").distinct().collect()]
     numbered = [(i, c) for i, (_, c) in enumerate(caps)]
-    level = materialize(sizes.mapInArrow(_first(numbered), DDL), "packed")
+    known = sizes.select(F.col("doc_id").cast("long"), F.col("tokens").cast("long")).where("doc_id is not null and tokens is not null")
+    level = materialize(known.mapInArrow(_first(numbered), DDL), "packed")
     done = [level.where("closed")]
     left = level.where("not closed")
     groups = (left.agg(F.max("part")).first()[0] or 0) + 1

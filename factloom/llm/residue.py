@@ -10,7 +10,7 @@ unlabelled member left. Slot labels do not spread: a near-duplicate may have the
 
 Only links between labelled and unlabelled cores are ever formed, so a bucket of equal notices costs no pairs.
 
-Defined cases: NULL and blank texts carry no label; texts are read whole; exact copies share their label; documents
+Defined cases: NULL and blank texts and rows without doc_id carry no label; texts are read whole; exact copies share their label; documents
 with one doc_id count each by its own text.
 """
 
@@ -247,7 +247,8 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def features(documents: DataFrame) -> DataFrame:
     """doc_id, trusted label or NULL, key of the core and its SimHash; one pass over the texts, no shuffle."""
-    return documents.select(F.col("doc_id").cast("long"), "text").where(F.col("text").isNotNull()).mapInArrow(_features, FEATURES)
+    rows = documents.select(F.col("doc_id").cast("long"), "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    return rows.mapInArrow(_features, FEATURES)
 
 
 def _bands(reps: DataFrame, name: str) -> DataFrame:

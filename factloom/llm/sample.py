@@ -130,7 +130,8 @@ def broken_samples(manifest: DataFrame, assertions: DataFrame) -> DataFrame:
     fell is a case; where both are unchanged, the replayed sample is the same, so a recorded change is a case. Exports
     without a recorded count are left out; ties in exported_at are ordered by manifest_id.
     """
-    known = replayed_exports(manifest.where(F.col("sampled_row_count").isNotNull()), assertions)
+    needed = manifest.select("manifest_id", "exported_at", *SERIES, "scanned_rows", "eligible_row_count", "sampled_row_count")
+    known = replayed_exports(needed.where(F.col("sampled_row_count").isNotNull()), assertions)
     keep = ["manifest_id", "scanned_rows", "eligible_row_count", "sampled_row_count", "replayed_count"]
     row = F.struct(*keep)
     by = f"over (partition by {', '.join(SERIES)} order by exported_at, manifest_id)"

@@ -22,24 +22,25 @@ from pyspark.sql import functions as F
 # Abbreviations (without the last full stop) that point at what follows and never end a sentence.
 BINDING = frozenset(
     # English
-    "mr mrs ms messrs dr prof rev hon st fr capt col gen lt maj sgt cmdr gov sen rep pres mt ft no nos vol vols ch chap "
-    "sec sect fig figs eq ed eds pp art para vs cf viz approx ca e.g i.e al "
+    "mr mrs ms messrs dr prof rev hon st fr capt col gen lt maj sgt cmdr gov sen rep pres mt pp vs cf viz approx ca e.g i.e "
     # German
-    "nr hr fr frl bzw vgl bspw sog evtl inkl exkl zzgl z.b d.h u.a str abb kap abs "
+    "hr fr frl bzw vgl bspw sog evtl inkl exkl zzgl z.b d.h u.a str "
     # French
-    "mme mlle mm env p.ex c.-à-d éd chap "
+    "mme mlle mm env p.ex c.-à-d éd "
     # Spanish, Portuguese, Italian
-    "sr sra srta dra núm pág págs p.ej avda gral sig ing lic "
+    "sr sra srta dra p.ej avda gral sig ing lic "
     # Russian
-    "т.е т.к см напр ул им проф акад гл рис табл стр ср "
+    "т.е т.к см напр ул им проф акад ср "
     # Hindi, Arabic
     "डॉ श्री प्रो सं पृ أ.د".split()
 )
+# Abbreviations, some of them words too, that bind a number only.
+NUMBERED = frozenset("no nos nr núm num fig figs sec sect ch chap vol vols art para eq ed eds abb kap abs pág págs гл рис табл стр".split())
 # Abbreviations that may also stand at the end of a sentence.
 FINAL = frozenset(
     "etc ltd inc co corp jr bros esq dept est a.m p.m am pm b.c a.d u.s u.k usw u.s.w usf ggf gmbh cía pte p.s "
-    "etc. г гг в вв руб коп тыс млн млрд др пр т.д т.п и.о kg km cm mm lb lbs oz ft hr hrs min sec".split()
-) - BINDING
+    "etc. г гг в вв руб коп тыс млн млрд др пр т.д т.п и.о kg km cm mm lb lbs oz ft hr hrs min al".split()
+) - BINDING - NUMBERED
 # German month names and their short forms, for dates such as "3. März".
 MONTHS = frozenset(
     "januar jänner februar märz april mai juni juli august september oktober november dezember "
@@ -67,7 +68,8 @@ UNCASED = regex.compile(r"\p{Lo}|\p{Lm}")
 
 
 def _abbreviation(text: str, stop: int, low: int) -> str:
-    """What the word before a full stop allows: 'never', 'maybe' or '' (it is no abbreviation)."""
+    """What the word before a full stop is: an abbreviation that 'never' or 'maybe' ends a sentence, one that binds a
+    'number', or '' for no abbreviation."""
     found = WORD_BEFORE.search(text, max(low, stop - 24), stop)
     if not found:
         return ""
@@ -75,6 +77,8 @@ def _abbreviation(text: str, stop: int, low: int) -> str:
     lower = word.lower()
     if lower in BINDING:
         return "never"
+    if lower in NUMBERED:
+        return "number"
     if lower in FINAL or (len(lower) > 2 and lower.endswith(".m") and lower[0] in "ap"):
         before = text[max(low, found.start() - 3) : found.start()].rstrip()
         if len(lower) == 1 and not before[-1:].isdigit():
@@ -128,7 +132,7 @@ def _ends(text: str, mark: str, a: int, b: int, e: int, begin: int, stop: int, q
         return mark[-1] not in "!?" or spaced or wide or quote >= 0 or bool(UNCASED.match(nxt)) or nxt.isupper() or nxt in PAIRS or nxt in "¿¡"
     if e == b:
         kind = _abbreviation(text, a, begin)
-        if kind == "never":
+        if kind == "never" or (kind == "number" and nxt.isdigit()):
             return False
         if not spaced:
             before = text[a - 1 : a]

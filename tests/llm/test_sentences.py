@@ -44,6 +44,7 @@ def test_blank_lines_breaks_and_edges():
     assert cut("Glued.Then next.") == ["Glued.", "Then next."]
     assert cut("Sold to Lo Works Ltd.Ana came by 5 p.m.Bo left.") == ["Sold to Lo Works Ltd.", "Ana came by 5 p.m.", "Bo left."]
     assert cut("J.K. Bell of the U.S.A. met Bo, e.g. here.") == ["J.K. Bell of the U.S.A. met Bo, e.g. here."]
+    assert cut("He said no. Then he left for art. See Nr. 5 and no. 7 there.") == ["He said no.", "Then he left for art.", "See Nr. 5 and no. 7 there."]
     assert cut("They left the U.S.A. Bo stayed.") == ["They left the U.S.A.", "Bo stayed."]
     assert cut("two  spaces  inside stay") == ["two  spaces  inside stay"]
     assert cut("no end inside") == ["no end inside"]
