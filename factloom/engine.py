@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterator
-from typing import Protocol
+from typing import TYPE_CHECKING, Protocol
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from factloom.operators import chunk, kb, planner, reasoner, vectors
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 
 class Translator(Protocol):
     """Turns chunks into statements and questions into goals."""

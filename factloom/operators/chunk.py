@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.text import merge_sentences, split_sentences
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 CHUNK_SIZE, CHUNK_OVERLAP, BATCH_SENTENCES, BATCH_CHARS = 512, 64, 4, 2000
 
 

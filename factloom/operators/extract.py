@@ -76,7 +76,7 @@ def _premises(body):
 
 def rule_premises(body: Column) -> Column:
     """Premises of a rule body as atoms; NULL if the body cannot be parsed. Rules are few beside facts."""
-    return F.udf(_premises, T.ArrayType(T.StringType()))(body)
+    return F.udf(_premises, T.ArrayType(T.StringType()), useArrow=True)(body)
 
 
 def attribute(name: str) -> Column:
