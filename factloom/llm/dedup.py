@@ -7,13 +7,15 @@ accepted records' token hashes, never as texts, and what was rejected is never r
 Chunk boundaries. Repeats are defined on sets of words and of statement bodies in any order, so runs of words cut by
 a rolling hash miss repeats whose words moved or changed here and there (measured in the README). The chunks here are
 therefore single tokens in one fixed order, rarest first: two records that share 0.7 of their tokens must share one
-of the first n - ceil(0.7 n) + 1 of each, so only those are stored and looked up, and no repeat is lost. What they
+of the first n - ceil(0.7 n) + 1 of each, and two of the first n - ceil(0.7 n) + 2. So only those are stored and looked
+up, a pair needs two of them, and no repeat is lost. What they
 share in all decides, counted exactly from the token hashes.
 
-Within a batch items repeat each other too. A batch is taken in slices of identifier order, the first one small: a
+A batch is added by History.add; repeats() adds a backlog of batches as one. Within a batch items repeat each other
+too. A batch is taken in slices of identifier order, the first one small: a
 family of near-copies is then represented in the table after its first slice and later members meet that one
-representative instead of each other, so the pairs of a family are bounded by the first slice's size. Exact copies
-inside a slice are reduced to their first before pairs are formed. Pairs are resolved in rounds: an item without an
+representative instead of each other, so the pairs of a family are bounded by the first slice's size. Exact copies are
+reduced to their first before, by hashes, and share what is decided for it. Pairs are resolved in rounds: an item without an
 undecided smaller neighbour is accepted, its neighbours are rejected.
 
 Defined cases: only items with status 'success' take part; NULL nl and NULL or empty atoms give an empty set, which
@@ -33,12 +35,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.llm.collapse import members
 from factloom.session import materialize, scratch_path
 
 #: Shared part of all tokens from which on an item repeats another, as tenths.
 TENTHS = 7
-#: Tokens that are ordered by frequency, the most frequent ones; any bound gives a valid order and the same result.
-ORDERED_TOKENS = 200_000
+#: Stored tokens that a candidate pair must share; sets of one token share that one.
+SHARED = 2
+#: Most tokens that are ordered by frequency; any bound and any choice of them give a valid order and the same result.
+ORDERED_TOKENS = 50_000
+#: Most rows of identifiers that are broadcast: some 10 MB.
+BROADCAST_ROWS = 400_000
 FIRST_SLICE = 15_000
 SLICE_GROWTH = 20
 
@@ -55,7 +62,7 @@ def statement_body(statement: str) -> str:
 
 
 def _hash(tokens: set[str]) -> list[int]:
-    return [xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in tokens]
+    return sorted(xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in tokens)
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,7 +78,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def hashed_items(items: DataFrame, records: DataFrame) -> DataFrame:
     """item_id, batch_no and the token hashes of both views of each successful item."""
-    done = items.where(F.col("status") == "success").select("item_id", "batch_no", "atoms").dropDuplicates(["item_id"])
+    done = items.where((F.col("status") == "success") & F.col("item_id").isNotNull()).select("item_id", "batch_no", "atoms").dropDuplicates(["item_id"])
     stored = records.where(F.col("item_id").isNotNull()).groupBy("item_id").agg(F.min_by("nl", "record_id").alias("nl"))
     both = done.join(stored, "item_id", "left")
     return both.mapInArrow(_tokens, "item_id long, batch_no int, words array<long>, bodies array<long>")
@@ -91,7 +98,8 @@ def _ordered(ranked: tuple[np.ndarray, np.ndarray]):
         df = np.where(known[at] == values, often[at], 0) if len(known) else np.zeros(len(values), np.int64)
         order = np.lexsort((values, df, row))
         values = values[order]
-        look = np.where(n > 0, n - (TENTHS * n + 9) // 10 + 1, 0)
+        least = (TENTHS * n + 9) // 10
+        look = n - least + np.minimum(SHARED, least)
         inside = np.arange(len(values)) - np.repeat(offsets[:-1], n) < np.repeat(look, n)
         ends = np.concatenate(([0], np.cumsum(look))).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values)), pa.ListArray.from_arrays(pa.array(ends), pa.array(values[inside]))
@@ -100,27 +108,31 @@ def _ordered(ranked: tuple[np.ndarray, np.ndarray]):
         for batch in batches:
             words, look_words = one(batch.column("words"))
             bodies, look_bodies = one(batch.column("bodies"))
+            sizes = [pa.array(np.diff(v.offsets.to_numpy()), pa.int32()) for v in (words, bodies)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("item_id"), batch.column("batch_no"), words, bodies, look_words, look_bodies],
-                names=["item_id", "batch_no", "words", "bodies", "look_words", "look_bodies"],
+                [batch.column("item_id"), batch.column("batch_no"), words, bodies, *sizes, look_words, look_bodies],
+                names=["item_id", "batch_no", "words", "bodies", "n_words", "n_bodies", "look_words", "look_bodies"],
             )
 
     return run
 
 
-KEYED = "item_id long, batch_no int, words array<long>, bodies array<long>, look_words array<long>, look_bodies array<long>"
+KEYED = "item_id long, batch_no int, words array<long>, bodies array<long>, n_words int, n_bodies int, look_words array<long>, look_bodies array<long>"
 
 
 def token_order(hashed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent tokens with their counts, sorted by token; kept for as long as the history is."""
-    tokens = hashed.select(F.explode(F.concat("words", "bodies")).alias("t"))
-    counts = tokens.groupBy("t").count().where("count > 1").orderBy(F.desc("count"), "t").limit(ORDERED_TOKENS).toPandas().sort_values("t")
-    return counts["t"].to_numpy(np.int64), counts["count"].to_numpy(np.int64)
+    """Tokens of at least one item in a thousand with their counts, sorted by token, and at most ORDERED_TOKENS of them;
+    kept for as long as the history is."""
+    least = F.greatest(F.lit(2), F.lit(hashed.count() // 1000))
+    counts = hashed.select(F.explode(F.concat("words", "bodies")).alias("t")).groupBy("t").count().where(F.col("count") >= least).limit(ORDERED_TOKENS).toArrow()
+    tokens, often = counts.column("t").to_numpy(), counts.column("count").to_numpy()
+    order = np.argsort(tokens)
+    return tokens[order], often[order]
 
 
 def _chunks(keyed: DataFrame) -> DataFrame:
-    """view, token, item_id and the size of its set: the rows of the chunk table."""
-    views = [F.struct(F.lit(i).alias("view"), F.size(v).alias("n"), F.col(f"look_{v}").alias("t")) for i, v in enumerate(("words", "bodies"))]
+    """view, token, item_id and the size of its set: the rows of the chunk table, out of the columns that hold them."""
+    views = [F.struct(F.lit(i).alias("view"), F.col(f"n_{v}").alias("n"), F.col(f"look_{v}").alias("t")) for i, v in enumerate(("words", "bodies"))]
     each = F.array(*views)
     return keyed.select("item_id", F.inline(each)).select("item_id", "view", "n", F.explode("t").alias("token"))
 
@@ -130,11 +142,23 @@ def _alike(a: Column, b: Column) -> Column:
     return (shared > 0) & (10 * shared >= TENTHS * (F.size(a) + F.size(b) - shared))
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """rows (a written table of one or two identifiers) as a broadcast if they are few, else for a shuffle."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def _without(keyed: DataFrame, ids: DataFrame) -> DataFrame:
+    """keyed without the items of ids(item_id)."""
+    return keyed.join(_small(ids), "item_id", "left_anti").select(*keyed.columns)
+
+
 def _verified(pairs: DataFrame, earlier: DataFrame, later: DataFrame) -> DataFrame:
-    """The pairs (first, later) that share enough of either view."""
-    a = earlier.selectExpr("item_id as first", "words as aw", "bodies as ab")
+    """The pairs (first, later) that share enough of either view. Token sets are only moved for items in a pair."""
+    pairs = materialize(pairs, "pairs")
+    firsts = materialize(pairs.select(F.col("first").alias("item_id")).distinct(), "firsts")
+    a = earlier.join(_small(firsts), "item_id", "left_semi").selectExpr("item_id as first", "words as aw", "bodies as ab")
     b = later.selectExpr("item_id as later", "words as bw", "bodies as bb")
-    both = pairs.join(b, "later").join(a, "first")
+    both = b.join(_small(pairs), "later").join(a, "first")
     return both.where(_alike(F.col("aw"), F.col("bw")) | _alike(F.col("ab"), F.col("bb"))).select("first", "later")
 
 
@@ -142,100 +166,102 @@ def _candidates(earlier: DataFrame, later: DataFrame, ordered: bool) -> DataFram
     a = earlier.selectExpr("view", "token", "item_id as first", "n as an")
     b = later.selectExpr("view", "token", "item_id as later", "n as bn")
     sizes = (10 * F.least("an", "bn") >= TENTHS * F.greatest("an", "bn")) & (F.lit(True) if not ordered else F.col("first") < F.col("later"))
-    return a.join(b, ["view", "token"]).where(sizes).select("first", "later").distinct()
+    met = a.join(b, ["view", "token"]).where(sizes).groupBy("first", "later", "view").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("an", "bn")).alias("n"))
+    return met.where(F.col("shared") >= F.least(F.lit(SHARED), F.col("n"))).select("first", "later").distinct()
 
 
-def _copies(keyed: DataFrame) -> DataFrame:
+def _copies(hashed: DataFrame) -> DataFrame:
     """item_id and same_as of each item with both sets like those of a smaller one: what is decided for that one holds
-    for it. Only hashes are shuffled; without this, copies would meet each other in pairs."""
-    some = keyed.where((F.size("words") > 0) | (F.size("bodies") > 0))
-    sets = some.select("item_id", F.xxhash64("words", "bodies").alias("h1"), F.xxhash64(F.lit(1), "bodies", F.lit(2), "words").alias("h2"))
-    return sets.select("item_id", F.expr("min(item_id) over (partition by h1, h2)").alias("same_as")).where("item_id <> same_as")
+    for it, so copies are never looked up and never meet each other. Only 128-bit hashes are shuffled, and those of sets
+    that many items have are not (see collapse)."""
+    some = hashed.where((F.size("words") > 0) | (F.size("bodies") > 0))
+    both = F.concat(*[F.lpad(F.hex(h), 16, "0") for h in (F.xxhash64("words", "bodies"), F.xxhash64(F.lit(1), "bodies", F.lit(2), "words"))])
+    groups = members(materialize(some.select(F.unhex(both).alias("key"), F.col("item_id").alias("id")), "item-keys"))
+    return groups.where("id <> first_id").select(F.col("id").alias("item_id"), F.col("first_id").alias("same_as"))
 
 
 class History:
-    """Accepted records and their chunk table, in the shared folder."""
+    """Accepted records with their chunks, in the shared folder: one part per slice."""
 
     def __init__(self, spark: SparkSession, path: str | None = None) -> None:
         self.spark, self.path, self.parts = spark, path or scratch_path(spark, "history"), 0
 
     def accepted(self) -> DataFrame:
-        return self.spark.read.schema(KEYED).parquet(f"{self.path}/accepted/*")
-
-    def chunks(self) -> DataFrame:
-        return self.spark.read.schema("item_id long, view int, n int, token long").parquet(f"{self.path}/chunks/*")
+        return self.spark.read.schema(KEYED).parquet(f"{self.path}/*")
 
     def append(self, keyed: DataFrame) -> None:
-        keyed.write.parquet(f"{self.path}/accepted/{self.parts}")
-        _chunks(self.spark.read.schema(KEYED).parquet(f"{self.path}/accepted/{self.parts}")).write.parquet(f"{self.path}/chunks/{self.parts}")
+        keyed.write.parquet(f"{self.path}/{self.parts}")
         self.parts += 1
 
+    def add(self, keyed: DataFrame) -> DataFrame:
+        """Adds a batch, whose item_ids follow those added before; returns (first, later) of what repeats an accepted
+        item, with the smallest one that it repeats. keyed should be cheap to read more than once (a written table)."""
+        span = keyed.agg(F.min("item_id").alias("lo"), F.max("item_id").alias("hi"), F.count(F.lit(1)).alias("n")).first()
+        none = self.spark.createDataFrame([], "first long, later long")
+        if not span.n:
+            return none
+        copies = materialize(_copies(keyed), "copies")
+        rest = _without(keyed, copies.select("item_id"))
+        out = none
+        for a, b in _slices(keyed, span.lo, span.hi, span.n):
+            for part in self.add_slice(rest.where(F.col("item_id").between(a, b))):
+                out = out.unionByName(part)
+        out = materialize(out, "repeats")
+        of_copies = copies.join(out.selectExpr("first as head", "later as same_as"), "same_as", "left")
+        return out.unionByName(of_copies.selectExpr("coalesce(head, same_as) as first", "item_id as later"))
+
     def add_slice(self, keyed: DataFrame) -> list[DataFrame]:
         """Accepts what repeats nothing accepted so far, in order of item_id; returns (first, later) of the rest."""
         found: list[DataFrame] = []
         if self.parts:
-            pairs = _candidates(self.chunks(), _chunks(keyed), ordered=False)
+            pairs = _candidates(_chunks(self.accepted()), _chunks(keyed), ordered=False)
             repeats = _verified(pairs, self.accepted(), keyed).groupBy("later").agg(F.min("first").alias("first"))
             found.append(materialize(repeats.select("first", "later"), "repeats"))
-            keyed = keyed.join(found[0], keyed["item_id"] == found[0]["later"], "left_anti")
-        copies = materialize(_copies(keyed), "copies")
-        keyed = keyed.join(copies, "item_id", "left_anti")
+            keyed = _without(keyed, found[0].select(F.col("later").alias("item_id")))
         own = _chunks(keyed)
         edges = materialize(_verified(_candidates(own, own, ordered=True), keyed, keyed), "edges")
-        if edges.isEmpty():
-            found.append(copies.selectExpr("same_as as first", "item_id as later"))
-        else:
-            dead = self._rejected(edges)
+        dead = _rejected(edges)
+        if dead is not None:
             kept = edges.join(dead.selectExpr("later as first"), "first", "left_anti").join(dead, "later")
-            near = materialize(kept.groupBy("later").agg(F.min("first").alias("first")).select("first", "later"), "repeats")
-            of_near = copies.join(near.selectExpr("first as head", "later as same_as"), "same_as", "left")
-            found += [near, of_near.selectExpr("coalesce(head, same_as) as first", "item_id as later")]
-            keyed = keyed.join(near, keyed["item_id"] == near["later"], "left_anti")
+            found.append(kept.groupBy("later").agg(F.min("first").alias("first")).select("first", "later"))
+            keyed = _without(keyed, dead.select(F.col("later").alias("item_id")))
         self.append(keyed)
         return found
 
-    def _rejected(self, edges: DataFrame) -> DataFrame:
-        """Items that are not accepted when the pairs are resolved in order of item_id."""
-        dead: DataFrame | None = None
-        while True:
-            heads = edges.select("first").distinct().join(edges.selectExpr("later as first").distinct(), "first", "left_anti")
-            new = materialize(edges.join(heads, "first").select("later").distinct(), "rejected")
-            dead = new if dead is None else dead.unionByName(new)
-            rest = edges.join(new, "later", "left_anti").join(new.selectExpr("later as first"), "first", "left_anti")
-            edges = materialize(rest.select("first", "later"), "edges")
-            if edges.isEmpty():
-                return dead
+
+def _rejected(edges: DataFrame) -> DataFrame | None:
+    """Items (later) that are not accepted when the pairs are resolved in order of item_id; None if there is no pair.
+
+    A round rejects the partners of the items that have no undecided smaller one; pairs of rejected items then drop
+    out. A few rounds do, as one more is needed only where repeats form chains; every fourth writes its pairs.
+    """
+    dead: DataFrame | None = None
+    rounds = 0
+    while not edges.isEmpty():
+        rounds += 1
+        if rounds % 4 == 0:
+            edges = materialize(edges, "edges")
+        heads = edges.select("first").distinct().join(edges.selectExpr("later as first").distinct(), "first", "left_anti")
+        new = materialize(edges.join(heads, "first").select("later").distinct(), "rejected")
+        dead = new if dead is None else dead.unionByName(new)
+        edges = edges.join(new, "later", "left_anti").join(new.selectExpr("later as first"), "first", "left_anti").select("first", "later")
+    return dead
+
+
+def keyed_items(items: DataFrame, records: DataFrame, order: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """The items in the form that a history takes, written once. order: that of the history; a new one by default."""
+    hashed = materialize(hashed_items(items, records), "hashed-items")
+    return materialize(hashed.mapInArrow(_ordered(token_order(hashed) if order is None else order), KEYED), "keyed-items")
 
 
 def repeats(items: DataFrame, records: DataFrame) -> DataFrame:
     """first_item_id, later_item_id: every item that repeats an accepted one, with the smallest that it repeats.
 
-    Batches are added one after the other in order of batch_no, whose item_ids ascend; on overlapping batches, whole
-    runs of them are taken as one so that order of item_id holds.
+    The batches at hand are added to a new history as one arrival: a backlog then takes as many slices as its size
+    needs and not some for every batch. Adding them one by one gives the same rows, as item_ids ascend with batches.
     """
-    spark = items.sparkSession
-    hashed = materialize(hashed_items(items, records), "hashed-items")
-    spans = sorted((r.lo, r.hi, r.n) for r in hashed.groupBy("batch_no").agg(F.min("item_id").alias("lo"), F.max("item_id").alias("hi"), F.count(F.lit(1)).alias("n")).collect())
-    merged: list[list[int]] = []
-    for lo, hi, n in spans:
-        if merged and lo <= merged[-1][1]:
-            merged[-1] = [merged[-1][0], max(hi, merged[-1][1]), merged[-1][2] + n]
-        else:
-            merged.append([lo, hi, n])
-    if not merged:
-        return spark.createDataFrame([], "first_item_id long, later_item_id long")
-    order = token_order(hashed)
-    keyed = materialize(hashed.mapInArrow(_ordered(order), KEYED), "keyed-items")
-    history = History(spark)
-    found: list[DataFrame] = []
-    for lo, hi, n in merged:
-        batch = keyed.where(F.col("item_id").between(lo, hi))
-        for a, b in _slices(batch, lo, hi, n):
-            found += history.add_slice(batch.where(F.col("item_id").between(a, b)))
-    out = spark.createDataFrame([], "first long, later long") if not found else found[0]
-    for part in found[1:]:
-        out = out.unionByName(part)
-    return out.select(F.col("first").alias("first_item_id"), F.col("later").alias("later_item_id"))
+    found = History(items.sparkSession).add(keyed_items(items, records))
+    return found.select(F.col("first").alias("first_item_id"), F.col("later").alias("later_item_id"))
 
 
 def _slices(batch: DataFrame, lo: int, hi: int, n: int) -> list[tuple[int, int]]:

@@ -58,6 +58,20 @@ def test_against_brute_force(spark, monkeypatch, first_slice):
     assert {tuple(r) for r in got.collect()} == brute(items, records)
 
 
+def test_batch_by_batch_gives_the_same(spark):
+    rnd = random.Random(7)
+    texts = [" ".join(rnd.choices("abcdefghij", k=6)) for _ in range(25)]
+    items = [(i, i // 20, "success", [f"(: n (P {rnd.choice('xyz')}{i % 9} b) (STV 1 1))"]) for i in range(80)]
+    records = [(i, i, rnd.choice(texts)) for i in range(80)]
+    df, rec = spark.createDataFrame(items, ITEMS), spark.createDataFrame(records, RECORDS)
+    order = dedup.token_order(dedup.hashed_items(df.where("batch_no = 0"), rec))
+    history, got = dedup.History(spark), set()
+    for b in range(4):
+        got |= {tuple(r) for r in history.add(dedup.keyed_items(df.where(f"batch_no = {b}"), rec, order)).collect()}
+    assert got == brute(items, records) == {tuple(r) for r in dedup.repeats(df, rec).collect()}
+    assert history.add(dedup.keyed_items(df.limit(0), rec, order)).count() == 0
+
+
 def test_hot_family_and_empty(spark):
     items = [(i, i // 100, "success", [f"(: n (P a{i % 3} b) (STV 1 1))"]) for i in range(300)]
     records = [(i, i, f"one two three four five six {i % 3}") for i in range(300)]
