@@ -3,10 +3,13 @@
 Trusted labels come from rules that read the whole text: a page is residue if some of its sentences are filler, a
 notice or a bare null value and none is content, whatever frame is around; a slot is residue wherever it stands in
 running text. Page labels then spread to near-duplicates: documents are reduced to one per core (text without
-frame, case, digits and layout), 64-bit SimHashes of their five-word shingles are cut into four tables by 16-bit
-parts (which miss no pair that differs in three bits or fewer), pairs in a table that differ in at most MAX_BITS bits
-are verified by the shingles' similarity (0.8 or more), and labels walk along the verified links, round by round, until no component that holds a trusted label has an
-unlabelled member left. Slot labels do not spread: a near-duplicate may have the slot filled in.
+frame, case, digits and layout), and pairs of cores whose five-word shingles are similar (0.8 or more) are linked.
+Labels walk along the links, round by round, until no component that holds a trusted label has an unlabelled member
+left. Slot labels do not spread: a near-duplicate may have the slot filled in.
+
+Candidates come from an exact prefix filter, so no link is missed: sets that share 0.8 of all their shingles must share
+two of the first n - ceil(0.8 n) + 2 of each in one fixed order (that of the hashes), and their sizes differ by a quarter
+at most. The shingles of the candidates decide. SimHashes missed most links near 0.8 (see the README).
 
 Only links between labelled and unlabelled cores are ever formed, so a bucket of equal notices costs no pairs.
 
@@ -16,6 +19,7 @@ with one doc_id count each by its own text.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -30,8 +34,12 @@ from factloom.session import materialize
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-BANDS = 4
-MAX_BITS = 12
+#: Looked-up shingles that a candidate pair must share; sets of one shingle share that one.
+SHARED = 2
+#: Logarithm by which the sizes of linked sets differ at most.
+SIZE_STEP = -math.log(SIMILARITY) + 1e-9
+#: Most looked-up rows of labelled cores that are broadcast: some 15 MB.
+BROADCAST_ROWS = 200_000
 
 # Forms of unfilled slots.
 NAME = r"[^\W\d][\w.\-]{0,39}"
@@ -220,76 +228,103 @@ def simhash(shingles: np.ndarray) -> int:
     return int(np.packbits(bits * 2 > len(shingles), bitorder="little").view(np.int64)[0])
 
 
-FEATURES = "doc_id long, label string, core binary, simhash long"
+def prefix(shingles: np.ndarray) -> np.ndarray:
+    """The part of a sorted set that has to be looked up."""
+    n = len(shingles)
+    least = math.ceil(SIMILARITY * n - 1e-9)
+    return shingles[: n - least + min(SHARED, least)]
+
+
+FEATURES = "doc_id long, label string, core binary, size int, look array<long>"
+
+
+def _core(found: list[str]) -> bytes | None:
+    return xxhash.xxh3_128_digest("\x1f".join(found)) if found else None
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingle = Shingler()
     for batch in batches:
-        ids, labels, cores, hashes = [], [], [], []
+        ids, labels, cores, sizes, looks = [], [], [], [], []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if not text.strip():
                 continue
             found = core_words(text)
             ids.append(doc_id)
             labels.append("slot" if has_slot(text) and not NULLS.fullmatch(text.strip()) else page_label(text))
-            cores.append(xxhash.xxh3_128_digest("\x1f".join(found)) if found else None)
-            hashes.append(simhash(shingle(found)) if found else None)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(labels, pa.string()), pa.array(cores, pa.binary()), pa.array(hashes, pa.int64())], names=["doc_id", "label", "core", "simhash"])
+            shingles = shingle(found) if found else None
+            cores.append(_core(found))
+            sizes.append(len(shingles) if found else None)
+            looks.append(prefix(shingles).view(np.int64) if found else None)
+        columns = [pa.array(ids, pa.int64()), pa.array(labels, pa.string()), pa.array(cores, pa.binary()), pa.array(sizes, pa.int32()), pa.array(looks, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "label", "core", "size", "look"])
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingle = Shingler()
     for batch in batches:
-        sets = [shingle(core_words(t)).view(np.int64) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+        words = [core_words(t) for t in batch.column(1).to_pylist()]
+        sets = [shingle(found).view(np.int64) for found in words]
+        yield pa.RecordBatch.from_arrays([pa.array([_core(found) for found in words], pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["core", "shingles"])
 
 
 def features(documents: DataFrame) -> DataFrame:
-    """doc_id, trusted label or NULL, key of the core and its SimHash; one pass over the texts, no shuffle."""
+    """doc_id, trusted label or NULL, key of the core, number of its shingles and those to look up; one pass over the texts, no shuffle."""
     rows = documents.select(F.col("doc_id").cast("long"), "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     return rows.mapInArrow(_features, FEATURES)
 
 
-def _bands(reps: DataFrame, name: str) -> DataFrame:
-    parts = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("simhash", 16 * i).bitwiseAND(F.lit(0xFFFF)).alias("part")) for i in range(BANDS)])
-    return reps.select(F.col("doc_id").alias(name), F.col("simhash").alias(f"{name}_hash"), *[c for c in ("label",) if c in reps.columns], F.inline(parts))
+def _looked_up(reps: DataFrame, name: str, around: int) -> DataFrame:
+    """A row for each shingle that is looked up and each step of size up to `around` from that of its set."""
+    step = F.floor(F.log("size") / SIZE_STEP).cast("int")
+    steps = F.array(*[step + i for i in range(-around, around + 1)])
+    rows = reps.select(F.col("core").alias(name), F.col("size").alias(f"{name}_size"), "look", F.explode(steps).alias("step"))
+    return rows.select(name, f"{name}_size", "step", F.explode("look").alias("token"))
+
+
+def _candidates(frontier: DataFrame, rest: DataFrame) -> DataFrame:
+    """The pairs (l, u) of cores that may be similar enough; all that are, are among them."""
+    labelled = _looked_up(frontier, "l", 1)
+    if frontier.agg(F.coalesce(F.sum(3 * F.size("look")), F.lit(0))).first()[0] <= BROADCAST_ROWS:
+        labelled = F.broadcast(labelled)
+    small, large = F.least("l_size", "u_size"), F.greatest("l_size", "u_size")
+    met = _looked_up(rest, "u", 0).join(labelled, ["token", "step"]).where(small >= SIMILARITY * large - 1e-9)
+    counted = met.groupBy("l", "u").agg(F.count(F.lit(1)).alias("shared"), F.min(small).alias("n"))
+    return counted.where(F.col("shared") >= F.least(F.lit(SHARED), F.col("n"))).select("l", "u")
 
 
 def residue(documents: DataFrame) -> DataFrame:
     """doc_id and label of each residue document.
 
-    Texts are read once for labels and SimHashes; later rounds read only the texts of candidate pairs.
+    Texts are read once for labels and prefixes; later rounds read only the texts of candidate pairs.
     """
     seen = materialize(features(documents), "residue-features")
     page = F.when(F.col("label") != "slot", F.col("label"))
-    groups = seen.where(F.col("core").isNotNull()).groupBy("core").agg(F.min("doc_id").alias("doc_id"), F.min("simhash").alias("simhash"), F.min(page).alias("label"), F.count_if(F.col("label") == "slot").alias("slots"))
+    groups = seen.where(F.col("core").isNotNull()).groupBy("core").agg(F.min("doc_id").alias("doc_id"), F.any_value("size").alias("size"), F.any_value("look").alias("look"), F.min(page).alias("label"), F.count_if(F.col("label") == "slot").alias("slots"))
     groups = materialize(groups, "residue-cores")
-    frontier = groups.where(F.col("label").isNotNull()).select("doc_id", "simhash", "label")
-    rest = groups.where(F.col("label").isNull() & (F.col("slots") == 0)).select("doc_id", "simhash")
+    frontier = groups.where(F.col("label").isNotNull()).select("core", "size", "look", "label")
+    rest = groups.where(F.col("label").isNull() & (F.col("slots") == 0)).select("core", "size", "look")
     spread = None
     while True:
-        close = F.bit_count(F.col("u_hash").bitwiseXOR(F.col("l_hash"))) <= MAX_BITS
-        pairs = _bands(frontier, "l").join(_bands(rest, "u"), ["band", "part"]).where(close).select("l", "u", "label").distinct()
-        pairs = materialize(pairs, "residue-pairs")
+        pairs = materialize(_candidates(frontier, rest), "residue-pairs")
         if pairs.isEmpty():
             break
-        ids = pairs.select(F.col("l").alias("doc_id")).union(pairs.select("u")).distinct()
+        ids = pairs.select(F.col("l").alias("core")).union(pairs.select("u")).distinct().join(groups.select("core", "doc_id"), "core").select("doc_id").distinct()
         texts = documents.select(F.col("doc_id").cast("long"), "text").where(F.col("text").isNotNull()).join(ids, "doc_id", "left_semi")
-        sets = texts.mapInArrow(_shingles, "doc_id long, shingles array<long>")
-        both = pairs.join(sets.selectExpr("doc_id l", "shingles ls"), "l").join(sets.selectExpr("doc_id u", "shingles us"), "u")
+        sets = texts.mapInArrow(_shingles, "core binary, shingles array<long>")
+        both = pairs.join(sets.selectExpr("core l", "shingles ls"), "l").join(sets.selectExpr("core u", "shingles us"), "u").join(frontier.selectExpr("core l", "label"), "l")
         common = F.size(F.array_intersect("ls", "us"))
         linked = both.where(common >= SIMILARITY * (F.size("ls") + F.size("us") - common)).groupBy("u").agg(F.min("label").alias("label"))
-        new = materialize(linked.join(rest, linked["u"] == rest["doc_id"]).select("doc_id", "simhash", "label"), "residue-linked")
+        new = materialize(linked.join(rest, linked["u"] == rest["core"]).select("core", "size", "look", "label"), "residue-linked")
         if new.isEmpty():
             break
         spread = new if spread is None else spread.unionByName(new)
-        rest = rest.join(new.select("doc_id"), "doc_id", "left_anti")
+        rest = rest.join(new.select("core"), "core", "left_anti")
         frontier = new
     trusted = seen.where(F.col("label").isNotNull()).select("doc_id", "label")
     if spread is None:
         return trusted
-    cores = groups.select("core", "doc_id").join(spread.select("doc_id", F.col("label").alias("spread")), "doc_id").select("core", "spread")
+    cores = spread.select("core", F.col("label").alias("spread"))
     found = seen.where(F.col("label").isNull()).join(cores, "core").select("doc_id", F.col("spread").alias("label"))
     return trusted.unionByName(found)
 

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from factloom.llm import residue as R
@@ -61,3 +63,29 @@ def test_long_texts_are_read_whole():
 def test_simhash(n):
     s = R.Shingler()(["a"] * n + ["b"])
     assert -(2**63) <= R.simhash(s) < 2**63 and R.simhash(s) == R.simhash(R.Shingler()(["a"] * n + ["b"]))
+
+
+def test_every_similar_pair_is_linked(spark):
+    """Each labelled page has unlabelled copies with some words changed; all of similarity 0.8 or more are found."""
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choices("bcdfghklmnprst", k=9))
+    docs, want, shares = [], set(), []
+    for page in range(60):
+        words = [word() for _ in range(rnd.choice([1, 3, 6, 12, 60, 300]))]
+        first = len(docs)
+        docs.append((first, "Error 503: " + " ".join(words)))
+        for changed in (0, 1, 1, 1, 2, 3, 4, 6, 8):
+            copy = list(words)
+            for at in rnd.sample(range(len(copy)), min(changed, len(copy))):
+                copy[at] = word()
+            docs.append((len(docs), "Note 503 " + " ".join(copy)))
+        sets = {i: set(R.Shingler()(R.core_words(t)).tolist()) for i, t in docs[first:]}
+        group, more = {first}, True
+        while more:
+            near = {i for i in sets for j in group if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])}
+            shares += [len(sets[i] & sets[first]) / len(sets[i] | sets[first]) for i in near if first < i]
+            more = near > group
+            group |= near
+        want |= group
+    got = {r.doc_id for r in R.residue(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == want and sum(0.8 <= x < 0.9 for x in shares) > 20
