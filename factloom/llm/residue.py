@@ -13,8 +13,8 @@ at most. The shingles of the candidates decide. SimHashes missed most links near
 
 Only links between labelled and unlabelled cores are ever formed, so a bucket of equal notices costs no pairs.
 
-Defined cases: NULL and blank texts and rows without doc_id carry no label; texts are read whole; exact copies share their label; documents
-with one doc_id count each by its own text.
+Defined cases: NULL and blank texts and rows without doc_id carry no label; texts are read whole; exact copies and other layouts of one core share
+their page label; documents with one doc_id count each by its own text.
 """
 
 from __future__ import annotations
@@ -304,7 +304,7 @@ def residue(documents: DataFrame) -> DataFrame:
     groups = materialize(groups, "residue-cores")
     frontier = groups.where(F.col("label").isNotNull()).select("core", "size", "look", "label")
     rest = groups.where(F.col("label").isNull() & (F.col("slots") == 0)).select("core", "size", "look")
-    spread = None
+    spread = frontier.select("core", "label")
     while True:
         pairs = materialize(_candidates(frontier, rest), "residue-pairs")
         if pairs.isEmpty():
@@ -318,12 +318,10 @@ def residue(documents: DataFrame) -> DataFrame:
         new = materialize(linked.join(rest, linked["u"] == rest["core"]).select("core", "size", "look", "label"), "residue-linked")
         if new.isEmpty():
             break
-        spread = new if spread is None else spread.unionByName(new)
+        spread = spread.unionByName(new.select("core", "label"))
         rest = rest.join(new.select("core"), "core", "left_anti")
         frontier = new
     trusted = seen.where(F.col("label").isNotNull()).select("doc_id", "label")
-    if spread is None:
-        return trusted
     cores = spread.select("core", F.col("label").alias("spread"))
     found = seen.where(F.col("label").isNull()).join(cores, "core").select("doc_id", F.col("spread").alias("label"))
     return trusted.unionByName(found)

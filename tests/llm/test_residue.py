@@ -89,3 +89,13 @@ def test_every_similar_pair_is_linked(spark):
         want |= group
     got = {r.doc_id for r in R.residue(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == want and sum(0.8 <= x < 0.9 for x in shares) > 20
+
+
+def test_layouts_of_one_core_share_the_label(spark):
+    notice = "The requested entry could not be located on this server so please go to the start page of this archive now"
+    wrapped = notice.replace("so please", "so\nplease")
+    stated = notice + "\n(: one (IsA the_first_long_statement of_this_page) (STV 1.0 0.9))"
+    docs = [(1, notice), (2, wrapped), (3, stated), (4, SLOTS[0]), (5, SLOTS[0].replace("{{name}}", "name")), (6, CLEAN[4])]
+    assert R.page_label(notice) == "notice" and R.page_label(wrapped) is None and R.page_label(stated) is None
+    got = {(r.doc_id, r.label) for r in R.residue(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {(1, "notice"), (2, "notice"), (3, "notice"), (4, "slot")}
