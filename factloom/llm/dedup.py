@@ -120,16 +120,27 @@ def _ordered(ranked: tuple[np.ndarray, np.ndarray]):
 KEYED = "item_id long, batch_no int, words array<long>, bodies array<long>, n_words int, n_bodies int, look_words array<long>, look_bodies array<long>"
 
 
-def token_order(hashed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of at least one item in a thousand with their counts, sorted by token, and at most ORDERED_TOKENS of them;
-    kept for as long as the history is."""
+ORDER = "t long, count long"
+
+
+def _token_counts(hashed: DataFrame) -> DataFrame:
+    """Tokens of at least one item in a thousand with their counts, and at most ORDERED_TOKENS of them."""
     least = F.greatest(F.lit(2), F.lit(hashed.count() // 1000))
-    counts = hashed.select(F.explode(F.concat("words", "bodies")).alias("t")).groupBy("t").count().where(F.col("count") >= least).limit(ORDERED_TOKENS).toArrow()
+    return hashed.select(F.explode(F.concat("words", "bodies")).alias("t")).groupBy("t").count().where(F.col("count") >= least).limit(ORDERED_TOKENS)
+
+
+def _sorted_order(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    counts = counted.toArrow()
     tokens, often = counts.column("t").to_numpy(), counts.column("count").to_numpy()
     order = np.argsort(tokens)
     return tokens[order], often[order]
 
 
+def token_order(hashed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The counted tokens, sorted by token. A history stores its own and keeps it."""
+    return _sorted_order(_token_counts(hashed))
+
+
 def _chunks(keyed: DataFrame) -> DataFrame:
     """view, token, item_id and the size of its set: the rows of the chunk table, out of the columns that hold them."""
     views = [F.struct(F.lit(i).alias("view"), F.col(f"n_{v}").alias("n"), F.col(f"look_{v}").alias("t")) for i, v in enumerate(("words", "bodies"))]
@@ -181,25 +192,51 @@ def _copies(hashed: DataFrame) -> DataFrame:
 
 
 class History:
-    """Accepted records with their chunks, in the shared folder: one part per slice."""
+    """Accepted records with their chunks, in the shared folder: one part per slice, and beside them the token order by
+    which all are stored. A History opened on an existing path goes on with what is there.
+
+    A part counts once it is written to its end; what an interrupted write left is written over. One writer at a time.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None) -> None:
         self.spark, self.path, self.parts = spark, path or scratch_path(spark, "history"), 0
+        self.order = self._stored_order() if self._complete("order") else None
+        while self._complete(f"parts/{self.parts}"):
+            self.parts += 1
+        if self.parts and self.order is None:
+            raise ValueError(f"{self.path} has parts but no token order")
+
+    def _complete(self, folder: str) -> bool:
+        done = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}/_SUCCESS")
+        return done.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
+
+    def _stored_order(self) -> tuple[np.ndarray, np.ndarray]:
+        return _sorted_order(self.spark.read.schema(ORDER).parquet(f"{self.path}/order"))
 
     def accepted(self) -> DataFrame:
-        return self.spark.read.schema(KEYED).parquet(f"{self.path}/*")
+        return self.spark.read.schema(KEYED).parquet(*[f"{self.path}/parts/{k}" for k in range(self.parts)])
 
     def append(self, keyed: DataFrame) -> None:
-        keyed.write.parquet(f"{self.path}/{self.parts}")
+        keyed.write.mode("overwrite").parquet(f"{self.path}/parts/{self.parts}")
         self.parts += 1
 
-    def add(self, keyed: DataFrame) -> DataFrame:
-        """Adds a batch, whose item_ids follow those added before; returns (first, later) of what repeats an accepted
-        item, with the smallest one that it repeats. keyed should be cheap to read more than once (a written table)."""
-        span = keyed.agg(F.min("item_id").alias("lo"), F.max("item_id").alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    def keyed(self, hashed: DataFrame) -> DataFrame:
+        """The items in the stored order, written once; the first batch decides the order."""
+        if self.order is None:
+            _token_counts(hashed).write.mode("overwrite").parquet(f"{self.path}/order")
+            self.order = self._stored_order()
+        return materialize(hashed.mapInArrow(_ordered(self.order), KEYED), "keyed-items")
+
+    def add(self, hashed: DataFrame) -> DataFrame:
+        """Adds a batch (hashed_items, or keyed_items of any order), whose item_ids follow those added before; returns
+        (first, later) of what repeats an accepted item, with the smallest one that it repeats. The batch should be cheap
+        to read more than once (a written table)."""
+        hashed = hashed.select("item_id", "batch_no", "words", "bodies")
+        span = hashed.agg(F.min("item_id").alias("lo"), F.max("item_id").alias("hi"), F.count(F.lit(1)).alias("n")).first()
         none = self.spark.createDataFrame([], "first long, later long")
         if not span.n:
             return none
+        keyed = self.keyed(hashed)
         copies = materialize(_copies(keyed), "copies")
         rest = _without(keyed, copies.select("item_id"))
         out = none
@@ -249,7 +286,7 @@ def _rejected(edges: DataFrame) -> DataFrame | None:
 
 
 def keyed_items(items: DataFrame, records: DataFrame, order: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
-    """The items in the form that a history takes, written once. order: that of the history; a new one by default."""
+    """The items by a token order, a new one by default, written once. A history orders what it is given by its own."""
     hashed = materialize(hashed_items(items, records), "hashed-items")
     return materialize(hashed.mapInArrow(_ordered(token_order(hashed) if order is None else order), KEYED), "keyed-items")
 
@@ -260,7 +297,7 @@ def repeats(items: DataFrame, records: DataFrame) -> DataFrame:
     The batches at hand are added to a new history as one arrival: a backlog then takes as many slices as its size
     needs and not some for every batch. Adding them one by one gives the same rows, as item_ids ascend with batches.
     """
-    found = History(items.sparkSession).add(keyed_items(items, records))
+    found = History(items.sparkSession).add(materialize(hashed_items(items, records), "hashed-items"))
     return found.select(F.col("first").alias("first_item_id"), F.col("later").alias("later_item_id"))
 
 

@@ -79,3 +79,17 @@ def test_hot_family_and_empty(spark):
     assert {tuple(r) for r in dedup.repeats(df, rec).collect()} == brute(items, records)
     assert dedup.repeats(df.limit(0), rec).count() == 0
     assert dedup.repeats(df, rec.limit(0)).count() == 297
+
+
+def test_history_is_opened_again(spark, tmp_path):
+    rnd = random.Random(11)
+    items = [(i, i // 30, "success", []) for i in range(90)]
+    texts = [" ".join(rnd.sample("abcdefghijklmnop", 7)) for _ in range(12)]
+    records = [(i, i, rnd.choice(texts).replace(rnd.choice("abcdefghijklmnop"), rnd.choice("xyz"))) for i in range(90)]
+    df, rec = spark.createDataFrame(items, ITEMS), spark.createDataFrame(records, RECORDS)
+    got = set()
+    for b in range(3):
+        history = dedup.History(spark, str(tmp_path / "history"))
+        assert history.parts == b and (history.order is None) == (b == 0)
+        got |= {tuple(r) for r in history.add(dedup.keyed_items(df.where(f"batch_no = {b}"), rec)).collect()}
+    assert got == brute(items, records) and any(a // 30 < b // 30 for a, b in got)
