@@ -143,7 +143,7 @@ class Engine:
         rows = self.facts().where(F.col("kind") == "rule").select("stmt").toLocalIterator()
         return [r for row in rows for r in reasoner.parse_rule(row.stmt)]
 
-    def goal(self, goal: str, max_rounds: int = 100) -> DataFrame:
+    def goal(self, goal: str, max_rounds: int | None = None) -> DataFrame:
         """Bindings of a goal: facts first, else the fixpoint of the rules from which its predicate can be reached."""
         base = self.facts().where(F.col("kind") == "fact").select("head", "args", F.coalesce("tv.s", F.lit(1.0)).alias("s"), F.coalesce("tv.c", F.lit(1.0)).alias("c"))
         direct = reasoner.answers(base, goal)

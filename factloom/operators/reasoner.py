@@ -159,9 +159,10 @@ def relevant(rules: list[Rule], goal_head: str) -> list[Rule]:
         wanted |= {p.head for r in more for p in r.premises}
 
 
-def fixpoint(facts: DataFrame, rules: list[Rule], max_rounds: int = 100, closed_world: bool = False) -> DataFrame:
+def fixpoint(facts: DataFrame, rules: list[Rule], max_rounds: int | None = None, closed_world: bool = False) -> DataFrame:
     """All facts that follow, semi-naive: in each round every rule joins the newest facts with all facts.
 
+    Ends when a round finds nothing new, as atoms are finite; max_rounds raises an error where more rounds would be needed.
     New are facts whose head and arguments were unknown, so cycles end. Rounds are written to the shared folder, so a
     plan never grows with the number of rounds and a lost executor costs a reread.
     """
@@ -171,7 +172,8 @@ def fixpoint(facts: DataFrame, rules: list[Rule], max_rounds: int = 100, closed_
             raise ValueError("negation under the closed world needs predicates that no rule derives")
     all_ = materialize(best(facts.select("head", "args", "s", "c")), "facts")
     delta = all_
-    for _ in range(max_rounds):
+    rounds = 0
+    while True:
         out: DataFrame | None = None
         for rule in rules:
             for i, newest in enumerate(rule.premises):
@@ -186,6 +188,9 @@ def fixpoint(facts: DataFrame, rules: list[Rule], max_rounds: int = 100, closed_
         delta = materialize(fresh, "delta")
         if delta.isEmpty():
             break
+        rounds += 1
+        if max_rounds is not None and rounds > max_rounds:
+            raise RuntimeError(f"facts still follow after {max_rounds} rounds")
         all_ = all_.unionByName(delta)
     return all_
 

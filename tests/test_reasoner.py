@@ -1,3 +1,4 @@
+import inspect
 import random
 
 import pytest
@@ -56,3 +57,12 @@ def test_negation_disjunction_and_errors(spark):
     assert closed(R.fixpoint(base.limit(0), either)) == set()
     same = R.match(facts(spark, [("P", ("a", "a"), 1.0), ("P", ("a", "b"), 1.0)]), R.Atom("P", ("$x", "$x")))
     assert [r["$x"] for r in same.collect()] == ["a"]
+
+
+def test_fixpoint_never_stops_short(spark):
+    rule = R.parse_rule("(: l (Implication (Premises (Edge $x $y) (Reaches $y $z)) (Conclusions (Reaches $x $z))) (STV 1.0 1.0))")
+    base = facts(spark, [("Edge", (str(i), str(i + 1)), 1.0) for i in range(4)] + [("Reaches", ("4", "5"), 1.0)])
+    assert len(closed(R.fixpoint(base, rule, max_rounds=4))) == 9
+    with pytest.raises(RuntimeError):
+        R.fixpoint(base, rule, max_rounds=3)
+    assert inspect.signature(R.fixpoint).parameters["max_rounds"].default is None
