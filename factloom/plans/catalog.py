@@ -348,6 +348,20 @@ def rule_transitive_closure(spark, sf):
     return out.select(F.get("args", F.lit(0)).alias("a"), F.get("args", F.lit(1)).alias("b"))
 
 
+@query()
+def rule_transitive_closure_triples(spark, sf):
+    """All that IsA and PartOf reach over the eligible triples, each by itself. The rule is linear, so a round joins the
+    newest pairs with the triples only."""
+    rows = triples.eligible(table(spark, sf, "conceptnet_assertions")).where(F.col("predicate").isin("IsA", "PartOf"))
+    one = F.lit(1.0)
+    edges = rows.select("predicate", F.array("source", "target").alias("args")).distinct()
+    edges = edges.select(F.inline(F.array(*[F.struct(F.concat("predicate", F.lit(k)).alias("head"), "args", one.alias("s"), one.alias("c")) for k in ("", "Reaches")])))
+    rule = "(: trans (Implication (Premises ({0} $x $y) ({0}Reaches $y $z)) (Conclusions ({0}Reaches $x $z))) (STV 1.0 1.0))"
+    out = reasoner.fixpoint(edges, [r for p in ("IsA", "PartOf") for r in reasoner.parse_rule(rule.format(p))])
+    reached = out.where(F.col("head").isin("IsAReaches", "PartOfReaches"))
+    return reached.select(F.regexp_replace("head", "Reaches$", "").alias("predicate"), F.get("args", F.lit(0)).alias("a"), F.get("args", F.lit(1)).alias("b"))
+
+
 @query("select 'customer_' || c_custkey as who from customer where c_custkey not in (select o_custkey from orders)")
 def negation_as_failure(spark, sf):
     facts = relational.classes(spark, sf).unionByName(relational.orders_by(spark, sf))

@@ -66,3 +66,18 @@ def test_fixpoint_never_stops_short(spark):
     with pytest.raises(RuntimeError):
         R.fixpoint(base, rule, max_rounds=3)
     assert inspect.signature(R.fixpoint).parameters["max_rounds"].default is None
+
+
+def test_closure_of_the_triples(spark, tmp_path):
+    from factloom.plans import catalog
+
+    rnd = random.Random(4)
+    edges = {(p, rnd.choice("abcdefgh"), rnd.choice("abcdefgh")) for p in ("IsA", "PartOf") for _ in range(8)} | {("IsA", "x", "y"), ("IsA", "y", "x")}
+    rows = [(f"/r/{p}", f"/c/en/{a * 3}", f"/c/en/{b * 3}", '{"weight": 2.0}') for p, a, b in edges] + [("/r/IsA", "/c/en/yyy", "/c/en/weak", '{"weight": 1.0}')]
+    spark.createDataFrame(rows, "relation string, start_uri string, end_uri string, metadata_json string").write.parquet(str(tmp_path / "conceptnet_assertions.parquet"))
+    want, more = set(edges), True
+    while more:
+        new = {(p, a, d) for p, a, b in want for q, c, d in edges if (p, b) == (q, c)} - want
+        want, more = want | new, bool(new)
+    got = [tuple(r) for r in catalog.queries()["rule_transitive_closure_triples"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and set(got) == {(p, a * 3, b * 3) for p, a, b in want}
