@@ -154,7 +154,8 @@ class Engine:
         return reasoner.answers(reasoner.fixpoint(base, rules, max_rounds), goal) if rules else direct
 
     def query(self, question: str, support: DataFrame | None = None) -> dict:
-        """Goal of the question, its answers and a status. Support statements are stored first, where given."""
+        """Goal of the question, its answers (the first 100 in order of their columns, and the count of
+        all; goal() gives all) and a status. Support statements are stored first, where given."""
         if support is not None:
             self.add(support)
         goal = self.translator.goal(question)
@@ -163,9 +164,13 @@ class Engine:
             goal = row.g
         if goal is None:
             return {"question": question, "status": "no_query", "answers": [], "answer": "I could not translate the question."}
-        rows = [r.asDict() for r in self.goal(goal).limit(100).collect()]
+        found = self.goal(goal)
+        total = found.count()
+        rows = [r.asDict() for r in found.orderBy(*[F.col(f"`{c}`") for c in found.columns]).limit(100).collect()]
         text = "; ".join(", ".join(f"{k} = {v}" for k, v in r.items()) for r in rows) or "No proof was found."
-        return {"question": question, "executed_query": goal, "status": "well_aligned", "answers": rows, "answer": text}
+        if total > len(rows):
+            text += f"; and {total - len(rows)} more"
+        return {"question": question, "executed_query": goal, "status": "well_aligned", "answers": rows, "answer_count": total, "answer": text}
 
     def reset(self, scope: str = "all") -> None:
         """Removes the statements ('atomspace'), the vectors ('vectordb') or both ('all')."""

@@ -71,3 +71,12 @@ def test_streams(spark, sf, tmp_path):
     want = spark.read.parquet(str(src)).select(F.explode("texts").alias("t")).where("t is not null").count()
     assert got.count() == want
     assert ingest.vocabulary(got).first().head == "Text"
+
+
+def test_query_says_how_many_answers_there_are(spark, tmp_path):
+    t = ExternalTranslator(lambda chunks: [[] for _ in chunks], lambda q: "(: $prf (Said $x) $tv)")
+    e = Engine(spark, str(tmp_path / "kb"), t)
+    e.add(spark.createDataFrame([(f"(: n{i} (Said x{i:03}) (STV 1.0 1.0))",) for i in range(103)], "stmt string").repartition(4))
+    got = e.query("?")
+    assert got["answer_count"] == 103 and [r["$x"] for r in got["answers"]] == [f"x{i:03}" for i in range(100)]
+    assert got["answer"].endswith("; and 3 more")
