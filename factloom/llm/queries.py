@@ -73,7 +73,8 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_labels(spark: SparkSession, sf: str) -> DataFrame:
-    return residue.residue(table(spark, sf, "documents")).groupBy("label").agg(F.countDistinct("doc_id").alias("n_docs"))
+    """Documents by label and by what found it: a rule, the SimHash tables or the prefix filter."""
+    return residue.residue(table(spark, sf, "documents")).groupBy("label", "found_by").agg(F.countDistinct("doc_id").alias("n_docs"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

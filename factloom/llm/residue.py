@@ -1,28 +1,36 @@
 """Problem 8: template residue and error-page text.
 
-Trusted labels come from rules that read the whole text: a page is residue if some of its sentences are filler, a
-notice or a bare null value and none is content, whatever frame is around; a slot is residue wherever it stands in
-running text. Page labels then spread to near-duplicates: documents are reduced to one per core (text without
-frame, case, digits and layout), and pairs of cores whose five-word shingles are similar (0.8 or more) are linked.
-Labels walk along the links, round by round, until no component that holds a trusted label has an unlabelled member
-left. Slot labels do not spread: a near-duplicate may have the slot filled in.
-
-Candidates come from an exact prefix filter, so no link is missed: sets that share 0.8 of all their shingles must share
-two of the first n - ceil(0.8 n) + 2 of each in one fixed order (that of the hashes), and their sizes differ by a quarter
-at most. The shingles of the candidates decide. SimHashes missed most links near 0.8 (see the README).
-
-Only links between labelled and unlabelled cores are ever formed, so a bucket of equal notices costs no pairs.
-
-Defined cases: NULL and blank texts and rows without doc_id carry no label; texts are read whole; exact copies and other layouts of one core share
-their page label; documents with one doc_id count each by its own text.
+Trusted labels are few. Two rules read syntax only: unfilled slots or traces of values that failed to print in running
+text ('slot'), and bare null values of programs ('null'). All other labels come from the trusted messages, a table of
+known notices and filler sentences (TRUSTED, a parameter), by near-duplicates.
+
+Units. A text without tags, statements and frame lines is cut into its lines and sentences. A unit's skeleton is its
+words in lower case with numbers as 0, words that no trusted message holds as one placeholder, filler Latin and
+keyboard filler as one symbol, and a repeated phrase once; its five-word shingles are what is compared. A document is represented by its
+longest unit if that is long (more than LONG words): if it is no residue, the document has content. A document of short
+units only is represented by all of them. So a corpus text costs one short set of shingles.
+
+Spread. Units are reduced to one per skeleton. Partitioned SimHash tables (every pair of blocks of 64 bits is a
+table) meet labelled and unlabelled skeletons; Hamming distance and shingle similarity (0.8) decide; labels walk along
+the links, round by round, through the components that hold a trusted label. SimHashes lose links near 0.8, so when the
+tables find nothing more, an exact prefix filter looks for what they missed: sets that share 0.8 of all their shingles
+share two of the first n - ceil(0.8 n) + 2 of each in one fixed order. What it finds goes through the tables again.
+Only links between labelled and unlabelled skeletons are formed, so a bucket of equal notices costs no pairs.
+
+Pages. A document is residue if one of its units is labelled and none of its long units is unlabelled, whatever frame
+is around them. Slot labels do not spread: a near-duplicate may have the slot filled in.
+
+Defined cases: NULL and blank texts and rows without doc_id carry no label; texts are read whole; exact copies share
+their label; repeated rows of one doc_id count each by its own text; an empty table gives no row.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +42,18 @@ from factloom.session import materialize
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-#: Looked-up shingles that a candidate pair must share; sets of one shingle share that one.
+#: Words of a unit from which on it is content unless it is labelled; three signs of a script without spaces are a word.
+LONG = 7
+#: Blocks of a SimHash by the number of units under a power of two; every pair of blocks is a table. More units take
+#: fewer, wider blocks, so that a bucket holds a few tens of units; what wider blocks miss, the prefix filter finds.
+BLOCKS = ((20, 8), (24, 7), (64, 6))
+#: Bits in which linked units differ at most; sets of similarity 0.8 differ in 9.7 on average, with a deviation of 2.9.
+MAX_BITS = 18
+#: Looked-up shingles that a candidate pair of the prefix filter must share; sets of one shingle share that one.
 SHARED = 2
 #: Logarithm by which the sizes of linked sets differ at most.
 SIZE_STEP = -math.log(SIMILARITY) + 1e-9
-#: Most looked-up rows of labelled cores that are broadcast: some 15 MB.
+#: Most looked-up rows of labelled units that are broadcast: some 10 MB.
 BROADCAST_ROWS = 200_000
 
 # Forms of unfilled slots.
@@ -48,7 +63,7 @@ SLOT = re.compile(
         (
             rf"\{{\{{\{{?\s*[#/^&]?\s*{NAME}(?:\s{NAME}){{0,3}}\s*\}}?\}}\}}",
             rf"[$#]\{{\s*{NAME}\s*\}}",
-            rf"(?<![\w$#{{\\])\{{(?:{NAME}|\d{{1,2}})\}}(?!\}})",
+            rf"(?<![A-Za-z0-9_$#{{\\])\{{(?:{NAME}|\d{{1,2}})\}}(?!\}})",
             rf"%\({NAME}\)[sdifr]",
             r"(?<![A-Za-z0-9%])%[A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)*%(?![A-Za-z0-9%])",
             rf"@@{NAME}@@",
@@ -64,12 +79,17 @@ SLOT = re.compile(
     )
 )
 # What is printed where a value failed to print.
-TRACE = re.compile(r"(?i:\[object\s+object\])|(?<![\w.$-])(?:undefined|UNDEFINED|NaN|null)(?![\w(=-]|\.\w)|#(?:REF!|N/A|VALUE!|NAME\?|DIV/0!)")
+TRACE = re.compile(r"(?i:\[object\s+object\])|(?<![A-Za-z0-9_.$-])(?:undefined|UNDEFINED|NaN|null)(?![A-Za-z0-9_(=-]|\.[A-Za-z0-9_])|#(?:REF!|N/A|VALUE!|NAME\?|DIV/0!)")
+#: What every slot or trace holds.
+HINT = re.compile(r"[{<%【\[]|@@|__|#[RNVD]|undefined|UNDEFINED|NaN|null")
 STATEMENT = re.compile(r"^\s*[>*\-]?\s*\(:\s.*$", re.M)
 FENCE = re.compile(r"```.*?```|~~~.*?~~~|<(code|pre)\b[^>]*>.*?</\1>", re.S | re.I)
 OPEN_QUOTES, CLOSE_QUOTES = "\"'“„«‘「『`‹", "\"'”“»’」』`›"
+# Null values of programs.
+NULLS = re.compile(r"(?:\s*(?:null|nul|none|nil|n/a|undefined|void|nullptr|\(null\)|<null>|<none>|\[object object\]|#ref!|#n/a|#value!|#name\?|#div/0!|(?:na)+n)[\s,;.|]*)+", re.I)
 
-# Words of filler text, of keyboard filler, and null values of programs.
+# Words of keyboard filler and of filler Latin.
+KEY_WORDS = frozenset("asdf asdfg asdfgh qwer qwert qwerty zxcv zxcvb jkl hjkl foo bar baz qux quux test testing tests blah bla xxx yyy zzz abc".split())
 FILLER_WORDS = frozenset(
     "lorem ipsum dolor sit amet consectetur consectetuer adipiscing adipisicing elit sed do eiusmod tempor incididunt ut labore "
     "et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo "
@@ -80,57 +100,179 @@ FILLER_WORDS = frozenset(
     "integer praesent vivamus fusce suspendisse nam cras proin etiam aliquam mauris nibh risus justo massa urna leo at "
     "mattis ante erat odio augue pede ligula eget neque felis arcu orci purus metus diam sem tellus lectus vulputate".split()
 )
-KEY_WORDS = frozenset("asdf asdfg asdfgh qwer qwert qwerty zxcv zxcvb jkl hjkl foo bar baz qux quux test testing tests blah bla xxx yyy zzz abc".split())
-NULLS = re.compile(r"(?:\s*(?:null|nul|none|nil|n/a|undefined|void|nullptr|\(null\)|<null>|<none>|\[object object\]|#ref!|#n/a|#value!|#name\?|#div/0!|(?:na)+n)[\s,;.|]*)+", re.I)
 
-# Sentences that stand for text to come.
-FILLER = re.compile(
-    r"(?:your|sample|some|placeholder|dummy|example|insert|enter|add|type|put)\b[^.!?\n]{0,40}\b(?:text|content|description|title|here|words|entry)\b[^.!?\n]{0,24}\W*$"
-    r"|(?:content|text|description|details?|page|article|more(?: information)?)\b[^.!?\n]{0,24}(?:coming soon|to follow|goes here|follows)\W*$"
-    r"|(?:this (?:text|entry|page|section) (?:is|will be) )?(?:to be (?:written|added|supplied|completed|announced|determined|done|filled in)|tbd|tba|todo|coming soon|under construction|placeholder(?: text)?)\W*$"
-    r"|(?:texte|contenu|description|page)\b.{0,24}(?:à venir|à compléter|d['’]exemple|ici)\W*$|bientôt disponible\W*$"
-    r"|(?:texto|contenido|descripción|página)\b.{0,24}(?:de ejemplo|de muestra|de relleno|aquí|próximamente|pendiente)\W*$|próximamente\W*$"
-    r"|(?:hier )?(?:platzhalter\w*|blindtext|mustertext|beispieltext)\b.{0,24}$|(?:text|inhalt|beschreibung) folgt\W*$"
-    r"|(?:пример|образец) текста\W*$|(?:здесь|тут) будет (?:текст|описание).{0,20}$|(?:текст|описание|содержание)\b.{0,20}(?:скоро|появится|заполнитель|заглушка|для примера)\W*.{0,12}$"
-    r"|.{0,8}(?:テキストが入ります|サンプルテキスト|ダミーテキスト|準備中です?|ここに文章).{0,8}$"
-    r"|[^【]{0,6}(?:示例文[字本]|占位(?:文字|文本|符)|此处(?:输入|填写)|敬请期待|待补充|内容待定).{0,8}$"
-    r"|.{0,6}(?:نص (?:تجريبي|مثال|للتجربة|عينة)|هنا (?:يوضع|يكتب) النص|سيضاف).{0,24}$"
-    r"|.{0,12}(?:नमूना पाठ|उदाहरण पाठ|यहाँ (?:पाठ|टेक्स्ट|लिखें)|पाठ यहाँ).{0,24}$"
-    r"|.{0,12}(?:ข้อความตัวอย่าง|ตัวอย่างข้อความ|ใส่ข้อความ|เร็วๆ ?นี้).{0,24}$"
-)
-# Sentences of error, access and removal notices and of demands for scripts, cookies or a human check.
-NOTICE = re.compile(
-    r"(?:http )?(?:error|erreur|fehler|errore|ошибка|错误|エラー|خطأ|त्रुटि)\W{0,3}[45]\d\d\b"
-    r"|[45]\d\d\W{1,3}(?:not found|bad gateway|forbidden|internal server error|service unavailable|gateway time-?out|unauthorized|too many requests|bad request|gone)\b.{0,60}$"
-    r"|(?:oops\W*)?(?:something|an error|a problem) (?:went wrong|occurred|has occurred)\b"
-    r"|(?:sorry\W*)?(?:the |this |your )?(?:requested |missing )?(?:page|entry|file|url|document|record|item|content|resource|article|account|site)\b(?: \S+){0,5}? ?"
-    r"(?:could not be (?:found|located|loaded|displayed)|was not found|cannot be found|not found|does not exist|(?:has )?never existed|no longer exists|has (?:been )?(?:moved|removed|deleted|expired)|is (?:no longer|not|temporarily|currently) (?:available|accessible)|is unavailable)"
-    r"(?=\W*$|\W+(?:on|in|at|or|and|from|by) \w|\s*[:(])"
-    r"|(?:seite|datei|eintrag) (?:wurde )?nicht gefunden\b|(?:der|die|das|diese|dieser) (?:eintrag|seite|datei)\b.{0,40}(?:existiert nicht|nicht (?:mehr )?(?:verfügbar|gefunden|vorhanden))"
-    r"|(?:la )?página\b.{0,30}\bno (?:encontrada|existe|se encontró|está disponible)|(?:la )?page\b.{0,30}(?:introuvable|non trouvée|n['’]existe (?:pas|plus))"
-    r"|.{0,20}(?:страница|запись)\b.{0,30}не (?:найдена|существует)|.{0,12}(?:页面不存在|页面未找到|找不到.{0,8}页面)|.{0,30}ページ.{0,30}(?:見つかりません|存在しません)"
-    r"|.{0,12}(?:الصفحة غير موجودة|لم يتم العثور|تعذر العثور)|.{0,12}(?:पृष्ठ|पेज).{0,20}नहीं मिला|.{0,8}ไม่พบหน้า"
-    r"|access (?:to this \w+ )?(?:is |has been )?(?:denied|forbidden|restricted)\W*$|(?:forbidden|permission denied|unauthorized)\W*$|you (?:do not|don['’]t) have (?:permission|access|authori[sz]ation)\b"
-    r"|(?:zugriff verweigert|accès refusé|acceso denegado|доступ запрещ[её]н|拒绝访问|.{0,8}アクセスが拒否)"
-    r"|your session (?:has )?(?:expired|timed out)|(?:please )?(?:sign|log) ?in (?:again )?(?:to|before) |too many requests\b|rate limit exceeded"
-    r"|(?:please |you (?:need|have) to |you must )?(?:re-?)?(?:enable|turn on|activate|switch on|allow)\b.{0,40}\b(?:javascript|scripts?|cookies)\b"
-    r"|(?:this|the) (?:site|page|app|application|viewer|website|content)\b.{0,30}(?:needs|requires|does not work without|will not work without)\b.{0,30}(?:javascript|scripts?|scripting|cookies)"
-    r"|javascript (?:is )?(?:required|disabled|must be)|noscript\b|(?:scripts?|cookies|javascript) (?:and \w+ )?must be (?:on|enabled|allowed)|(?:loading\b.{0,40})?if nothing happens\b"
-    r"|(?:bitte )?aktivieren sie (?:javascript|cookies)|(?:veuillez )?(?:activer|activez) (?:javascript|les cookies)|(?:por favor )?(?:active|habilite) (?:javascript|las cookies)"
-    r"|(?:для .{0,40} )?(?:включите|разрешите) (?:javascript|cookie|файлы)|.{0,6}请.{0,6}启用.{0,4}javascript|.{0,40}javascript ?を有効|.{0,20}(?:فعّ?ل|تفعيل|تمكين) ?javascript|.{0,20}javascript (?:चालू|सक्षम)|.{0,20}เปิด(?:ใช้)?(?:งาน)? ?javascript"
-    r"|(?:checking|verify(?:ing)?|confirm(?:ing)?|prove|please (?:verify|confirm))\b.{0,20}(?:you are|you['’]re) (?:a )?(?:human|not a robot)|.{0,40}captcha\b.{0,30}$"
-    r"|traceback \(most recent call last\)|file \"[^\"]+\", line \d+|[\w.]*(?:error|exception): |at [\w.$]+\([\w.]+:\d+\)"
-    r"|\{.{0,80}\"(?:status|error|code|message)\"\s*:"
-    r"|(?:the )?(?:service|server|system|database|knowledge store)\b.{0,20}(?:temporarily |currently )?(?:unavailable|down for|not responding)|(?:please )?try again (?:in|later)\b|internal (?:server )?(?:error|failure)\b|bad gateway\W*$"
-)
+# The trusted messages, one unit a line; * stands for a value.
+TRUSTED_NOTICES = """
+404 Not Found
+403 Forbidden
+401 Unauthorized
+400 Bad Request
+429 Too Many Requests
+500 Internal Server Error
+502 Bad Gateway
+502 Bad Gateway: upstream gave no reply
+503 Service Unavailable
+504 Gateway Timeout
+Error 404
+Error 404: page not found
+Page not found
+The requested page could not be found
+The requested entry * could not be located on this server
+The requested URL * was not found on this server
+The page you were looking for has moved or never existed
+The page you are looking for does not exist
+This entry has been removed or is no longer available: *
+This page is no longer available
+This account has been suspended
+Error 500: the * is temporarily unavailable
+Error 503: the knowledge store is temporarily unavailable
+The service is temporarily unavailable
+Please try again later
+Please try again in 5 minutes
+Something went wrong
+Something went wrong while loading this page
+An error occurred while processing your request
+Internal server error
+Access denied
+Permission denied
+You do not have permission to view *
+You do not have permission to access this page
+You are not authorized to view this page
+Your session has expired
+Your session has timed out
+Please sign in to continue
+Sign in again to continue to *
+Too many requests from this address
+Rate limit exceeded
+Please enable JavaScript to view this page
+Please enable JavaScript and cookies to continue
+You need to enable JavaScript to run this app
+JavaScript is disabled in your browser
+JavaScript is required to view this page
+This site needs scripts to run
+This site requires JavaScript
+Turn on JavaScript in your browser settings and reload
+You need to allow cookies and scripts before * can be shown
+Cookies must be enabled
+Scripts must be on
+noscript: the viewer * does not work without client scripting
+if nothing happens, your browser may be blocking scripts
+Checking that you are human
+Checking your browser before accessing *
+Verify that you are human
+Please verify you are not a robot
+Complete the CAPTCHA to continue
+{"status": 500, "message": "internal failure", "trace": "*"}
+{"error": "not found"}
+Traceback (most recent call last)
+File "*", line 5, in *
+TimeoutError: * did not answer
+Fehler 404
+Seite nicht gefunden
+Seite nicht gefunden (Fehler 404)
+Der Eintrag * existiert nicht mehr
+Diese Seite ist nicht verfügbar
+Zugriff verweigert
+Bitte aktivieren Sie JavaScript, um * anzuzeigen
+Erreur 404
+Erreur 500 : le serveur * a rencontré un problème interne
+Page introuvable
+Cette page n'existe plus
+Accès refusé
+Veuillez activer JavaScript pour afficher *
+Página no encontrada
+Vuelva al inicio o busque *
+La página no existe
+Acceso denegado
+Active JavaScript en su navegador para ver *
+Страница не найдена
+Ошибка 404
+Страница * не найдена
+Доступ запрещён
+Для просмотра * включите JavaScript
+Включите JavaScript
+页面不存在
+页面未找到
+页面不存在（错误 404）：*
+拒绝访问
+请启用 JavaScript 后再查看 *
+请启用 JavaScript
+ページが見つかりません
+お探しのページ * は見つかりませんでした
+アクセスが拒否されました
+* を表示するには JavaScript を有効にしてください
+الصفحة غير موجودة
+يرجى تفعيل JavaScript لعرض *
+पृष्ठ नहीं मिला
+कृपया JavaScript सक्षम करें
+ไม่พบหน้าที่คุณต้องการ
+กรุณาเปิดใช้งาน JavaScript เพื่อดู *
+"""
+TRUSTED_FILLER = """
+Your text here
+Insert text here
+Sample text
+Sample text goes here
+Placeholder text
+Placeholder
+Add a description of this entry
+Content coming soon
+Coming soon
+Content goes here
+Description to follow
+To be written
+To be added
+To be announced
+To be determined
+TBD
+TODO
+Under construction
+test
+asdf
+qwerty
+foo
+blah
+Lorem ipsum dolor sit amet consectetur
+Texte à venir
+Contenu à venir
+Bientôt disponible
+Texto de ejemplo
+Texto de relleno
+Próximamente
+Platzhalter
+Platzhaltertext
+Blindtext
+Beispieltext
+Text folgt
+Пример текста
+Здесь будет текст
+这里是示例文字
+此处输入文字
+敬请期待
+ここにテキストが入ります
+サンプルテキスト
+準備中
+نص تجريبي
+هنا يوضع النص
+नमूना पाठ
+यहाँ पाठ लिखें
+ข้อความตัวอย่าง
+"""
+TRUSTED = tuple((label, line) for label, block in (("notice", TRUSTED_NOTICES), ("filler", TRUSTED_FILLER)) for line in block.strip().splitlines())
+
+# Lines of a page's frame.
 FRAME = re.compile(
     r"(?:[^|]{1,24}\|){1,}[^|]{0,24}$|©|copyright\b|all rights reserved|(?:go )?(?:back|return) to\b|contact (?:the|us)\b|(?:home|menu|login|search|about|archive|entries|imprint|privacy|terms)\W*$"
     r"|zurück zur?\b|retour à\b|(?:vuelva|volver) al?\b|вернуться\b|вернитесь\b|返回|トップに戻る|wait \d+|reference \S+\W*$|request ref\b"
 )
 PARTS = re.compile(r"(?<=[.!?])\s+|[\n\r]+|(?<=[。！？])")
+#: Line breaks inside a sentence.
+WRAP = re.compile(r"(?<=[^\s.!?:。！？])[ \t]*\r?\n(?=[^\W\d_])(?=\S*[a-zß-ÿа-я])(?![A-ZÀ-ÞА-Я])")
 TAG = re.compile(r"</?[a-z][a-z0-9]*(?:\s[^<>\n]{0,80})?/?>", re.I)
 WIDE = re.compile(r"[぀-ヿ㐀-鿿฀-๿]")
 WORD = re.compile(r"[^\W_]+")
+NUMBER = re.compile(r"\d+")
+VALUE, LATIN = "*", "§"
 
 
 def _quoted(text: str, a: int, b: int) -> bool:
@@ -154,138 +296,197 @@ def _quoted(text: str, a: int, b: int) -> bool:
 
 def has_slot(text: str) -> bool:
     """Whether running text holds an unfilled slot or the trace of a value that failed to print."""
-    if not SLOT.search(text) and not TRACE.search(text):
+    if not HINT.search(text) or not (SLOT.search(text) or TRACE.search(text)):
         return False
     text = FENCE.sub(" ", STATEMENT.sub(" ", text))
     return any(not _quoted(text, *m.span()) for p in (SLOT, TRACE) for m in p.finditer(text))
 
 
-def page_label(text: str) -> str | None:
-    """'null', 'filler' or 'notice' for a text that is nothing else but for a frame around it; else None."""
+def rule_label(text: str) -> str | None:
+    """The trusted label that syntax alone gives: 'null' or 'slot'."""
     bare = TAG.sub(" ", text).strip()
-    if not bare:
-        return None
-    if NULLS.fullmatch(bare):
+    if bare and NULLS.fullmatch(bare):
         return "null"
-    label = None
-    for part in PARTS.split(bare):
-        s = part.strip().lower().lstrip("#>*-•– \t").strip()
-        if not s or not any(c.isalnum() for c in s):
-            continue
-        if NOTICE.match(s):
-            label = label or "notice"
-            continue
-        found = WORD.findall(s)
-        if FILLER.match(s) or all(w in KEY_WORDS for w in found) or (len(found) > 0 and sum(w in FILLER_WORDS for w in found) >= 0.8 * len(found)):
-            label = label or "filler"
-            continue
-        if NULLS.fullmatch(s):
-            label = label or "null"
-            continue
-        if FRAME.match(s):
-            continue
-        if len(found) + len(WIDE.findall(s)) / 3 > 7:
-            return None  # content
-    return label
+    return "slot" if has_slot(text) else None
+
+
+def page_units(text: str) -> list[str]:
+    """Lines and sentences of the text in lower case, without tags, statements and frame."""
+    text = WRAP.sub(" ", TAG.sub(" ", STATEMENT.sub("\n", text))).lower()
+    return [s for part in PARTS.split(text) if (s := part.strip().lstrip("#>*-•– \t")) and not FRAME.match(s)]
 
 
-def core_words(text: str) -> list[str]:
-    """Words of the text without frame lines, statements, case, digits and layout."""
-    lines = [s for s in TAG.sub(" ", STATEMENT.sub(" ", text)).lower().splitlines() if not FRAME.match(s.strip())]
-    return WORD.findall(re.sub(r"\d+", "0", unicodedata.normalize("NFC", "\n".join(lines))))
+def _weight(unit: str) -> float:
+    return len(WORD.findall(unit)) + len(WIDE.findall(unit)) / 3
 
 
-_MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
+class Skeletons:
+    """Skeletons of units under a set of trusted messages, and their shingles as 64-bit hashes."""
 
+    _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
-class Shingler:
-    """Five-word shingles as 64-bit hashes; word hashes are remembered, up to a bound."""
+    def __init__(self, trusted: Sequence[tuple[str, str]]) -> None:
+        words = {w for _, message in trusted for w in self._words(message)} | {VALUE, LATIN}
+        self.known = {w: xxhash.xxh3_64_intdigest(w) for w in words}
 
-    def __init__(self) -> None:
-        self.known: dict[str, int] = {}
+    @staticmethod
+    def _words(unit: str) -> list[str]:
+        return [NUMBER.sub("0", w) for w in re.findall(r"[^\W_]+|\*", unicodedata.normalize("NFC", unit.lower()))]
 
-    def __call__(self, found: list[str]) -> np.ndarray:
-        known = self.known
-        if len(known) > 500_000:
-            known.clear()
+    def words(self, unit: str) -> list[str]:
+        """The skeleton; empty if no word of the unit is in a trusted message."""
+        found = self._words(unit)
+        plain = [w for w in found if w != VALUE]
+        if len(plain) > 1 and (sum(w in FILLER_WORDS for w in plain) >= 0.8 * len(plain) or all(w in KEY_WORDS for w in plain)):
+            return [LATIN]
+        out: list[str] = []
         for w in found:
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter((known[w] for w in found), np.uint64, len(found))
+            if w not in self.known:
+                w = VALUE
+            if w != VALUE or out[-1:] != [VALUE]:
+                out.append(w)
+        if not any(w not in (VALUE, "0") for w in out):
+            return []
+        return out[: _period(out)]
+
+    def shingles(self, words: list[str]) -> np.ndarray:
+        h = np.fromiter((self.known[w] for w in words), np.uint64, len(words))
         if len(h) < SHINGLE_WORDS:
             h = np.concatenate((h, np.zeros(SHINGLE_WORDS - len(h), np.uint64)))
         n = len(h) - SHINGLE_WORDS + 1
         s = np.zeros(n, np.uint64)
         for i in range(SHINGLE_WORDS):
-            s = (s ^ (h[i : i + n] * _MULTIPLIERS[i])) * np.uint64(0xFF51AFD7ED558CCD)
+            s = (s ^ (h[i : i + n] * self._MULTIPLIERS[i])) * np.uint64(0xFF51AFD7ED558CCD)
             s ^= s >> np.uint64(29)
-        return np.unique(s)
+        return np.sort(np.unique(s).view(np.int64))
+
+    def row(self, unit: str) -> dict | None:
+        """key, SimHash and shingles of a unit; None without a skeleton."""
+        words = self.words(unit)
+        if not words:
+            return None
+        s = self.shingles(words)
+        return {"unit": xxhash.xxh3_128_digest(s.tobytes()), "sim": simhash(s), "shingles": s.tolist()}
+
+
+def _period(words: list[str]) -> int:
+    """Length of the shortest phrase whose repetition the words are."""
+    fail = [0] * len(words)
+    k = 0
+    for i in range(1, len(words)):
+        while k and words[i] != words[k]:
+            k = fail[k - 1]
+        k += words[i] == words[k]
+        fail[i] = k
+    shift = len(words) - (fail[-1] if fail else 0)
+    return shift if shift and len(words) % shift == 0 else len(words)
 
 
 def simhash(shingles: np.ndarray) -> int:
     """64 majority bits as a signed integer."""
-    bits = np.unpackbits(shingles.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    bits = np.unpackbits(np.ascontiguousarray(shingles).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(bits * 2 > len(shingles), bitorder="little").view(np.int64)[0])
 
 
-def prefix(shingles: np.ndarray) -> np.ndarray:
-    """The part of a sorted set that has to be looked up."""
-    n = len(shingles)
-    least = math.ceil(SIMILARITY * n - 1e-9)
-    return shingles[: n - least + min(SHARED, least)]
+UNIT = pa.struct([("unit", pa.binary()), ("sim", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+UNIT_DDL = "unit: binary, sim: bigint, shingles: array<bigint>"
+FEATURES = f"doc_id long, label string, long boolean, units array<struct<{UNIT_DDL}>>"
 
 
-FEATURES = "doc_id long, label string, core binary, size int, look array<long>"
+def _features(trusted: Sequence[tuple[str, str]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        skeletons = Skeletons(trusted)
+        for batch in batches:
+            ids, labels, longs, units = [], [], [], []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                label = rule_label(text)
+                found, long = [], False
+                if label is None:
+                    parts = page_units(text)
+                    first = max(parts, key=len, default="")
+                    if not (long := _weight(first) > LONG):
+                        others = [p for p in parts if _weight(p) > LONG]
+                        first, long = (others[0], True) if others else (first, False)
+                    found = [first] if long else list(dict.fromkeys(parts))
+                    found = [r for p in found if (r := skeletons.row(p))]
+                    if not found:
+                        continue
+                ids.append(doc_id)
+                labels.append(label)
+                longs.append(long)
+                units.append(found)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(labels, pa.string()), pa.array(longs, pa.bool_()), pa.array(units, pa.list_(UNIT))], names=["doc_id", "label", "long", "units"])
 
+    return run
 
-def _core(found: list[str]) -> bytes | None:
-    return xxhash.xxh3_128_digest("\x1f".join(found)) if found else None
 
+def _long_units(trusted: Sequence[tuple[str, str]]):
+    """All long units of each text; one without a skeleton has a NULL key."""
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shingle = Shingler()
-    for batch in batches:
-        ids, labels, cores, sizes, looks = [], [], [], [], []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if not text.strip():
-                continue
-            found = core_words(text)
-            ids.append(doc_id)
-            labels.append("slot" if has_slot(text) and not NULLS.fullmatch(text.strip()) else page_label(text))
-            shingles = shingle(found) if found else None
-            cores.append(_core(found))
-            sizes.append(len(shingles) if found else None)
-            looks.append(prefix(shingles).view(np.int64) if found else None)
-        columns = [pa.array(ids, pa.int64()), pa.array(labels, pa.string()), pa.array(cores, pa.binary()), pa.array(sizes, pa.int32()), pa.array(looks, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "label", "core", "size", "look"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        skeletons = Skeletons(trusted)
+        blank = {"unit": None, "sim": None, "shingles": None}
+        for batch in batches:
+            units = [[skeletons.row(p) or blank for p in dict.fromkeys(page_units(t)) if _weight(p) > LONG] for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(units, pa.list_(UNIT))], names=["doc_id", "units"])
 
+    return run
 
-def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shingle = Shingler()
-    for batch in batches:
-        words = [core_words(t) for t in batch.column(1).to_pylist()]
-        sets = [shingle(found).view(np.int64) for found in words]
-        yield pa.RecordBatch.from_arrays([pa.array([_core(found) for found in words], pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["core", "shingles"])
 
+def _texts(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"\S"))
 
-def features(documents: DataFrame) -> DataFrame:
-    """doc_id, trusted label or NULL, key of the core, number of its shingles and those to look up; one pass over the texts, no shuffle."""
-    rows = documents.select(F.col("doc_id").cast("long"), "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    return rows.mapInArrow(_features, FEATURES)
+
+def features(documents: DataFrame, trusted: Sequence[tuple[str, str]] = TRUSTED) -> DataFrame:
+    """doc_id, label by rules or NULL, and the units that represent it; one pass over the texts, no shuffle. Documents
+    that share no word with a trusted message and have no label give no row."""
+    return _texts(documents).mapInArrow(_features(tuple(trusted)), FEATURES)
+
+
+def _reps(units: DataFrame) -> DataFrame:
+    """One row per skeleton."""
+    return units.where(F.col("unit").isNotNull()).groupBy("unit").agg(F.any_value("sim").alias("sim"), F.any_value("shingles").alias("shingles"))
+
+
+def blocks(units: int) -> list[tuple[int, int]]:
+    """(first bit, width) of each block of a SimHash."""
+    n = next(k for bits, k in BLOCKS if units < 1 << bits)
+    ends = [64 * i // n for i in range(n + 1)]
+    return [(a, b - a) for a, b in zip(ends, ends[1:])]
+
+
+def _in_tables(reps: DataFrame, name: str, cut: list[tuple[int, int]]) -> DataFrame:
+    """A row for each table: its number and the bits of its two blocks."""
+    block = [F.shiftrightunsigned("sim", a).bitwiseAND(F.lit((1 << w) - 1)) for a, w in cut]
+    pairs = itertools.combinations(range(len(cut)), 2)
+    rows = F.array(*[F.struct(F.lit(k).alias("table"), (F.shiftleft(block[i], 16) + block[j]).cast("int").alias("bits")) for k, (i, j) in enumerate(pairs)])
+    return reps.select(F.col("unit").alias(name), F.col("sim").alias(f"{name}_sim"), F.inline(rows))
+
+
+def _by_tables(frontier: DataFrame, rest: DataFrame, cut: list[tuple[int, int]]) -> DataFrame:
+    """Pairs (l, u) that meet in a SimHash table and differ in few bits."""
+    labelled = _in_tables(frontier, "l", cut)
+    if frontier.count() * math.comb(len(cut), 2) <= BROADCAST_ROWS:
+        labelled = F.broadcast(labelled)
+    near = F.bit_count(F.col("l_sim").bitwiseXOR(F.col("u_sim"))) <= MAX_BITS
+    return _in_tables(rest, "u", cut).join(labelled, ["table", "bits"]).where(near).select("l", "u").distinct()
 
 
 def _looked_up(reps: DataFrame, name: str, around: int) -> DataFrame:
     """A row for each shingle that is looked up and each step of size up to `around` from that of its set."""
-    step = F.floor(F.log("size") / SIZE_STEP).cast("int")
+    n = F.size("shingles")
+    least = F.ceil(SIMILARITY * n - 1e-9).cast("int")
+    look = F.slice("shingles", F.lit(1), n - least + F.least(F.lit(SHARED), least))
+    step = F.floor(F.log(n.cast("double")) / SIZE_STEP).cast("int")
     steps = F.array(*[step + i for i in range(-around, around + 1)])
-    rows = reps.select(F.col("core").alias(name), F.col("size").alias(f"{name}_size"), "look", F.explode(steps).alias("step"))
+    rows = reps.select(F.col("unit").alias(name), n.alias(f"{name}_size"), look.alias("look"), F.explode(steps).alias("step"))
     return rows.select(name, f"{name}_size", "step", F.explode("look").alias("token"))
 
 
-def _candidates(frontier: DataFrame, rest: DataFrame) -> DataFrame:
-    """The pairs (l, u) of cores that may be similar enough; all that are, are among them."""
+def _by_prefix(frontier: DataFrame, rest: DataFrame) -> DataFrame:
+    """Pairs (l, u) that may be similar enough; all that are, are among them."""
     labelled = _looked_up(frontier, "l", 1)
-    if frontier.agg(F.coalesce(F.sum(3 * F.size("look")), F.lit(0))).first()[0] <= BROADCAST_ROWS:
+    if frontier.agg(F.coalesce(F.sum(3 * F.size("shingles")), F.lit(0))).first()[0] <= BROADCAST_ROWS:
         labelled = F.broadcast(labelled)
     small, large = F.least("l_size", "u_size"), F.greatest("l_size", "u_size")
     met = _looked_up(rest, "u", 0).join(labelled, ["token", "step"]).where(small >= SIMILARITY * large - 1e-9)
@@ -293,38 +494,67 @@ def _candidates(frontier: DataFrame, rest: DataFrame) -> DataFrame:
     return counted.where(F.col("shared") >= F.least(F.lit(SHARED), F.col("n"))).select("l", "u")
 
 
-def residue(documents: DataFrame) -> DataFrame:
-    """doc_id and label of each residue document.
+def _linked(pairs: DataFrame, frontier: DataFrame, rest: DataFrame, found_by: str) -> DataFrame:
+    """The unlabelled units of pairs whose shingles are similar, with their label: the new frontier."""
+    a = frontier.select(F.col("unit").alias("l"), F.col("shingles").alias("ls"), "label")
+    b = rest.select(F.col("unit").alias("u"), "sim", "shingles")
+    common = F.size(F.array_intersect("ls", "shingles"))
+    alike = common >= SIMILARITY * (F.size("ls") + F.size("shingles") - common) - 1e-9
+    linked = pairs.join(a, "l").join(b, "u").where(alike)
+    rows = linked.groupBy(F.col("u").alias("unit")).agg(F.any_value("sim").alias("sim"), F.any_value("shingles").alias("shingles"), F.min("label").alias("label"))
+    return materialize(rows.withColumn("found_by", F.lit(found_by)), "residue-linked")
 
-    Texts are read once for labels and prefixes; later rounds read only the texts of candidate pairs.
+
+def spread(labelled: DataFrame, units: DataFrame, exact: bool = True) -> DataFrame:
+    """unit, sim, shingles, label and found_by ('tables' or 'prefix') of all units in a component with a labelled one.
+
+    labelled: unit, sim, shingles, label. units: unit, sim, shingles, one row each; both written tables. The tables run
+    until they find nothing more, then the prefix filter from all labelled units, until that finds nothing either.
     """
-    seen = materialize(features(documents), "residue-features")
-    page = F.when(F.col("label") != "slot", F.col("label"))
-    groups = seen.where(F.col("core").isNotNull()).groupBy("core").agg(F.min("doc_id").alias("doc_id"), F.any_value("size").alias("size"), F.any_value("look").alias("look"), F.min(page).alias("label"), F.count_if(F.col("label") == "slot").alias("slots"))
-    groups = materialize(groups, "residue-cores")
-    frontier = groups.where(F.col("label").isNotNull()).select("core", "size", "look", "label")
-    rest = groups.where(F.col("label").isNull() & (F.col("slots") == 0)).select("core", "size", "look")
-    spread = frontier.select("core", "label")
+    none = labelled.limit(0).withColumn("found_by", F.lit("tables"))
+    found, frontier, rest, every = none, labelled, units, labelled
+    by_tables, cut = True, blocks(units.count())
     while True:
-        pairs = materialize(_candidates(frontier, rest), "residue-pairs")
-        if pairs.isEmpty():
-            break
-        ids = pairs.select(F.col("l").alias("core")).union(pairs.select("u")).distinct().join(groups.select("core", "doc_id"), "core").select("doc_id").distinct()
-        texts = documents.select(F.col("doc_id").cast("long"), "text").where(F.col("text").isNotNull()).join(ids, "doc_id", "left_semi")
-        sets = texts.mapInArrow(_shingles, "core binary, shingles array<long>")
-        both = pairs.join(sets.selectExpr("core l", "shingles ls"), "l").join(sets.selectExpr("core u", "shingles us"), "u").join(frontier.selectExpr("core l", "label"), "l")
-        common = F.size(F.array_intersect("ls", "us"))
-        linked = both.where(common >= SIMILARITY * (F.size("ls") + F.size("us") - common)).groupBy("u").agg(F.min("label").alias("label"))
-        new = materialize(linked.join(rest, linked["u"] == rest["core"]).select("core", "size", "look", "label"), "residue-linked")
+        pairs = _by_tables(frontier, rest, cut) if by_tables else _by_prefix(every, rest)
+        new = _linked(pairs, frontier if by_tables else every, rest, "tables" if by_tables else "prefix")
         if new.isEmpty():
-            break
-        spread = spread.unionByName(new.select("core", "label"))
-        rest = rest.join(new.select("core"), "core", "left_anti")
-        frontier = new
-    trusted = seen.where(F.col("label").isNotNull()).select("doc_id", "label")
-    cores = spread.select("core", F.col("label").alias("spread"))
-    found = seen.where(F.col("label").isNull()).join(cores, "core").select("doc_id", F.col("spread").alias("label"))
-    return trusted.unionByName(found)
+            if not by_tables or not exact:
+                return found
+            by_tables = False
+            continue
+        found, every, frontier, by_tables = found.unionByName(new), every.unionByName(new.drop("found_by")), new.drop("found_by"), True
+        rest = rest.join(new.select("unit"), "unit", "left_anti")
+
+
+def trusted_units(documents: DataFrame, trusted: Sequence[tuple[str, str]] = TRUSTED) -> DataFrame:
+    """The trusted messages as labelled units: a table as small as its parameter."""
+    skeletons = Skeletons(trusted)
+    rows = {r["unit"]: (r["unit"], r["sim"], r["shingles"], label) for label, message in trusted if (r := skeletons.row(message))}
+    return documents.sparkSession.createDataFrame(list(rows.values()), "unit binary, sim long, shingles array<long>, label string")
+
+
+def residue(documents: DataFrame, trusted: Sequence[tuple[str, str]] = TRUSTED) -> DataFrame:
+    """doc_id, label ('slot', 'null', 'notice', 'filler') and found_by ('rule', 'tables', 'prefix') of each residue document.
+
+    Texts are read once; those of documents represented by a labelled long unit once more for their other long units.
+    """
+    seen = materialize(features(documents, trusted), "residue-features")
+    seeds = trusted_units(documents, trusted)
+    units = materialize(_reps(seen.select(F.inline("units"))), "residue-units")
+    labels = materialize(spread(seeds, units), "residue-labels")
+    of_unit = labels.select("unit", "label", "found_by")
+    pages = seen.where(F.col("label").isNull()).select("doc_id", "long", F.inline("units")).join(of_unit, "unit")
+    pages = pages.groupBy("doc_id").agg(F.max("long").alias("long"), F.min(F.struct("label", "found_by")).alias("l"))
+    pages = materialize(pages.select("doc_id", "long", "l.label", "l.found_by"), "residue-pages")
+    texts = _texts(documents).join(pages.where("long").select("doc_id"), "doc_id", "left_semi")
+    longs = materialize(texts.mapInArrow(_long_units(tuple(trusted)), f"doc_id long, units array<struct<{UNIT_DDL}>>").select("doc_id", F.inline("units")), "residue-longs")
+    unknown = materialize(_reps(longs).join(of_unit.select("unit"), "unit", "left_anti"), "residue-unknown")
+    if not unknown.isEmpty():
+        more = spread(seeds.unionByName(labels.drop("found_by")), unknown)
+        of_unit = of_unit.unionByName(more.select("unit", "label", "found_by"))
+    content = longs.join(of_unit.select("unit"), "unit", "left_anti").select("doc_id").distinct()
+    by_rule = seen.where(F.col("label").isNotNull()).select("doc_id", "label", F.lit("rule").alias("found_by"))
+    return by_rule.unionByName(pages.join(content, "doc_id", "left_anti").select("doc_id", "label", "found_by"))
 
 
 def without_residue(documents: DataFrame) -> DataFrame:
