@@ -6,9 +6,9 @@ domain the sample has exactly rate x size members; it depends on nothing but ide
 identifier stays selected whatever else arrives, and a higher rate selects a superset. It is a Column expression of
 integer arithmetic: no state, no shuffle, no Python.
 
-Defined cases: NULL identifiers, rates or seeds select nothing; identifiers outside the domain select nothing (the
-default domain holds all non-negative 62-bit integers); a rate of 1 or more selects all identifiers in the domain,
-one of 0 or less none; repeated identifiers share one fate.
+Defined cases: NULL identifiers, rates or seeds select nothing; the default domain holds every 64-bit integer, negative
+ones as unsigned numbers above the others; identifiers outside a smaller domain select nothing; a rate of 1 or more
+selects all identifiers in the domain, one of 0 or less none; repeated identifiers share one fate.
 """
 
 from __future__ import annotations
@@ -16,13 +16,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm.collapse import hot_keys
 from factloom.operators.triples import with_triple
+from factloom.session import materialize
 
 # Multipliers and primes under 2**31 of the round function, and one offset per round.
 MULTIPLIERS = (0x45D9F3B, 0x2C1B3C6D, 0x297A2D39)
 PRIMES = (2147483647, 2147483629, 2147483587)
 OFFSETS = (0x1E3779B9, 0x3C6EF372, 0x5BE0CD19, 0x1F83D9AB, 0x510E527F, 0x6A09E667)
-DOMAIN_BITS = 62
+DOMAIN_BITS = 64
 LOW31 = (1 << 31) - 1
 
 
@@ -32,49 +34,70 @@ def _round_key(seed: Column, offset: int) -> Column:
 
 
 def _scramble(right: Column, key: Column, mask: Column) -> Column:
-    """Round function of 31-bit numbers: exclusive or and products modulo three primes in turn, all under 2**63.
+    """Round function of numbers of up to 32 bits: exclusive or and products modulo three primes in turn, all under 2**63.
 
     It refers to the right half once, so that the expression of all rounds stays small.
     """
     v = right.bitwiseXOR(key) * F.lit(MULTIPLIERS[0]) % F.lit(PRIMES[0])
     v = v.bitwiseXOR(F.lit(OFFSETS[0])) * F.lit(MULTIPLIERS[1]) % F.lit(PRIMES[1])
     v = (v + key) * F.lit(MULTIPLIERS[2]) % F.lit(PRIMES[2])
-    return v.bitwiseAND(mask)
+    return (v * F.lit(MULTIPLIERS[2])).bitwiseAND(mask)
 
 
-def permute(ident: Column, seed: Column, domain_bits: int = DOMAIN_BITS) -> Column:
-    """The identifier's place under the seed's permutation of 0 .. 2**domain_bits - 1; NULL outside the domain."""
-    if domain_bits % 2 or not 4 <= domain_bits <= 62:
-        raise ValueError("domain_bits must be even and in 4 .. 62")
+def _halves(ident: Column, seed: Column, domain_bits: int) -> tuple[Column, Column]:
+    if domain_bits % 2 or not 4 <= domain_bits <= 64:
+        raise ValueError("domain_bits must be even and in 4 .. 64")
     half = domain_bits // 2
     mask = F.lit((1 << half) - 1)
     ident, seed = ident.cast("long"), seed.cast("long")
     left, right = F.shiftrightunsigned(ident, half).bitwiseAND(mask), ident.bitwiseAND(mask)
     for offset in OFFSETS:
         left, right = right, left.bitwiseXOR(_scramble(right, _round_key(seed, offset), mask))
-    inside = (ident >= 0) & (ident < F.lit(1 << domain_bits))
-    return F.when(inside, F.shiftleft(left, half).bitwiseOR(right))
+    if domain_bits < 64:
+        left = F.when((ident >= 0) & (ident < F.lit(1 << domain_bits)), left)
+    return left, right
+
+
+def permute(ident: Column, seed: Column, domain_bits: int = DOMAIN_BITS) -> Column:
+    """The identifier's place under the seed's permutation of 0 .. 2**domain_bits - 1 (of 64 bits: as a signed number);
+    NULL outside the domain."""
+    left, right = _halves(ident, seed, domain_bits)
+    return F.shiftleft(left, domain_bits // 2).bitwiseOR(right)
 
 
 def selected(ident: Column, rate: Column, seed: Column, domain_bits: int = DOMAIN_BITS) -> Column:
-    """True for identifiers in the sample; False for all others, NULLs among them."""
-    bound = (F.least(F.greatest(rate.cast("double"), F.lit(0.0)), F.lit(1.0)) * F.lit(2.0**domain_bits)).cast("long")
-    return F.coalesce((permute(ident, seed, domain_bits) < bound) & ~F.isnan(rate.cast("double")), F.lit(False))
+    """True for identifiers in the sample; False for all others, NULLs among them. The bound is rate x domain size,
+    whose high half is compared with that of the place, then the low one."""
+    left, right = _halves(ident, seed, domain_bits)
+    size = 2.0 ** (domain_bits // 2)
+    bound = F.least(F.greatest(rate.cast("double"), F.lit(0.0)), F.lit(1.0)) * F.lit(size)
+    high = F.floor(bound).cast("long")
+    low = ((bound - high) * F.lit(size)).cast("long")
+    place = F.struct(left.alias("high"), right.alias("low"))
+    return F.coalesce((place < F.struct(high.alias("high"), low.alias("low"))) & left.isNotNull() & rate.isNotNull() & ~F.isnan(rate.cast("double")), F.lit(False))
 
 
 def sample(rows: DataFrame, ident: str, rate: float, seed: int, domain_bits: int = DOMAIN_BITS) -> DataFrame:
     return rows.where(selected(F.col(ident), F.lit(rate), F.lit(seed), domain_bits))
 
 
-#: Parts into which the rows of each source file are split for a join, so that no file is one task's.
-SALTS = 16
+#: Most source files whose settings are broadcast: some 10 MB.
+BROADCAST_FILES = 50_000
 
 
 def _join_by_file(rows: DataFrame, per_file: DataFrame) -> DataFrame:
-    """rows with the columns of their source file's row in per_file. Rows are spread by identifier over SALTS parts of
-    each file and the small rows of per_file are repeated for each part."""
-    spread = per_file.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("assertion_id"), F.lit(SALTS)).cast("int")).join(spread, ["source_file", "salt"]).drop("salt")
+    """rows with the columns of their source file's one row in per_file.
+
+    Few files are broadcast. Of many, those that hold a thousandth of the rows each are, so that no file is one task's,
+    and the rows of the others meet theirs in a shuffle.
+    """
+    per_file = materialize(per_file, "per-file")
+    if per_file.count() <= BROADCAST_FILES:
+        return rows.join(F.broadcast(per_file), "source_file")
+    keyed = rows.select(F.col("source_file").cast("binary").alias("key"), F.xxhash64("assertion_id").alias("id")).where("key is not null")
+    hot = materialize(hot_keys(keyed).select(F.col("key").cast("string").alias("source_file")), "hot-files")  # at most MAX_HOT rows
+    cold = rows.join(F.broadcast(hot), "source_file", "left_anti").join(per_file, "source_file")
+    return cold.unionByName(rows.join(F.broadcast(per_file.join(F.broadcast(hot), "source_file", "left_semi")), "source_file"))
 
 
 def with_sample_counts(assertions: DataFrame, settings: DataFrame) -> DataFrame:
@@ -124,11 +147,12 @@ def replayed_exports(manifest: DataFrame, assertions: DataFrame) -> DataFrame:
 
 
 def broken_samples(manifest: DataFrame, assertions: DataFrame) -> DataFrame:
-    """Neighbouring exports of a series whose recorded counts a sample by this operator cannot have.
+    """Neighbouring exports of a series whose recorded counts changed as those of the Feistel sample did not.
 
-    Where scanned and eligible rows did not fall, the replayed sample did not fall either, so a recorded count that
-    fell is a case; where both are unchanged, the replayed sample is the same, so a recorded change is a case. Exports
-    without a recorded count are left out; ties in exported_at are ordered by manifest_id.
+    The sample is replayed at both exports; its change decides. Where scanned and eligible rows did not fall, a recorded
+    count that fell by more than the replayed one is a case; where both are unchanged, so is every recorded change that
+    differs from the replayed one. Exports without a recorded count are left out; ties in exported_at are ordered by
+    manifest_id.
     """
     needed = manifest.select("manifest_id", "exported_at", *SERIES, "scanned_rows", "eligible_row_count", "sampled_row_count")
     known = replayed_exports(needed.where(F.col("sampled_row_count").isNotNull()), assertions)
@@ -136,14 +160,12 @@ def broken_samples(manifest: DataFrame, assertions: DataFrame) -> DataFrame:
     row = F.struct(*keep)
     by = f"over (partition by {', '.join(SERIES)} order by exported_at, manifest_id)"
     pairs = known.select(row.alias("later"), F.expr(f"lag(struct({', '.join(keep)})) {by}").alias("first")).where("first is not null")
-    a, b = (lambda c: F.col(f"first.{c}")), (lambda c: F.col(f"later.{c}"))
-    not_fallen = (b("scanned_rows") >= a("scanned_rows")) & (b("eligible_row_count") >= a("eligible_row_count")) & (b("replayed_count") >= a("replayed_count"))
-    unchanged = (b("scanned_rows") == a("scanned_rows")) & (b("eligible_row_count") == a("eligible_row_count")) & (b("replayed_count") == a("replayed_count"))
-    fell = b("sampled_row_count") < a("sampled_row_count")
-    moved = b("sampled_row_count") != a("sampled_row_count")
-    return pairs.where(not_fallen & (fell | (unchanged & moved))).select(
-        a("manifest_id").alias("first_manifest_id"), b("manifest_id").alias("later_manifest_id")
-    )
+    change = lambda c: F.col(f"later.{c}") - F.col(f"first.{c}")
+    recorded, replayed = change("sampled_row_count"), change("replayed_count")
+    not_fallen = (change("scanned_rows") >= 0) & (change("eligible_row_count") >= 0)
+    unchanged = (change("scanned_rows") == 0) & (change("eligible_row_count") == 0)
+    broken = (recorded < F.least(replayed, F.lit(0))) | (unchanged & (recorded != replayed))
+    return pairs.where(not_fallen & broken).select(F.col("first.manifest_id").alias("first_manifest_id"), F.col("later.manifest_id").alias("later_manifest_id"))
 
 
 def sampled_assertions(assertions: DataFrame, manifest: DataFrame) -> DataFrame:

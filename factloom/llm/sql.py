@@ -4,52 +4,78 @@ from __future__ import annotations
 
 from factloom.llm.sample import MULTIPLIERS, OFFSETS, PRIMES
 
-P1_FOUND = """
-with s as (
-  select *, lag(manifest_id) over w as a_id, lag(scanned_rows) over w as a_scanned, lag(eligible_row_count) over w as a_eligible,
-         lag(sampled_row_count) over w as a_sampled
-  from conceptnet_manifest where sampled_row_count is not null
-  window w as (partition by source_file, normalization_version, min_weight, coverage_percent, sample_seed order by exported_at, manifest_id)
-)
-select a_id as first_manifest_id, manifest_id as later_manifest_id from s
-where a_id is not null and scanned_rows >= a_scanned and eligible_row_count >= a_eligible
-  and (sampled_row_count < a_sampled
-       or (scanned_rows = a_scanned and eligible_row_count = a_eligible and sampled_row_count <> a_sampled))
-"""
+M31, M32 = (1 << 31) - 1, (1 << 32) - 1
 
 
-def _p1_sample() -> str:
-    """The network step by step, one select per round."""
-    m31 = (1 << 31) - 1
+def _network(source: str) -> str:
+    """CTEs r0, k0, f0, ... of the network over source(ident, seed, ...), step by step, one select per round."""
     c, p = MULTIPLIERS, PRIMES
-    steps = [
-        f"k{i} as (select *, xor(xor(seed & {m31}, {o}) * {c[0]} % {p[1]}, (seed >> 31) & {m31}) as key from r{i}), "
-        f"f{i} as (select *, (xor(xor(rgt, key) * {c[0]} % {p[0]}, {OFFSETS[0]}) * {c[1]} % {p[1]} + key) * {c[2]} % {p[2]} as f from k{i}), "
-        f"r{i + 1} as (select * exclude (lft, rgt, key, f), rgt as lft, xor(lft, f & {m31}) as rgt from f{i})"
+    steps = [f"r0 as (select *, (ident >> 32) & {M32} as lft, ident & {M32} as rgt from {source})"]
+    steps += [
+        f"k{i} as (select *, xor(xor(seed & {M31}, {o}) * {c[0]} % {p[1]}, (seed >> 31) & {M31}) as key from r{i}), "
+        f"f{i} as (select *, (xor(xor(rgt, key) * {c[0]} % {p[0]}, {OFFSETS[0]}) * {c[1]} % {p[1]} + key) * {c[2]} % {p[2]} * {c[2]} & {M32} as f from k{i}), "
+        f"r{i + 1} as (select * exclude (lft, rgt, key, f), rgt as lft, xor(lft, f) as rgt from f{i})"
         for i, o in enumerate(OFFSETS)
     ]
-    return f"""
-with latest as (
-  select source_file, arg_max({{'w': min_weight, 'c': coverage_percent, 's': sample_seed}}, {{'a': exported_at, 'b': manifest_id}}) as s
-  from conceptnet_manifest group by 1
-), j as (
-  select source_file, assertion_id, load_batch, start_uri, end_uri, relation,
+    return ", ".join(steps)
+
+
+_LAST = f"r{len(OFFSETS)}"
+_BOUND = "(least(greatest(coverage / 100.0, 0.0), 1.0) * 4294967296.0)"
+_IN_SAMPLE = f"(lft < floor({_BOUND})::bigint or (lft = floor({_BOUND})::bigint and rgt < floor(({_BOUND} - floor({_BOUND})) * 4294967296.0)::bigint))"
+_WEIGHED = """
+  select source_file, assertion_id, load_batch,
+    relation in ('/r/IsA', '/r/HasProperty', '/r/PartOf', '/r/UsedFor', '/r/CapableOf', '/r/AtLocation', '/r/HasA', '/r/MadeOf')
+      and regexp_matches(start_uri, '^/c/en/[^/]*[A-Za-z0-9]') and regexp_matches(end_uri, '^/c/en/[^/]*[A-Za-z0-9]') as mapped,
     case when json_valid(metadata_json) and json_type(metadata_json) = 'OBJECT' then
       case when json_extract_string(metadata_json, '$.weight') is null and not regexp_matches(metadata_json, '"weight"\\s*:') then 1.0
       else try_cast(json_extract_string(metadata_json, '$.weight') as double) end end as weight
   from conceptnet_assertions
-), e as (
-  select j.source_file, assertion_id, load_batch, s.c as coverage, s.s as seed
-  from j join latest using (source_file)
-  where relation in ('/r/IsA', '/r/HasProperty', '/r/PartOf', '/r/UsedFor', '/r/CapableOf', '/r/AtLocation', '/r/HasA', '/r/MadeOf')
-    and regexp_matches(start_uri, '^/c/en/[^/]*[A-Za-z0-9]') and regexp_matches(end_uri, '^/c/en/[^/]*[A-Za-z0-9]')
-    and weight >= s.w and not isnan(weight) and assertion_id >= 0 and assertion_id < 4611686018427387904
-), r0 as (
-  select *, (assertion_id >> 31) & {m31} as lft, assertion_id & {m31} as rgt from e
-), {", ".join(steps)}
-select source_file, assertion_id, min(load_batch) as load_batch from r{len(OFFSETS)}
-where (lft * 2147483648 + rgt) < cast(least(greatest(coverage / 100.0, 0.0), 1.0) * 4611686018427387904.0 as hugeint)
-group by 1, 2
+"""
+
+_REPLAY = f"""
+w as ({_WEIGHED}), settings as (
+  select distinct source_file, min_weight, coverage_percent, sample_seed from conceptnet_manifest where sampled_row_count is not null
+), n0 as (
+  select w.source_file, load_batch, min_weight, coverage_percent as coverage, assertion_id as ident, sample_seed as seed,
+    coalesce(mapped and weight >= min_weight, false) as ok
+  from w join settings using (source_file)
+), {_network("n0")}, counts as (
+  select source_file, min_weight, coverage, seed, load_batch, count(*) as scanned, count(*) filter (ok and coalesce({_IN_SAMPLE}, false)) as sampled
+  from {_LAST} group by all
+), upto as (
+  select source_file, min_weight, coverage, seed, sum(scanned) over g as upto_rows, sum(sampled) over g as upto_sampled
+  from counts window g as (partition by source_file, min_weight, coverage, seed order by load_batch)
+), replayed as (
+  select e.manifest_id, cast(coalesce(max(upto_sampled), 0) as bigint) as replayed_count
+  from conceptnet_manifest e left join upto s on e.source_file = s.source_file and e.min_weight is not distinct from s.min_weight
+    and e.coverage_percent is not distinct from s.coverage and e.sample_seed is not distinct from s.seed and s.upto_rows <= e.scanned_rows
+  where e.sampled_row_count is not null group by 1
+)
+"""
+
+P1_REPLAY = f"with {_REPLAY} select * from replayed"
+
+P1_FOUND = f"""
+with {_REPLAY}, s as (
+  select manifest_id, scanned_rows - lag(scanned_rows) over w as scanned, eligible_row_count - lag(eligible_row_count) over w as eligible,
+    sampled_row_count - lag(sampled_row_count) over w as recorded, replayed_count - lag(replayed_count) over w as replayed, lag(manifest_id) over w as first
+  from conceptnet_manifest join replayed using (manifest_id)
+  window w as (partition by source_file, normalization_version, min_weight, coverage_percent, sample_seed order by exported_at, manifest_id)
+)
+select first as first_manifest_id, manifest_id as later_manifest_id from s
+where first is not null and scanned >= 0 and eligible >= 0 and (recorded < least(replayed, 0) or (scanned = 0 and eligible = 0 and recorded <> replayed))
+"""
+
+P1_SAMPLE = f"""
+with latest as (
+  select source_file, arg_max({{'w': min_weight, 'c': coverage_percent, 's': sample_seed}}, {{'a': exported_at, 'b': manifest_id}}) as s
+  from conceptnet_manifest group by 1
+), w as ({_WEIGHED}), n0 as (
+  select source_file, load_batch, s.c as coverage, assertion_id as ident, s.s as seed from w join latest using (source_file)
+  where mapped and weight >= s.w and not isnan(weight)
+), {_network("n0")}
+select source_file, ident as assertion_id, min(load_batch) as load_batch from {_LAST} where {_IN_SAMPLE} group by 1, 2
 """
 
 
@@ -107,4 +133,4 @@ select distinct case_id, doc_id from eg join dg using (gram)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p1_sample": _p1_sample(), "p3_found": P3_FOUND, "p5_found": P5_FOUND, "p5_counts": P5_COUNTS, "p7_found": P7_FOUND}
+    return {"p1_found": P1_FOUND, "p1_replay": P1_REPLAY, "p1_sample": P1_SAMPLE, "p3_found": P3_FOUND, "p5_found": P5_FOUND, "p5_counts": P5_COUNTS, "p7_found": P7_FOUND}

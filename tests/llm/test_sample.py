@@ -17,7 +17,7 @@ def test_permutation_is_a_bijection_with_exact_rate(spark):
 def test_wide_domain_is_even_and_seeds_differ(spark):
     n = 200_000
     ids = spark.range(n)
-    for base in (0, 10**9, (1 << 61) - 1):
+    for base in (0, 10**9, (1 << 61) - 1, 1 << 62, -(1 << 62), -(1 << 63)):
         got = ids.select((F.col("id") + F.lit(base)).alias("id")).where(selected(F.col("id"), F.lit(0.1), F.lit(42))).count()
         assert abs(got - n * 0.1) < 5 * (n * 0.09) ** 0.5
     both = ids.where(selected(F.col("id"), F.lit(0.1), F.lit(1)) & selected(F.col("id"), F.lit(0.1), F.lit(2))).count()
@@ -33,9 +33,9 @@ def test_stable_nested_and_only_grows(spark):
 
 
 def test_edges(spark):
-    rows = spark.createDataFrame([(None, 1.0, 1), (5, None, 1), (5, 1.0, None), (-1, 1.0, 1), (5, 2.0, 1), (5, 0.0, 1), (5, float("nan"), 1), (2**62, 1.0, 1), (2**62 - 1, 1.0, 1)], "id long, r double, s long")
+    rows = spark.createDataFrame([(None, 1.0, 1), (5, None, 1), (5, 1.0, None), (-1, 1.0, 1), (5, 2.0, 1), (5, 0.0, 1), (5, float("nan"), 1), (2**62, 1.0, 1), (-(2**63), 1.0, 1)], "id long, r double, s long")
     got = [x.k for x in rows.select(selected(F.col("id"), F.col("r"), F.col("s")).alias("k")).collect()]
-    assert got == [False, False, False, False, True, False, False, False, True]
+    assert got == [False, False, False, True, True, False, False, True, True]
     with pytest.raises(ValueError):
         permute(F.col("id"), F.lit(1), 63)
     assert sample(rows.limit(0), "id", 0.5, 1).count() == 0
@@ -67,6 +67,30 @@ def test_broken_samples(spark):
     assert broken_samples(m.limit(0), assertions(spark)).count() == 0
 
 
+def test_the_replayed_sample_decides(spark, monkeypatch):
+    """With another sample in its place, one that loses rows or changes by itself, other pairs are reported."""
+    from factloom.llm import sample as S
+
+    s = lambda i, day, scanned, elig, got: (i, f"2025-01-{day:02d}", "f", 1, 1.0, 25.0, 42, scanned, elig, got)
+    rows = [s(1, 1, 100, 30, 8), s(2, 2, 200, 60, 7), s(3, 3, 200, 60, 9), s(4, 4, 200, 60, 9)]
+    m = spark.createDataFrame(rows, MANIFEST.replace("exported_at timestamp", "exported_at string")).withColumn("exported_at", F.to_timestamp("exported_at"))
+    assert sorted(map(tuple, broken_samples(m, assertions(spark)).collect())) == [(1, 2), (2, 3)]
+    real = S.replayed_exports
+    monkeypatch.setattr(S, "replayed_exports", lambda a, b: real(a, b).withColumn("replayed_count", -10 * F.col("manifest_id")))
+    assert sorted(map(tuple, broken_samples(m, assertions(spark)).collect())) == [(2, 3), (3, 4)]
+
+
+def test_many_files_with_a_hot_one(spark, monkeypatch):
+    from factloom.llm import sample as S
+
+    files = F.when(F.col("assertion_id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("f"), (F.col("assertion_id") % 50).cast("string")))
+    rows = assertions(spark, 4000).withColumn("source_file", files)
+    one = rows.select("source_file").distinct().withColumn("x", F.length("source_file"))
+    want = sorted(map(tuple, S._join_by_file(rows, one).select("assertion_id", "x").collect()))
+    monkeypatch.setattr(S, "BROADCAST_FILES", 0)
+    assert sorted(map(tuple, S._join_by_file(rows, one).select("assertion_id", "x").collect())) == want and len(want) == 4000
+
+
 def test_sampled_assertions_grow(spark):
     m = spark.createDataFrame([(1, "2025-01-01", "f", 1, 1.0, 40.0, 3, 1, 1, 1)], MANIFEST.replace("exported_at timestamp", "exported_at string"))
     rows = assertions(spark)
