@@ -1,30 +1,33 @@
 """Problem 2: new batches deduplicated against all history.
 
-A persistent table maps chunks to the accepted records that hold them; a batch looks its chunks up in it, verifies
-the few records it meets and appends the chunks of what it accepts. History is read as this narrow table and as the
-accepted records' token hashes, never as texts, and what was rejected is never read again.
-
-Chunk boundaries. Repeats are defined on sets of words and of statement bodies in any order, so runs of words cut by
-a rolling hash miss repeats whose words moved or changed here and there (measured in the README). The chunks here are
-therefore single tokens in one fixed order, rarest first: two records that share 0.7 of their tokens must share one
-of the first n - ceil(0.7 n) + 1 of each, and two of the first n - ceil(0.7 n) + 2. So only those are stored and looked
-up, a pair needs two of them, and no repeat is lost. What they
-share in all decides, counted exactly from the token hashes.
-
-A batch is added by History.add; repeats() adds a backlog of batches as one. Within a batch items repeat each other
-too. A batch is taken in slices of identifier order, the first one small: a
-family of near-copies is then represented in the table after its first slice and later members meet that one
-representative instead of each other, so the pairs of a family are bounded by the first slice's size. Exact copies are
-reduced to their first before, by hashes, and share what is decided for it. Pairs are resolved in rounds: an item without an
-undecided smaller neighbour is accepted, its neighbours are rejected.
+A persistent table maps chunks to the accepted records that hold them, with the size of each chunk; a batch looks its
+chunks up in it, adds up what a pair of records shares, verifies the pairs whose coverage is high enough and appends the
+chunks of what it accepts. History is read as this narrow table, only in the buckets that the batch touches, and as the
+token hashes of records in a pair; never as texts, and what was rejected is never read again.
+
+Chunks. Repeats are defined on sets of words and of statement bodies in any order, so both are put into one fixed order
+first, rarest token first, and chunked in it: the hash of a token is the rolling hash of a window of one, and a chunk ends
+behind each token whose hash falls on a boundary (one in CHUNK_TOKENS). Words that moved then change nothing, and a word
+that differs changes the chunk around it only. A pair that shares COVERAGE of the smaller record's bytes is a candidate.
+
+Chunks alone lose pairs whose differences touch every chunk (see the README), so single tokens are stored beside them as an
+exact way for the rest: two records that share 0.7 of their tokens must share two of the first n - ceil(0.7 n) + 2 of each.
+Both kinds of keys lie in one table and take one join. What a candidate pair shares in all decides, counted exactly.
+
+A batch is added by History.add. Within a batch items repeat each other too. A batch is taken in slices of identifier
+order, the first one small: a family of near-copies is then represented in the table after its first slice and later
+members meet that one representative instead of each other, so the pairs of a family are bounded by the first slice's
+size. Exact copies are reduced to their first before, by hashes, and share what is decided for it. Pairs are resolved in
+rounds: an item without an undecided smaller neighbour is accepted, its neighbours are rejected.
 
 Defined cases: only items with status 'success' take part; NULL nl and NULL or empty atoms give an empty set, which
 shares nothing; an item without a stored record is compared by its statements; of several stored records the one with
-the smallest record_id counts; repeated rows of one item_id count once.
+the smallest record_id counts; repeated rows of one item_id count once; items without batch_no belong to the backlog.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -42,10 +45,15 @@ from factloom.session import materialize, scratch_path
 TENTHS = 7
 #: Stored tokens that a candidate pair must share; sets of one token share that one.
 SHARED = 2
-#: Most tokens that are ordered by frequency; any bound and any choice of them give a valid order and the same result.
+#: Tokens of a chunk on average, and the part of the smaller record's bytes that a candidate pair shares in chunks.
+CHUNK_TOKENS = 2
+COVERAGE = 0.5
+#: Most tokens that are ordered by frequency, the most frequent ones; the order decides about speed only.
 ORDERED_TOKENS = 50_000
-#: Most rows of identifiers that are broadcast: some 10 MB.
+#: Most rows of identifiers or keys that are broadcast: some 10 MB.
 BROADCAST_ROWS = 400_000
+#: Folders of the key table by the key's hash.
+BUCKETS = 16
 FIRST_SLICE = 15_000
 SLICE_GROWTH = 20
 
@@ -85,10 +93,11 @@ def hashed_items(items: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def _ordered(ranked: tuple[np.ndarray, np.ndarray]):
-    """Sorts token arrays by (frequency, hash) and adds the part that has to be looked up."""
+    """Sorts token arrays by (frequency, hash) and adds the keys of the key table: kind, key, the bytes that sharing it
+    adds and the bytes of the whole. Kinds 0 and 1 are looked-up tokens of words and bodies, 2 and 3 their chunks."""
     known, often = ranked
 
-    def one(column: pa.ListArray) -> tuple[pa.Array, pa.Array]:
+    def one(column: pa.ListArray, view: int) -> tuple[pa.Array, tuple[np.ndarray, ...]]:
         offsets = column.offsets.to_numpy().astype(np.int64)
         values = column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
         offsets = offsets - offsets[0]
@@ -100,33 +109,50 @@ def _ordered(ranked: tuple[np.ndarray, np.ndarray]):
         values = values[order]
         least = (TENTHS * n + 9) // 10
         look = n - least + np.minimum(SHARED, least)
-        inside = np.arange(len(values)) - np.repeat(offsets[:-1], n) < np.repeat(look, n)
-        ends = np.concatenate(([0], np.cumsum(look))).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values)), pa.ListArray.from_arrays(pa.array(ends), pa.array(values[inside]))
+        inside = np.flatnonzero(np.arange(len(values)) - np.repeat(offsets[:-1], n) < np.repeat(look, n))
+        mixed = values.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F)
+        ends = (mixed >> np.uint64(40)) % np.uint64(CHUNK_TOKENS) == 0
+        first = np.concatenate(([True], ends[:-1] | (row[1:] != row[:-1]))) if len(values) else np.zeros(0, bool)
+        begin = np.flatnonzero(first)
+        chunk = np.add.reduceat(mixed, begin).view(np.int64) if len(begin) else np.zeros(0, np.int64)
+        size = np.diff(np.concatenate((begin, [len(values)])))
+        keys = (
+            np.concatenate((row[inside], row[begin])),
+            np.concatenate((np.full(len(inside), view), np.full(len(begin), view + 2))).astype(np.int8),
+            np.concatenate((values[inside], chunk)),
+            np.concatenate((np.full(len(inside), 8), 8 * size)).astype(np.int32),
+            np.concatenate((8 * n[row[inside]], 8 * n[row[begin]])).astype(np.int32),
+        )
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values)), keys
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, look_words = one(batch.column("words"))
-            bodies, look_bodies = one(batch.column("bodies"))
-            sizes = [pa.array(np.diff(v.offsets.to_numpy()), pa.int32()) for v in (words, bodies)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("item_id"), batch.column("batch_no"), words, bodies, *sizes, look_words, look_bodies],
-                names=["item_id", "batch_no", "words", "bodies", "n_words", "n_bodies", "look_words", "look_bodies"],
-            )
+            words, a = one(batch.column("words"), 0)
+            bodies, b = one(batch.column("bodies"), 1)
+            row, *fields = (np.concatenate(x) for x in zip(a, b))
+            order = np.argsort(row, kind="stable")
+            each = pa.StructArray.from_arrays([pa.array(f[order]) for f in fields], names=["kind", "key", "part", "whole"])
+            offsets = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=batch.num_rows)))).astype(np.int32)
+            keys = pa.ListArray.from_arrays(pa.array(offsets), each)
+            yield pa.RecordBatch.from_arrays([batch.column("item_id"), batch.column("batch_no"), words, bodies, keys], names=["item_id", "batch_no", "words", "bodies", "keys"])
 
     return run
 
 
-KEYED = "item_id long, batch_no int, words array<long>, bodies array<long>, n_words int, n_bodies int, look_words array<long>, look_bodies array<long>"
+SETS = "item_id long, batch_no int, words array<long>, bodies array<long>"
+KEYED = SETS + ", keys array<struct<kind: tinyint, key: bigint, part: int, whole: int>>"
+KEYS = "item_id long, kind tinyint, key long, part int, whole int, bucket int"
 
 
 ORDER = "t long, count long"
 
 
 def _token_counts(hashed: DataFrame) -> DataFrame:
-    """Tokens of at least one item in a thousand with their counts, and at most ORDERED_TOKENS of them."""
+    """The most frequent tokens, of at least one item in a thousand, with their counts."""
     least = F.greatest(F.lit(2), F.lit(hashed.count() // 1000))
-    return hashed.select(F.explode(F.concat("words", "bodies")).alias("t")).groupBy("t").count().where(F.col("count") >= least).limit(ORDERED_TOKENS)
+    counts = hashed.select(F.explode(F.concat("words", "bodies")).alias("t")).groupBy("t").count().where(F.col("count") >= least)
+    return counts.orderBy(F.desc("count"), "t").limit(ORDERED_TOKENS)
 
 
 def _sorted_order(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -141,11 +167,9 @@ def token_order(hashed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return _sorted_order(_token_counts(hashed))
 
 
-def _chunks(keyed: DataFrame) -> DataFrame:
-    """view, token, item_id and the size of its set: the rows of the chunk table, out of the columns that hold them."""
-    views = [F.struct(F.lit(i).alias("view"), F.col(f"n_{v}").alias("n"), F.col(f"look_{v}").alias("t")) for i, v in enumerate(("words", "bodies"))]
-    each = F.array(*views)
-    return keyed.select("item_id", F.inline(each)).select("item_id", "view", "n", F.explode("t").alias("token"))
+def _keys(keyed: DataFrame) -> DataFrame:
+    """The rows of the key table."""
+    return keyed.select("item_id", F.inline("keys")).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int"))
 
 
 def _alike(a: Column, b: Column) -> Column:
@@ -174,11 +198,13 @@ def _verified(pairs: DataFrame, earlier: DataFrame, later: DataFrame) -> DataFra
 
 
 def _candidates(earlier: DataFrame, later: DataFrame, ordered: bool) -> DataFrame:
-    a = earlier.selectExpr("view", "token", "item_id as first", "n as an")
-    b = later.selectExpr("view", "token", "item_id as later", "n as bn")
-    sizes = (10 * F.least("an", "bn") >= TENTHS * F.greatest("an", "bn")) & (F.lit(True) if not ordered else F.col("first") < F.col("later"))
-    met = a.join(b, ["view", "token"]).where(sizes).groupBy("first", "later", "view").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("an", "bn")).alias("n"))
-    return met.where(F.col("shared") >= F.least(F.lit(SHARED), F.col("n"))).select("first", "later").distinct()
+    """Pairs (first, later) that share enough bytes of chunks, or two looked-up tokens."""
+    a = earlier.selectExpr("kind", "key", "item_id as first", "whole as aw")
+    b = later.selectExpr("kind", "key", "item_id as later", "whole as bw", "part")
+    sizes = (10 * F.least("aw", "bw") >= TENTHS * F.greatest("aw", "bw")) & (F.lit(True) if not ordered else F.col("first") < F.col("later"))
+    met = a.join(b, ["kind", "key"]).where(sizes).groupBy("first", "later", "kind").agg(F.sum("part").alias("shared"), F.min(F.least("aw", "bw")).alias("whole"))
+    covered = F.when(F.col("kind") >= 2, F.col("shared") >= COVERAGE * F.col("whole")).otherwise(F.col("shared") >= F.least(F.lit(8 * SHARED), F.col("whole")))
+    return met.where(covered).select("first", "later").distinct()
 
 
 def _copies(hashed: DataFrame) -> DataFrame:
@@ -192,16 +218,17 @@ def _copies(hashed: DataFrame) -> DataFrame:
 
 
 class History:
-    """Accepted records with their chunks, in the shared folder: one part per slice, and beside them the token order by
+    """Accepted records with their keys, in the shared folder: one part per slice, and beside them the token order by
     which all are stored. A History opened on an existing path goes on with what is there.
 
-    A part counts once it is written to its end; what an interrupted write left is written over. One writer at a time.
+    A part counts once its last table is written to its end; what an interrupted write left is written over. One writer
+    at a time.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None) -> None:
         self.spark, self.path, self.parts = spark, path or scratch_path(spark, "history"), 0
         self.order = self._stored_order() if self._complete("order") else None
-        while self._complete(f"parts/{self.parts}"):
+        while self._complete(f"items/{self.parts}"):
             self.parts += 1
         if self.parts and self.order is None:
             raise ValueError(f"{self.path} has parts but no token order")
@@ -214,10 +241,18 @@ class History:
         return _sorted_order(self.spark.read.schema(ORDER).parquet(f"{self.path}/order"))
 
     def accepted(self) -> DataFrame:
-        return self.spark.read.schema(KEYED).parquet(*[f"{self.path}/parts/{k}" for k in range(self.parts)])
+        return self.spark.read.schema(SETS).parquet(*[f"{self.path}/items/{k}" for k in range(self.parts)])
+
+    def keys(self, buckets: list[int]) -> DataFrame:
+        """The key table in the buckets."""
+        parts = [self.spark.read.schema(KEYS).parquet(f"{self.path}/keys/{k}") for k in range(self.parts)]
+        return functools.reduce(DataFrame.unionByName, parts).where(F.col("bucket").isin(buckets))
 
     def append(self, keyed: DataFrame) -> None:
-        keyed.write.mode("overwrite").parquet(f"{self.path}/parts/{self.parts}")
+        """One file per bucket and part: only what was accepted is shuffled, by the hash of its key."""
+        keys = _keys(keyed).repartition(BUCKETS, "bucket")
+        keys.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/keys/{self.parts}")
+        keyed.select("item_id", "batch_no", "words", "bodies").write.mode("overwrite").parquet(f"{self.path}/items/{self.parts}")
         self.parts += 1
 
     def keyed(self, hashed: DataFrame) -> DataFrame:
@@ -247,15 +282,23 @@ class History:
         of_copies = copies.join(out.selectExpr("first as head", "later as same_as"), "same_as", "left")
         return out.unionByName(of_copies.selectExpr("coalesce(head, same_as) as first", "item_id as later"))
 
+    def met(self, keyed: DataFrame) -> DataFrame:
+        """Candidate pairs of accepted items and those of a slice. The slice's keys are broadcast if they are few, so that
+        history is scanned and not shuffled; more meet it in a shuffle of the touched buckets."""
+        keys = _keys(keyed)
+        found = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()  # at most BUCKETS rows
+        if sum(r.n for r in found) <= BROADCAST_ROWS:
+            keys = F.broadcast(keys)
+        return _candidates(self.keys([r.bucket for r in found]), keys, ordered=False)
+
     def add_slice(self, keyed: DataFrame) -> list[DataFrame]:
         """Accepts what repeats nothing accepted so far, in order of item_id; returns (first, later) of the rest."""
         found: list[DataFrame] = []
         if self.parts:
-            pairs = _candidates(_chunks(self.accepted()), _chunks(keyed), ordered=False)
-            repeats = _verified(pairs, self.accepted(), keyed).groupBy("later").agg(F.min("first").alias("first"))
+            repeats = _verified(self.met(keyed), self.accepted(), keyed).groupBy("later").agg(F.min("first").alias("first"))
             found.append(materialize(repeats.select("first", "later"), "repeats"))
             keyed = _without(keyed, found[0].select(F.col("later").alias("item_id")))
-        own = _chunks(keyed)
+        own = _keys(keyed)
         edges = materialize(_verified(_candidates(own, own, ordered=True), keyed, keyed), "edges")
         dead = _rejected(edges)
         if dead is not None:
@@ -291,16 +334,31 @@ def keyed_items(items: DataFrame, records: DataFrame, order: tuple[np.ndarray, n
     return materialize(hashed.mapInArrow(_ordered(token_order(hashed) if order is None else order), KEYED), "keyed-items")
 
 
-def repeats(items: DataFrame, records: DataFrame) -> DataFrame:
+def repeats(items: DataFrame, records: DataFrame, path: str | None = None) -> DataFrame:
     """first_item_id, later_item_id: every item that repeats an accepted one, with the smallest that it repeats.
 
-    The batches at hand are added to a new history as one arrival: a backlog then takes as many slices as its size
-    needs and not some for every batch. Adding them one by one gives the same rows, as item_ids ascend with batches.
+    All batches but the last are a backlog, added to the history at path (a new one by default) as one arrival; a backlog
+    then takes as many slices as its size needs and not some for every batch. The last batch is then added to the history
+    as opened again. Adding batches one by one gives the same rows, as item_ids ascend with batches.
     """
-    found = History(items.sparkSession).add(materialize(hashed_items(items, records), "hashed-items"))
+    spark = items.sparkSession
+    hashed = materialize(hashed_items(items, records), "hashed-items")
+    last = hashed.agg(F.max("batch_no").alias("b")).first().b
+    since = hashed.where(F.col("batch_no") == F.lit(last)).agg(F.min("item_id").alias("i")).first().i
+    history = History(spark, path)
+    found = history.add(hashed if since is None else hashed.where(F.col("item_id") < since))
+    if since is not None:
+        found = found.unionByName(History(spark, history.path).add(hashed.where(F.col("item_id") >= since)))
     return found.select(F.col("first").alias("first_item_id"), F.col("later").alias("later_item_id"))
 
 
+def last_batch_repeats(items: DataFrame, records: DataFrame) -> DataFrame:
+    """The repeats of the last batch alone: the backlog is in the history, which is opened again for the batch."""
+    last = items.agg(F.max("batch_no").alias("b")).first().b
+    since = items.where(F.col("batch_no") == F.lit(last)).agg(F.min("item_id").alias("i")).first().i
+    return repeats(items, records).where(F.col("later_item_id") >= F.lit(since))
+
+
 def _slices(batch: DataFrame, lo: int, hi: int, n: int) -> list[tuple[int, int]]:
     """Ranges of item_id that hold about FIRST_SLICE items, then SLICE_GROWTH times as many each."""
     shares, size, done = [], FIRST_SLICE, 0

@@ -29,6 +29,11 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.repeats(table(spark, sf, "ingest_item_results"), table(spark, sf, "vector_records"))
 
 
+def p2_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """The last batch checked against the stored history of all earlier ones."""
+    return dedup.last_batch_repeats(table(spark, sf, "ingest_item_results"), table(spark, sf, "vector_records"))
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return p3_pieces_of(spark, sf).select("request_id", "text_no").distinct()
 
@@ -84,5 +89,5 @@ def p8_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    each = (p1_found, p1_replay, p1_sample, p2_found, p3_found, p3_pieces, p4_found, p5_found, p5_counts, p6_pack, p7_found, p7_longest, p8_found, p8_labels)
+    each = (p1_found, p1_replay, p1_sample, p2_found, p2_batch, p3_found, p3_pieces, p4_found, p5_found, p5_counts, p6_pack, p7_found, p7_longest, p8_found, p8_labels)
     return {f.__name__: f for f in each}

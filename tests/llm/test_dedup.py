@@ -93,3 +93,24 @@ def test_history_is_opened_again(spark, tmp_path):
         assert history.parts == b and (history.order is None) == (b == 0)
         got |= {tuple(r) for r in history.add(dedup.keyed_items(df.where(f"batch_no = {b}"), rec)).collect()}
     assert got == brute(items, records) and any(a // 30 < b // 30 for a, b in got)
+
+
+def test_a_small_batch_reads_its_buckets_only(spark, tmp_path):
+    items = [(i, 0 if i < 500 else 1, "success", []) for i in range(501)]
+    records = [(i, i, " ".join(f"w{i * 7 + k}" for k in range(6))) for i in range(500)] + [(500, 500, "w7 w8 w9 w10 w11 w12")]
+    df, rec = spark.createDataFrame(items, ITEMS), spark.createDataFrame(records, RECORDS)
+    history = dedup.History(spark, str(tmp_path / "history"))
+    assert history.add(dedup.hashed_items(df.where("batch_no = 0"), rec)).count() == 0
+    batch = dedup.hashed_items(df.where("batch_no = 1"), rec)
+    touched = {r.bucket for r in dedup._keys(history.keyed(batch)).collect()}
+    assert 0 < len(touched) < dedup.BUCKETS and {r.bucket for r in history.keys(sorted(touched)).select("bucket").distinct().collect()} <= touched
+    assert "BroadcastHashJoin" in history.met(history.keyed(batch))._jdf.queryExecution().toString()
+    assert [tuple(r) for r in dedup.History(spark, history.path).add(batch).collect()] == [(1, 500)]
+
+
+def test_last_batch(spark):
+    items = [(i, i // 10, "success", [f"(: n (P a{i % 7} b) (STV 1 1))"]) for i in range(30)]
+    records = [(i, i, f"one two three w{i % 11}") for i in range(30)]
+    df, rec = spark.createDataFrame(items, ITEMS), spark.createDataFrame(records, RECORDS)
+    got = {tuple(r) for r in dedup.last_batch_repeats(df, rec).collect()}
+    assert got == {(a, b) for a, b in brute(items, records) if b >= 20} and got
