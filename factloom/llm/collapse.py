@@ -1,10 +1,15 @@
 """Problem 5: records that differ only in layout, collapsed to one each and counted.
 
-Keys that many rows share are found exactly by partial counts: a key held by at least 1/MAX_HOT of all rows is held
-by that share of the rows of some input partition, so the keys that reach the share within a partition contain all
-hot keys, and an exact count of just those follows. Hot keys are counted in two levels with a salt and joined back
-as a broadcast of at most MAX_HOT rows, so their rows are never shuffled together; all other keys take one shuffle,
-in which no group is larger than 1/MAX_HOT of the rows. The representative is the smallest identifier.
+Keys that many rows share are found exactly by partial counts: each input partition keeps counters of bounded number
+that fall short of the true counts by at most 1/(2 MAX_HOT) of its rows; summed up they name at most 2 MAX_HOT keys that
+contain all keys held by 1/MAX_HOT of all rows, and an exact count of just those follows. Hot keys are counted in two
+levels with a salt and joined back as a broadcast of at most MAX_HOT rows, so their rows are never shuffled together;
+all other keys take one shuffle, in which no group is larger than 1/MAX_HOT of the rows. The representative is the
+smallest identifier.
+
+What counts as formatting is the class of characters that a canonical text keeps: letters, marks, digits and symbols by
+default, so that vowel signs and signs of operation tell records apart; the statement tables keep letters and digits
+only, as their records are defined.
 
 Defined cases: rows with a NULL key are no records and are left out; rows with a NULL identifier count as copies
 but never represent; repeated rows with one identifier count as often as they come; an empty input gives no row.
@@ -26,15 +31,20 @@ MAX_HOT = 1000
 SALTS = 32
 
 
-def canonical(text: Column) -> Column:
-    """Letters and digits only, in lower case."""
-    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "")
+#: Characters that a canonical text keeps.
+CONTENT = r"\p{L}\p{M}\p{N}\p{S}"
+LETTERS_AND_DIGITS = r"\p{L}\p{N}"
+
+
+def canonical(text: Column, keep: str = CONTENT) -> Column:
+    """What counts as content, in lower case."""
+    return F.regexp_replace(F.lower(text), rf"[^{keep}]+", "")
 
 
-def canonical_array(values: Column) -> Column:
+def canonical_array(values: Column, keep: str = CONTENT) -> Column:
     """Canonical statements in sorted order; NULL for a NULL or empty array. NULL statements are skipped."""
     kept = F.filter(values, lambda x: x.isNotNull())
-    return F.when(F.size(kept) > 0, F.array_sort(F.transform(kept, canonical)))
+    return F.when(F.size(kept) > 0, F.array_sort(F.transform(kept, lambda x: canonical(x, keep))))
 
 
 def content_key(*parts: Column) -> Column:
@@ -43,16 +53,16 @@ def content_key(*parts: Column) -> Column:
 
 
 def _frequent(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keys that may hold 1/MAX_HOT of the partition's rows, by frequent-items counters of bounded size."""
+    """Keys of the partition with counts that fall short by at most 1/(2 MAX_HOT) of its rows: frequent-items counters."""
     counts: dict[bytes, int] = {}
     for batch in rows:
         for item in pc.value_counts(batch.column(0)).to_pylist():
             counts[item["values"]] = counts.get(item["values"], 0) + item["counts"]
-        if len(counts) > 4 * MAX_HOT:  # take from all what the smallest beyond the bound has: the error stays under 1/MAX_HOT
+        if len(counts) > 4 * MAX_HOT:  # take from all what the smallest beyond the bound has
             least = sorted(counts.values(), reverse=True)[2 * MAX_HOT]
             counts = {k: n - least for k, n in counts.items() if n > least}
     if counts:
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary())], names=["key"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["key", "n"])
 
 
 def hot_keys(keyed: DataFrame) -> DataFrame:
@@ -61,9 +71,10 @@ def hot_keys(keyed: DataFrame) -> DataFrame:
     need = max(1000, -(-total // MAX_HOT))
     if total < need:
         return keyed.select("key", F.col("id").alias("first_id"), F.lit(0).cast("long").alias("copies")).limit(0)
-    maybe = keyed.select("key").mapInArrow(_frequent, "key binary").distinct()
+    counted = keyed.select("key").mapInArrow(_frequent, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    maybe = counted.where(F.col("n") >= need - total / (2 * MAX_HOT)).select("key")  # at most 2 MAX_HOT rows
     partial = (
-        keyed.join(maybe, "key", "left_semi")
+        keyed.join(F.broadcast(maybe), "key", "left_semi")
         .groupBy("key", (F.xxhash64("id") % SALTS).alias("salt"))
         .agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
     )
@@ -104,11 +115,11 @@ RECORD = "nl string, pln array<string>, source string, background string, relati
 
 
 def item_keys(items: DataFrame) -> DataFrame:
-    return items.select(F.lit("ingest_item_results").alias("table_name"), F.col("item_id").alias("id"), _key("i", canonical_array(F.col("atoms"))).alias("key"))
+    return items.select(F.lit("ingest_item_results").alias("table_name"), F.col("item_id").alias("id"), _key("i", canonical_array(F.col("atoms"), LETTERS_AND_DIGITS)).alias("key"))
 
 
 def record_keys(records: DataFrame) -> DataFrame:
-    return records.select(F.lit("vector_records").alias("table_name"), F.col("record_id").alias("id"), _key("v", canonical_array(F.col("pln"))).alias("key"))
+    return records.select(F.lit("vector_records").alias("table_name"), F.col("record_id").alias("id"), _key("v", canonical_array(F.col("pln"), LETTERS_AND_DIGITS)).alias("key"))
 
 
 def line_keys(lines: DataFrame) -> DataFrame:
@@ -118,7 +129,7 @@ def line_keys(lines: DataFrame) -> DataFrame:
     r = F.from_json("line", schema, {"columnNameOfCorruptRecord": "_bad", "allowSingleQuotes": "false"})
     parsed = lines.where(whole).select(F.col("line_id").alias("id"), r.alias("r"))
     plain = [F.coalesce(F.concat(F.lit("="), F.col(f"r.{c}")), F.lit("\x00")) for c in ("source", "background", "relation")]
-    key = _key("b", canonical_array(F.col("r.pln")), canonical(F.col("r.nl")), *plain)
+    key = _key("b", canonical_array(F.col("r.pln"), LETTERS_AND_DIGITS), canonical(F.col("r.nl"), LETTERS_AND_DIGITS), *plain)
     good = F.col("r._bad").isNull() & F.col("r.nl").isNotNull() & F.col("r.pln").isNotNull()
     return parsed.where(good).select(F.lit("background_jsonl").alias("table_name"), "id", key.alias("key"))
 

@@ -44,3 +44,9 @@ def test_frequent_items_keep_every_hot_key():
     batches = [pa.RecordBatch.from_arrays([pa.array([b"hot"] * 40 + [f"{b}-{i}".encode() for i in range(9000)])], names=["key"]) for b in range(6)]
     kept = [k for out in collapse._frequent(iter(batches)) for k in out.column(0).to_pylist()]
     assert b"hot" in kept and len(kept) < 20_000
+
+
+def test_content_class(spark):
+    df = spark.createDataFrame([("कि की", "a + b"), ("ki", " A-B ")], "x string, y string")
+    row = df.select(*[collapse.canonical(c) for c in ("x", "y")], collapse.canonical(df.y, collapse.LETTERS_AND_DIGITS)).collect()
+    assert [tuple(r) for r in row] == [("किकी", "a+b", "ab"), ("ki", "ab", "ab")]

@@ -56,6 +56,25 @@ def test_blank_lines_breaks_and_edges():
     assert len(sentence_ends("(" * 100_000 + ". ")) == 1
 
 
+def test_abbreviations_are_those_of_the_language():
+    for two in ("The rod is 5 mm. The tube is 7 cm.", "It took 1 hr. Then it stopped.", "Длина 5 см. Затем он ушёл.", "He lives on Main St. She left.", "We met the rep. He smiled."):
+        assert len(cut(two)) == 2, two
+    one = ("We met Gigemus Lalere St. Tosik there.", "Mme Roy et MM. Bel et Noir sont dans la salle.", "Das ist der Hof von Hr. Meier und Fr. Huber.", "El libro es de la sra. López y del sr. García.", "См. рис. 5 и табл. 7.", "M. Tonanux Nanisu garde env. 27,91 kg.")
+    for text in one:
+        assert len(cut(text)) == 1, text
+
+
+def test_time_is_linear_in_stray_brackets():
+    import time
+
+    began = time.time()
+    sentence_ends("( a. b " * 30_000)
+    sentence_ends("“ a. b „ c. [ d? " * 20_000)
+    assert time.time() - began < 10
+    deep = "(" * 50 + "One. Two." + ")" * 50 + " Three. Four."
+    assert cut(deep) == [deep[: deep.index(" Three")], "Three.", "Four."]
+
+
 def test_operator(spark):
     rows = [(1, 1, ["One. Two.", None, "  "]), (1, 1, ["One. Two.", None, "  "]), (2, 1, None), (3, 1, [])]
     df = spark.createDataFrame(rows, "request_id long, setting_id int, texts array<string>")
