@@ -6,13 +6,15 @@ chunks of what it accepts. History is read as this narrow table, only in the buc
 token hashes of records in a pair; never as texts, and what was rejected is never read again.
 
 Chunks. Repeats are defined on sets of words and of statement bodies in any order, so both are put into one fixed order
-first, rarest token first, and chunked in it: the hash of a token is the rolling hash of a window of one, and a chunk ends
-behind each token whose hash falls on a boundary (one in CHUNK_TOKENS). Words that moved then change nothing, and a word
-that differs changes the chunk around it only. A pair that shares COVERAGE of the smaller record's bytes is a candidate.
+first, rarest token first, and the rare end of it is chunked: the hash of a token is the rolling hash of a window of one,
+and a chunk ends behind each token whose hash falls on a boundary (one in CHUNK_TOKENS). Words that moved then change
+nothing, and a word that differs changes the chunk around it only. The frequent end makes no chunks: they would be hot
+keys. A pair that shares COVERAGE of the smaller record's bytes in chunks is a candidate.
 
-Chunks alone lose pairs whose differences touch every chunk (see the README), so single tokens are stored beside them as an
-exact way for the rest: two records that share 0.7 of their tokens must share two of the first n - ceil(0.7 n) + 2 of each.
-Both kinds of keys lie in one table and take one join. What a candidate pair shares in all decides, counted exactly.
+Chunks alone lose pairs whose differences touch every chunk (see the README), so the single tokens of the rare end are
+stored beside them as an exact way for the rest (a chunk of one token is that token): two records that share 0.7 of their
+tokens must share two of the first n - ceil(0.7 n) + 2 of each, which is the rare end. Both kinds of keys lie in one table
+and take one join. What a candidate pair shares in all decides, counted exactly.
 
 A batch is added by History.add. Within a batch items repeat each other too. A batch is taken in slices of identifier
 order, the first one small: a family of near-copies is then represented in the table after its first slice and later
@@ -45,9 +47,10 @@ from factloom.session import materialize, scratch_path
 TENTHS = 7
 #: Stored tokens that a candidate pair must share; sets of one token share that one.
 SHARED = 2
-#: Tokens of a chunk on average, and the part of the smaller record's bytes that a candidate pair shares in chunks.
-CHUNK_TOKENS = 2
-COVERAGE = 0.5
+#: Tokens of a chunk on average, and the part of the smaller record's bytes that a candidate pair shares in chunks of the
+#: rare end, which holds about a third of them.
+CHUNK_TOKENS = 3
+COVERAGE = 0.05
 #: Most tokens that are ordered by frequency, the most frequent ones; the order decides about speed only.
 ORDERED_TOKENS = 50_000
 #: Most rows of identifiers or keys that are broadcast: some 10 MB.
@@ -113,16 +116,18 @@ def _ordered(ranked: tuple[np.ndarray, np.ndarray]):
         mixed = values.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F)
         ends = (mixed >> np.uint64(40)) % np.uint64(CHUNK_TOKENS) == 0
-        first = np.concatenate(([True], ends[:-1] | (row[1:] != row[:-1]))) if len(values) else np.zeros(0, bool)
-        begin = np.flatnonzero(first)
-        chunk = np.add.reduceat(mixed, begin).view(np.int64) if len(begin) else np.zeros(0, np.int64)
-        size = np.diff(np.concatenate((begin, [len(values)])))
+        rare, rare_row, ends = mixed[inside], row[inside], ends[inside]
+        begin = np.flatnonzero(np.concatenate(([True], ends[:-1] | (rare_row[1:] != rare_row[:-1])))) if len(rare) else np.zeros(0, np.int64)
+        chunk = np.add.reduceat(rare, begin).view(np.int64) if len(begin) else np.zeros(0, np.int64)
+        size = np.diff(np.concatenate((begin, [len(rare)])))
+        several = size > 1
+        begin, chunk, size = begin[several], chunk[several], size[several]
         keys = (
-            np.concatenate((row[inside], row[begin])),
+            np.concatenate((rare_row, rare_row[begin])),
             np.concatenate((np.full(len(inside), view), np.full(len(begin), view + 2))).astype(np.int8),
             np.concatenate((values[inside], chunk)),
             np.concatenate((np.full(len(inside), 8), 8 * size)).astype(np.int32),
-            np.concatenate((8 * n[row[inside]], 8 * n[row[begin]])).astype(np.int32),
+            8 * np.concatenate((n[rare_row], n[rare_row[begin]])).astype(np.int32),
         )
         return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values)), keys
 
