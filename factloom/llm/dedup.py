@@ -53,8 +53,9 @@ CHUNK_TOKENS = 3
 COVERAGE = 0.05
 #: Most tokens that are ordered by frequency, the most frequent ones; the order decides about speed only.
 ORDERED_TOKENS = 50_000
-#: Most rows of identifiers or keys that are broadcast: some 10 MB.
-BROADCAST_ROWS = 400_000
+#: Most rows of identifiers, and of keys, that are broadcast: some 5 MB each.
+BROADCAST_ROWS = 200_000
+BROADCAST_KEYS = 100_000
 #: Folders of the key table by the key's hash.
 BUCKETS = 16
 FIRST_SLICE = 15_000
@@ -292,7 +293,7 @@ class History:
         history is scanned and not shuffled; more meet it in a shuffle of the touched buckets."""
         keys = _keys(keyed)
         found = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()  # at most BUCKETS rows
-        if sum(r.n for r in found) <= BROADCAST_ROWS:
+        if sum(r.n for r in found) <= BROADCAST_KEYS:
             keys = F.broadcast(keys)
         return _candidates(self.keys([r.bucket for r in found]), keys, ordered=False)
 
