@@ -65,8 +65,20 @@ def mean(particles: Column) -> Column:
     return F.aggregate(particles, F.lit(0.0), lambda acc, p: acc + p["x"] * p["w"])
 
 
+def parse_value(statement: Column) -> Column:
+    """Particles of a statement's value distribution (PointMass, ParticleFromNormal, ParticleFromPairs); NULL for others."""
+    number = r"([-+0-9.eE]+)"
+    found = lambda p, i: F.regexp_extract(statement, p, i).try_cast("double")
+    point, normal = rf"\(PointMass\s+{number}\s*\)\s*\)$", rf"\(ParticleFromNormal\s+{number}\s+{number}\s*\)\s*\)$"
+    block = F.regexp_extract(statement, r"\(ParticleFromPairs\s+\(((?:\s*\([^()]*\))+)\s*\)\s*\)\s*\)$", 1)
+    pairs = F.transform(F.regexp_extract_all(block, F.lit(r"\(([^()]*)\)"), F.lit(1)), lambda t: F.split(F.trim(t), r"\s+"))
+    xs = F.transform(pairs, lambda p: F.get(p, F.lit(0)).try_cast("double"))
+    ws = F.transform(pairs, lambda p: F.get(p, F.lit(1)).try_cast("double"))
+    return F.when(statement.rlike(point), point_mass(found(point, 1))).when(statement.rlike(normal), from_normal(found(normal, 1), found(normal, 2))).when(block != "", from_pairs(xs, ws))
+
+
 #: Named functions for Compute; callers may register more.
-COMPUTE = {"+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b, "/": lambda a, b: a / b, "min": F.least, "max": F.greatest}
+COMPUTE = {"+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b, "/": lambda a, b: a / b, "min": F.least, "max": F.greatest, "pow": F.pow, "abs": F.abs, "sqrt": F.sqrt, "neg": lambda a: -a}
 
 
 def compute(name: str, *args: Column) -> Column:

@@ -159,6 +159,12 @@ def context_predicates(text: Column, limit: int = 12, structural: bool = True) -
     return F.slice(heads if structural else F.array_except(heads, F.array(*map(F.lit, STRUCTURAL_HEADS))), 1, limit)
 
 
+def context_heads(context: Column) -> Column:
+    """Heads of an array of statements but for the structural ones of the extraction path, each once (T18)."""
+    found = F.flatten(F.transform(context, lambda t: F.regexp_extract_all(t, F.lit(r"\(([A-Za-z][A-Za-z0-9_]*)"), F.lit(1))))
+    return F.array_except(F.array_distinct(found), F.array(*map(F.lit, ("Implication", "Premises", "Conclusions", "STV", "And", "Or", "Not", "IsA"))))
+
+
 def goal_variables(goal: Column) -> Column:
     found = F.regexp_extract_all(goal, F.lit(r"[$?]\w+"), F.lit(0))
     return F.array_except(found, F.array(*map(F.lit, ("$prf", "$tv", "?prf", "?tv"))))

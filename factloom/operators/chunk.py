@@ -9,7 +9,7 @@ from typing import TYPE_CHECKING
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.text import merge_sentences, split_sentences
+from factloom.functions.text import PARAGRAPH_CUES, PARAGRAPH_PREFIXES, merge_sentences, split_sentences
 
 if TYPE_CHECKING:
     import pandas as pd
@@ -80,37 +80,62 @@ def batches(units: Column, max_sentences: Column | int = BATCH_SENTENCES, max_ch
     return F.aggregate(units, start, step, lambda acc: F.when(F.size(acc["open"]) > 0, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]))
 
 
+def _goes_on(sentence: str) -> bool:
+    words = sentence.lower().split()
+    return bool(words) and (words[0] in PARAGRAPH_CUES or " ".join(words[:2]) in PARAGRAPH_PREFIXES or " ".join(words[:3]) in PARAGRAPH_PREFIXES)
+
+
+def _packed(parts: list[str], size: int, joint: str) -> list[str]:
+    """Consecutive parts joined while the open group, with a joint behind each part, and the next one fit into size."""
+    out: list[list[str]] = []
+    used = 0
+    for p in parts:
+        if out and used + len(p) <= size:
+            out[-1].append(p)
+            used += len(p) + len(joint)
+        else:
+            out.append([p])
+            used = len(p) + len(joint)
+    return [joint.join(g) for g in out]
+
+
+def _packed_sentences(parts: list[str], size: int) -> list[str]:
+    """As _packed, but the sentence that opens a later group counts without its joint."""
+    out: list[list[str]] = []
+    used = 0
+    for p in parts:
+        fits = not out or used + len(p) <= size
+        if not out or not fits:
+            out.append([p])
+            used = len(p) + (1 if len(out) == 1 else 0)
+        else:
+            out[-1].append(p)
+            used += len(p) + 1
+    return [" ".join(g) for g in out]
+
+
 def paragraph_chunks(text: str, size: int = CHUNK_SIZE) -> list[str]:
-    """Paragraphs packed up to size; a longer paragraph falls back to its sentences, packed likewise."""
+    """Paragraphs packed up to size; a longer paragraph falls back to its sentences, each with those that go on with it,
+    packed likewise."""
     text = text.strip()
     if len(text) <= size:
         return [text] if text else []
     out: list[str] = []
-    open_ = ""
+    short: list[str] = []
     for para in (p.strip() for p in re.split(r"\n\s*\n", text)):
-        if not para:
+        if len(para) <= size:
+            short += [para] if para else []
             continue
-        if len(para) > size:
-            if open_:
-                out.append(open_)
-                open_ = ""
-            packed = ""
-            for s in (x.strip() for x in re.split(r"(?<=[.!?])\s+", para)):
-                if packed and len(packed) + len(s) > size:
-                    out.append(packed)
-                    packed = s
-                else:
-                    packed = f"{packed} {s}".strip()
-            if packed:
-                out.append(packed)
-        elif open_ and len(open_) + 2 + len(para) > size:
-            out.append(open_)
-            open_ = para
-        else:
-            open_ = f"{open_}\n\n{para}" if open_ else para
-    if open_:
-        out.append(open_)
-    return out
+        out += _packed(short, size, "\n\n")
+        short = []
+        groups: list[str] = []
+        for s in (x.strip() for x in re.split(r"(?<=[.!?])\s+", para)):
+            if s and groups and _goes_on(s):
+                groups[-1] += " " + s
+            elif s:
+                groups.append(s)
+        out += _packed_sentences(groups, size)
+    return out + _packed(short, size, "\n\n")
 
 
 def document_paragraphs(documents: DataFrame, key: str = "doc_id", text: str = "text", size: int = CHUNK_SIZE) -> DataFrame:

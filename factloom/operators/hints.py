@@ -8,12 +8,21 @@ import json
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from factloom.functions.text import is_yes_no, let, normalize_text, split_sentences
+from factloom.functions.text import canonical_symbol, extract_concepts, is_yes_no, let, normalize_text, split_sentences
 from factloom.operators import atoms
 
 # Question words and words of conditional texts.
 QUESTION_WORDS = ("who", "what", "when", "where", "why", "how", "which")
-CONDITIONAL_WORDS = (" indicate ", " indicates ", " imply ", " implies ", " suggest ", " suggests ", " if ", " when ")
+CONDITIONAL_WORDS = (" indicate ", " indicates ", " implies ", " suggest ", " suggests ", " if ", " when ")
+
+EXISTENTIAL_WORDS = ("any", "anything", "someone", "somebody", "something")
+#: What a translator is told of the form of statements.
+POLICY = (
+    "; structural heads stay as they are: Implication, Premises, Conclusions, STV, And, Not",
+    "; IsA is the predicate of class membership",
+    "; entities and classes in lower snake case, nouns and verbs in their base form",
+    "; heads and symbols of the context are used again",
+)
 
 
 def proper_names(text: Column) -> Column:
@@ -34,30 +43,50 @@ def vocabulary_hint(statements: Column, limit: int = 24) -> Column:
     return F.when(F.size(heads) > 0, F.concat(F.lit("; known predicates: "), F.array_join(heads, ", ")))
 
 
-def question_hints(question: Column, context: Column) -> Column:
-    """Hint lines for a question: its intent and the context's predicates."""
+def question_hints(question: Column, context: Column, full: bool = False) -> Column:
+    """Hint lines for a question: its intent, wording and the context's first five predicates, and with full those on
+    existential and negated wording."""
     words = F.split(normalize_text(question), " ")
-    intent = F.when(is_yes_no(question), "; intent: yes-no question").when(F.arrays_overlap(words, F.array(*map(F.lit, QUESTION_WORDS))), "; intent: open question")
-    return F.filter(F.array(intent, vocabulary_hint(context, 12)), lambda x: x.isNotNull())
+    has = lambda *w: F.arrays_overlap(words, F.array(*map(F.lit, w)))
+    heads = F.slice(atoms.context_predicates(context), 1, 5)
+    lines = [F.when(is_yes_no(question), "; intent: yes-no question, prefer a goal that can be proved directly").when(has(*QUESTION_WORDS), "; intent: open question, prefer a goal with a variable")]
+    if full:
+        lines.append(F.when(has(*EXISTENTIAL_WORDS), "; existential wording: a helper predicate is allowed where no direct goal can be derived"))
+        lines.append(F.when(has("not", "never"), "; negation only where facts or rules state it"))
+    lines.append(F.when(F.size(heads) > 0, F.concat(F.lit("; predicates to use first: "), F.array_join(heads, ", "))))
+    lines.append(F.when(question.endswith("?"), "; keep what the question asks and a goal that can be run"))
+    return F.when(normalize_text(question) == "", F.array().cast("array<string>")).otherwise(F.filter(F.array(*lines), lambda x: x.isNotNull()))
+
+
+def batch_hints(text: Column, context: Column) -> Column:
+    """Hint lines for a batch of texts: the fixed policy, at most 12 concepts of the text and 8 predicates of the context."""
+    concepts, heads = extract_concepts(text, 12), F.slice(atoms.context_predicates(context), 1, 8)
+    fixed = [F.lit(line) for line in POLICY]
+    some = [
+        F.when(F.size(concepts) > 0, F.concat(F.lit("; concepts: "), F.array_join(concepts, ", "))),
+        F.when(F.size(heads) > 0, F.concat(F.lit("; preferred predicates: "), F.array_join(heads, ", "))),
+    ]
+    return F.filter(F.array(*fixed, *some), lambda x: x.isNotNull())
 
 
 def grounded_premises(text: Column, statement: Column) -> Column:
     """Facts from the flat premises of a rule whose variables are all named by words of the text, each variable bound to
-    its name. Conditional texts state no facts and give none; NULL for statements that are no rules."""
-    low = F.lower(text)
+    its name; premises without a variable hold as they are. Conditional texts state no facts and give none; NULL for
+    statements that are no rules."""
+    low = normalize_text(text)
     conditional = F.lit(False)
     for w in CONDITIONAL_WORDS:
         conditional = conditional | F.contains(low, F.lit(w))
-    words = F.split(normalize_text(text), " ")
+    words = F.split(low, " ")
 
     def one(premise: Column) -> Column:
         sig = atoms.parse_flat(premise)
-        bound = F.transform(sig["args"], lambda a: F.regexp_replace(a, r"^[$?]", ""))
-        ok = F.forall(sig["args"], lambda a: ~a.rlike(r"^[$?]") | F.array_contains(words, F.regexp_replace(a, r"^[$?]", "")))
-        fact = F.concat(F.lit("(: materialized_"), F.lower(sig["head"]), F.lit("_fact ("), F.concat_ws(" ", sig["head"], bound), F.lit(") (STV 1.0 1.0))"))
-        return F.when(sig.isNotNull() & ok & (F.size(sig["variables"]) > 0), fact)
+        bound = F.transform(sig["args"], lambda a: canonical_symbol(F.regexp_replace(a, r"^[$?]", "")))
+        named = F.forall(F.filter(sig["args"], lambda a: a.rlike(r"^[$?]")), lambda a: F.array_contains(words, canonical_symbol(F.regexp_replace(a, r"^[$?]", ""))))
+        fact = F.concat(F.lit("(: materialized_"), canonical_symbol(sig["head"]), F.lit("_fact ("), F.concat_ws(" ", sig["head"], bound), F.lit(") (STV 1.0 1.0))"))
+        return F.when(sig.isNotNull() & named & (sig["arity"] > 0), fact)
 
-    facts = F.filter(F.transform(atoms.premise_atoms(statement), one), lambda x: x.isNotNull())
+    facts = F.array_distinct(F.filter(F.transform(atoms.premise_atoms(statement), one), lambda x: x.isNotNull()))
     return F.when(F.contains(statement, F.lit("Implication")), F.when(conditional, F.array().cast("array<string>")).otherwise(facts))
 
 

@@ -2,6 +2,7 @@ import inspect
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from factloom.operators import reasoner as R
 
@@ -68,6 +69,71 @@ def test_fixpoint_never_stops_short(spark):
     assert inspect.signature(R.fixpoint).parameters["max_rounds"].default is None
 
 
+def test_better_derivations_replace_worse_ones(spark):
+    rows = [("R", ("a", "b"), 0.5), ("R", ("b", "c"), 0.5), ("R", ("a", "x"), 0.95), ("R", ("x", "y"), 0.95), ("R", ("y", "c"), 0.95), ("R", ("c", "a"), 0.9)]
+    rule = R.parse_rule("(: t (Implication (Premises (R $x $y) (R $y $z)) (Conclusions (R $x $z))) (STV 1.0 1.0))")
+    got = {tuple(r.args): round(r.c, 6) for r in R.fixpoint(facts(spark, rows), rule).collect()}
+    want = {}
+    for k in range(6):  # the best product over all paths
+        for (a, b), c in [*want.items(), *((a, c) for _, a, c in rows)]:
+            for _, (d, e), f in rows:
+                want[a, b] = max(want.get((a, b), 0), c)
+                if b == d:
+                    want[a, e] = max(want.get((a, e), 0), c * f)
+    assert got == {k: round(v, 6) for k, v in want.items()} and got["a", "c"] == 0.857375
+    assert R.fixpoint(facts(spark, rows), rule).count() == len(got)
+
+
+def test_premise_order_ground_premises_and_nested_alternatives(spark):
+    base = facts(spark, [("P", ("a",), 1.0), ("Q", ("b",), 1.0), ("R", ("a", "b"), 0.5), ("On", ("switch",), 0.8), ("S", ("a",), 1.0)])
+    run = lambda premises, head="T $x": closed(R.apply_rules(base, R.parse_rule(f"(: r (Implication (Premises {premises}) (Conclusions ({head}))) (STV 1 1))")))
+    assert run("(P $x) (Q $y) (R $x $y)", "T $x $y") == {("T", ("a", "b"))}
+    assert run("(P $x) (On switch)") == {("T", ("a",))} and run("(P $x) (On lamp)") == set()
+    assert run("(On switch)", "T done") == {("T", ("done",))}
+    assert run("(Or (And (P $x) (S $x)) (Q $x))") == {("T", ("a",)), ("T", ("b",))}
+    with pytest.raises(ValueError):
+        run("(P $x) (Q $y)", "T $x $y")
+    for bad in ("(: f (IsA a b) (STV 1 1))", "(: r (Implication (Premises (P (Q $x))) (Conclusions (T $x))) (STV 1 1))", "(: r (Implication (Premises) (Conclusions (T $x))) (STV 1 1))", "nothing", "(: r"):
+        with pytest.raises(ValueError):
+            R.parse_rule(bad)
+
+
+def test_distributions_in_rules(spark):
+    from factloom.operators import kb
+
+    stmts = [
+        "(: g (Group g1) (STV 1.0 1.0))", "(: h1 (HeightDist g1 alice) (PointMass 160.0))", "(: h2 (HeightDist g1 bob) (ParticleFromPairs ((170.0 1) (180.0 3))))",
+        "(: r (Rectangle box) (STV 1.0 0.9))", "(: l (LengthDist box) (PointMass 3.0))", "(: w (WidthDist box) (ParticleFromPairs ((2.0 1.0) (4.0 1.0))))",
+        "(: s1 (Sold ann 5) (STV 1 1))", "(: s2 (Sold ann 7) (STV 1 1))", "(: s3 (Sold bo 1) (STV 1 1))", "(: p1 (Seller ann) (STV 1 1))", "(: p2 (Seller bo) (STV 1 1))",
+    ]
+    parsed = kb.parse_statements(spark.createDataFrame([(x,) for x in stmts], "stmt string"))
+    base = parsed.select("head", "args", F.coalesce("tv.s", F.lit(1.0)).alias("s"), F.coalesce("tv.c", F.lit(1.0)).alias("c"), "dist")
+    rules = [
+        "(: avg (Implication (Premises (Group $g) (AverageDist (HeightDist $g $p) -> $d)) (Conclusions (AvgHeightDist $g))) (STV 1.0 1.0))",
+        "(: area (Implication (Premises (Rectangle $r) (Map2Dist * (LengthDist $r) (WidthDist $r) -> $a)) (Conclusions (AreaDist $r))) (STV 1.0 1.0))",
+        "(: big (Implication (Premises (Rectangle $r) (GreaterThan (AreaDist $r) 7)) (Conclusions (Big $r))) (STV 1.0 1.0))",
+        "(: fold (Implication (Premises (Seller $p) (FoldAll (Sold $p $n) $n 0 + -> $t) (Compute * ($t 2) -> $d)) (Conclusions (Doubled $p $d))) (STV 1.0 1.0))",
+        "(: next (Implication (Premises (Big $r)) (Conclusions (Noted $r))) (STV 1.0 1.0))",
+    ]
+    out = R.fixpoint(base, [r for x in rules for r in R.parse_rule(x)])
+    mean = lambda goal: out.where(F.col("head") == goal).select(F.aggregate("dist", F.lit(0.0), lambda a, p: a + p["x"] * p["w"]).alias("m")).first().m
+    assert abs(mean("AvgHeightDist") - (160 + 177.5) / 2) < 1e-9 and abs(mean("AreaDist") - 9.0) < 1e-9
+    big = R.answers(out, "(: $prf (Big $r) $tv)").first()
+    assert (big["$r"], big.s, round(big.c, 6)) == ("box", 0.5, 0.81)
+    assert {tuple(r.args) for r in out.where("head = 'Doubled'").collect()} == {("ann", "24.0"), ("bo", "2.0")}
+    assert R.answers(out, "(: $prf (Noted $r) $tv)").count() == 1
+
+
+def test_explicit_negation_of_stored_statements(spark):
+    from factloom.operators import kb
+
+    parsed = kb.parse_statements(spark.createDataFrame([("(: n (Not (Solvent ann)) (STV 1.0 0.8))",), ("(: d (IsA ann dealer) (STV 1 1))",)], "stmt string"))
+    base = parsed.select("head", "args", "tv.s", "tv.c")
+    out = R.fixpoint(base, R.parse_rule("(: r (Implication (Premises (IsA $p dealer) (Not (Solvent $p))) (Conclusions (Risky $p))) (STV 1.0 1.0))"))
+    assert [(r["$p"], r.c) for r in R.answers(out, "(: $prf (Not (Solvent $p)) $tv)").collect()] == [("ann", 0.8)]
+    assert [r["$p"] for r in R.answers(out, "(: $prf (Risky $p) $tv)").collect()] == ["ann"]
+
+
 def test_closure_of_the_triples(spark, tmp_path):
     from factloom.plans import catalog
 
