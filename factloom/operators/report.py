@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-WEAK = "The question was only weakly aligned with the knowledge base."
-NONE = "No proof was found."
+# Texts of answers.
+WEAK = "No proof was found. The question is only weakly aligned with the knowledge base: its goal may have another shape than the facts, or facts are missing."
+NONE = "I don't know: no proof was found for this question."
+UNTRANSLATED = "I could not translate the question into a goal."
 
 
 def markdown(summary: DataFrame, title: str = "Summary") -> str:
@@ -23,7 +25,23 @@ def text_table(summary: DataFrame) -> str:
 
 
 def answer(proof: str | None, status: str) -> str:
-    """Answer text of a query."""
-    if status == "weakly_aligned":
-        return WEAK
-    return f"Proved by {proof}" if proof and proof.strip() not in ("", "[]") else NONE
+    """Answer text of a proof."""
+    found = bool(proof and proof.strip() not in ("", "[]"))
+    return f"Proved by {proof}" if found else WEAK if status == "weakly_aligned" else NONE
+
+
+def answer_text(answers: list[dict], count: int, status: str, enabled: bool = True) -> str:
+    """Answer text of bindings: the variables of each, and how many more there are. Switched off it is empty, but for the
+    note on a weakly aligned question without a proof."""
+    if not count:
+        return WEAK if status == "weakly_aligned" else NONE if enabled else ""
+    if not enabled:
+        return ""
+    shown = ["; ".join([", ".join(f"{k[1:]} = {v}" for k, v in a.items() if k[:1] in "$?")]) for a in answers]
+    text = "; ".join(s or "yes" for s in shown)
+    return text + (f"; and {count - len(answers)} more" if count > len(answers) else "")
+
+
+def write_json(summary: DataFrame, path: str) -> None:
+    """A summary as one JSON file of rows, in the file system of the path."""
+    summary.coalesce(1).write.mode("overwrite").json(path)

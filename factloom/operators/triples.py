@@ -32,7 +32,7 @@ SENTENCES = {
 }
 
 LANGUAGE_PREFIX = "/c/en/"
-NORMALIZATION_VERSION = 2
+NORMALIZATION_VERSION = 1
 
 
 def predicate_of(relation: Column) -> Column:
@@ -139,6 +139,14 @@ def emit(triples: DataFrame) -> DataFrame:
     )
 
 
+def export(rows: DataFrame, min_weight: float = 2.0, coverage_percent: float = 100.0, seed: int = 42, seq: str = "seq") -> DataFrame:
+    """Atoms and records of raw triples: eligible, sampled, first of each triple, emitted."""
+    if seq not in rows.columns:
+        rows = rows.withColumn(seq, F.monotonically_increasing_id())
+    kept = hash_sample(eligible(rows, min_weight), coverage_percent, seed)
+    return emit(dedupe_first(kept.select("predicate", "source", "target", "weight", "relation", seq), seq))
+
+
 def relation_counts(triples: DataFrame) -> DataFrame:
     return triples.groupBy("predicate").agg(F.count(F.lit(1)).alias("n"))
 

@@ -122,7 +122,7 @@ def proof_atoms(proof: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(found, lambda a: ~F.contains(a, F.lit("STV")) & (F.length(a) >= 5))))
 
 
-def source_lookup(proofs: DataFrame, points: DataFrame, embed, least: float = 0.6, atoms_per_proof: int = 10) -> DataFrame:
+def source_lookup(proofs: DataFrame, points: DataFrame, embed, least: float = 0.6, atoms_per_proof: int = 30) -> DataFrame:
     """proofs(proof_id, proof): distinct nl of the point nearest to each of its atoms, where the score is over least.
 
     points(vec_id, embedding, nl). Atoms are embedded once each.

@@ -33,6 +33,115 @@ def test_external_translator(spark, tmp_path):
     assert e.query("?")["answers"][0]["$x"] == "x6"
 
 
+def test_planned_questions(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "kb"), source_atoms=5)
+    e.ingest(["The wheel is part of the car.", "A hammer is used for nails."])
+    got = e.query("Are wheels part of cars?")
+    assert (got["query_status"], got["executed_query"], got["answer"]) == ("well_aligned", "(: $prf (PartOf wheel car) $tv)", "yes")
+    assert got["candidate_count"] >= 1 and got["executed_candidate_index"] == 0 and not got["fallback_used"] and got["reasoning_seconds"] >= 0
+    lost = e.query("Is the moon part of the car?")
+    assert lost["answer_count"] == 0 and lost["answer"]
+    open_ = Engine(spark, str(tmp_path / "kb"), ExternalTranslator(lambda c: [[] for _ in c], lambda q: "(: $prf (PartOf $x car) $tv)"))
+    weak = open_.query("Is the wheel part of something?")
+    assert weak["query_status"] == "weakly_aligned" and weak["answers"][0]["$x"] == "wheel"
+    off = Engine(spark, str(tmp_path / "kb"), open_.translator, answers=False, fallback=False)
+    assert off.query("What is part of the car?")["answer"] == ""
+
+
+def test_background_and_bad_rules(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "kb"))
+    rows = [("/r/PartOf", "/c/en/tooth", "/c/en/gear", '{"weight": 3.0}'), ("/r/IsA", "/c/en/gear", "/c/en/part", '{"weight": 2.5}'), ("/r/IsA", "/c/en/x", "/c/en/y", '{"weight": 0.5}')]
+    raw = spark.createDataFrame(rows, "relation string, start_uri string, end_uri string, metadata_json string")
+    progress = e.load_triples(raw)
+    assert progress["loaded"] and progress["indexed_count"] == progress["expected_count"] == 2
+    assert e.load_triples(raw)["loaded"] is False and e.sizes() == {"statements": 0, "background": 2, "vectors": 2, "by_source": {"conceptnet": 2}}
+    assert e.goal("(: $prf (PartOf tooth gear) $tv)").count() == 1 and e.goal("(: $prf (PartOf Tooth Gears) $tv)").count() == 1
+    bad = "(: b (Implication (Premises (P (Q $x))) (Conclusions (R $x))) (STV 1 1))"
+    good = "(: g (Implication (Premises (PartOf $a $b) (IsA $b part)) (Conclusions (Small $a))) (STV 1.0 0.9))"
+    cross = "(: c (Implication (Premises (PartOf $a $b) (IsA $c part)) (Conclusions (Small $c))) (STV 1.0 0.9))"
+    e.add(spark.createDataFrame([(bad,), (good,), (cross,), ("(: n (Not (Small gear)) (STV 1.0 0.7))",)], "stmt string"))
+    assert [r["$a"] for r in e.goal("(: $prf (Small $a) $tv)").collect()] == ["tooth"] and len(e.skipped_rules) == 2
+    assert [r["$a"] for r in e.goal("(: $prf (Not (Small $a)) $tv)").collect()] == ["gear"]
+    assert e.prove("no goal")[1] == 0 and e.health()["status"] == "degraded"
+    e.reset(keep_background=True)
+    assert e.sizes()["statements"] == 0 and e.sizes()["background"] == 2 and e.sizes()["vectors"] == 2 and e.health()["status"] == "ok"
+    e.delete_by_source("conceptnet")
+    assert e.sizes()["vectors"] == 0
+
+
+def test_translators(spark, tmp_path):
+    from factloom.engine import HybridTranslator, compare
+    from factloom.translators import CanonicalTranslator, ExtractionTranslator, MergingTranslator, RememberingTranslator, translator
+
+    def extract(chunks):
+        return [[{"cls": "fact", "attributes": {"predicate": "likes", "subject": "Rex", "object": "bones"}, "alignment": "MATCH_EXACT"}, {"cls": "rule", "attributes": {"head_predicate": "happy", "head_args": "$x", "body": "(and (likes $x bones) (not (sad $x)))"}}] if "likes" in c else [] for c in chunks]
+
+    first = ExtractionTranslator(extract)
+    second = ExternalTranslator(lambda chunks: [[f"(: n (Words w{len(c.split())}) (STV 1 1))"] for c in chunks], lambda q: "(: $prf (Words $n) $tv)")
+    chunks = spark.createDataFrame([(1, 0, "I know Rex likes bones. Ann and Rex eat."), (1, 1, "No match here.")], "doc_id long, chunk_no int, chunk string")
+    got = {(r.chunk_no, r.stmt) for r in HybridTranslator(first, second).statements(chunks).collect()}
+    assert got == {
+        (0, "(: rex_bone_likes_fact (Likes rex bone) (STV 1.0 1.0))"),
+        (0, "(: x_happy_rule (Implication (Premises (Likes $x bone) (Not (Sad $x))) (Conclusions (Happy $x))) (STV 1.0 1.0))"),
+        (1, "(: n (Words w3) (STV 1 1))"),
+    }
+    assert first.goals("Who likes it?") == ["(: $prf (Likes rex bone) $tv)"]
+    assert HybridTranslator(first, second, "second").goals("likes")[0].startswith("(: $prf (Words")
+    only = HybridTranslator(first, second, "second_only")
+    assert only.goals("likes") == second.goals("likes") and only.retry("likes", "") == first.goals("likes")
+    e = Engine(spark, str(tmp_path / "kb"), only)
+    e.add(spark.createDataFrame([("(: f (Likes rex bone) (STV 1 1))",)], "stmt string"))
+    asked = e.query("Who likes bones?")
+    assert asked["retry_used"] and asked["answer_count"] == 1 and asked["candidate_count"] == 2
+    raw = ExternalTranslator(lambda chunks: [["(: s1 (isa Dogs Animals) (STV 1 1))", "(: s1  (isa Dogs Animals) (STV 1 1))", "(: bad (P $x) (STV 1 1))"] for _ in chunks], lambda q: "(: $prf (is_a dogs $x) $tv)")
+    canonical = CanonicalTranslator(raw)
+    assert {r.stmt for r in canonical.statements(chunks).collect()} == {"(: s1 (IsA dog animal) (STV 1 1))"}
+    assert canonical.goals("What are dogs?") == ["(: $prf (IsA dog $x) $tv)"]
+    assert MergingTranslator(second, second).statements(chunks).count() == 2
+    kept = RememberingTranslator(second)
+    kept.statements(chunks)
+    assert list(kept.heads) == ["Words"]
+    case = {"name": "one", "texts": ["Rex is a dog."], "question": "Is Rex part of a dog?", "expected_proof": False}
+    rows = compare(spark, [case, case | {"name": "two", "texts": ["The tail is part of a dog."], "question": "Is the tail part of a dog?", "expected_proof": True}], {"pattern": Engine(spark, str(tmp_path / "c"))})
+    assert [(r.name, r.proof_found, r.expected) for r in rows.orderBy("name").collect()] == [("one", False, False), ("two", True, True)]
+    import pytest
+
+    with pytest.raises(ValueError):
+        translator("nobody")
+
+
+def test_many_questions_and_item_counters(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "kb"))
+    texts = spark.createDataFrame([(1, "A hammer is used for nails. A saw is used for wood."), (2, "Nothing to say"), (3, "The tooth is part of a gear.")], "doc_id long, text string")
+    rows = {r.doc_id: r for r in e.ingest_items(texts).collect()}
+    assert (rows[1].n_atoms, rows[1].status, rows[2].status, rows[3].chunk_count) == (2, "success", "failed", 1)
+    asked = [(1, "Is a tooth part of a gear?", "(: $prf (PartOf tooth gear) $tv)"), (2, "Is a saw used for something?", "(: $prf (UsedFor saw $x) $tv)"), (3, "Is a cat with a tooth part of a gear?", "(: $prf (PartOf cat gear) $tv)")]
+    got = {r.question: r for r in e.query_many(spark.createDataFrame(asked, "goal_id long, question string, goal string")).collect()}
+    assert got[asked[0][1]].status == "well_aligned" and got[asked[0][1]].executed == asked[0][2]
+    assert got[asked[1][1]].executed == "(: $prf (UsedFor saw wood) $tv)" and got[asked[1][1]].status == "weakly_aligned"
+    assert got[asked[2][1]].executed == "(: $prf (PartOf tooth gear) $tv)" and got[asked[2][1]].fallback_used
+
+
+def test_result_artifacts(spark, tmp_path):
+    from factloom.operators import metrics
+
+    q = lambda a, b: {"query": {"original_query": a, "executed_query": b, "query_status": "well_aligned", "fallback_used": a != b, "reasoning_seconds": 1.5}}
+    g = "(: $prf ({} a b) $tv)"
+    data = {"results": {"x": [
+        {"case": {"name": "1"}, "timing": {"ingest_seconds": 1.0, "query_seconds": 2.0}, "end_to_end": q(g.format("P"), g.format("P")), "proof_found": True},
+        {"case": {"name": "2"}, "timing": {"query_seconds": 4.0}, "end_to_end": q(g.format("P"), "(: $prf (Not (Q a)) $tv)"), "proof_found": True},
+        {"case": {"name": "3"}, "error": "x"},
+    ]}}
+    (tmp_path / "r.json").write_text(json.dumps(data))
+    rows = files.results(spark, str(tmp_path / "r.json"))
+    row = metrics.analysis_summary(rows).first()
+    assert (row.parser, row.cases, row.proofs, row.proxy_rate, row.unparsed_heads, row.median_ingest_plus_query, row.median_reasoning_seconds) == ("x", 3, 2, 0.5, 0, 3.0, 1.5)
+    big = tmp_path / "s.tsv"
+    big.write_text("".join(f"u\t/r/IsA\t/c/en/a{i}\t/c/en/b\t{{}}\n" for i in range(5)))
+    some, scanned = files.scanned_triples(spark, str(big), 3)
+    assert (some.count(), scanned) == (3, 4) and files.scanned_triples(spark, str(big), 5)[1] == 5
+
+
 def test_sources(spark, tmp_path):
     p = tmp_path / "t.tsv.gz"
     p.write_bytes(gzip.compress(b"u\t/r/IsA\t/c/en/a\t/c/en/b\t{}\nshort\tline\nu\t/r/IsA\t/c/en/c\t/c/en/d\t{}\textra\n"))
