@@ -53,9 +53,9 @@ CHUNK_TOKENS = 3
 COVERAGE = 0.05
 #: Most tokens that are ordered by frequency, the most frequent ones; the order decides about speed only.
 ORDERED_TOKENS = 50_000
-#: Most rows of identifiers, and of keys, that are broadcast: some 5 MB each.
+#: Most rows of identifiers, and of keys, that are broadcast: some 5 and some 25 MB.
 BROADCAST_ROWS = 200_000
-BROADCAST_KEYS = 100_000
+BROADCAST_KEYS = 400_000
 #: Folders of the key table by the key's hash.
 BUCKETS = 16
 FIRST_SLICE = 15_000
