@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from factloom.functions import dist, text
 from factloom.operators import atoms, chunk, extract, hints, kb, metrics, planner, reasoner, triples, vectors
 from factloom.plans import relational
-from factloom.plans.sqltext import CONCEPTS, FLAT, REASON, SCORE, SENTENCES, STATEMENTS, TRIPLES, UNITS, YES_NO, canon, normal, normal_particles, plural, singular
+from factloom.plans.sqltext import BATCHES, CHUNKS, CONCEPTS, EXTRACTIONS, FLAT, PARAGRAPHS, REASON, SCORE, SENTENCES, STATEMENTS, TRIPLES, UNITS, YES_NO, canon, normal, normal_particles, plural, singular
 from factloom.session import table
 from factloom.streaming import ingest
 
@@ -77,17 +77,17 @@ def sentence_units(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.posexplode(chunk.sentence_units(F.col("text"))).alias("unit_no", "unit"))
 
 
-@query()
+@query(CHUNKS)
 def document_chunks(spark, sf):
     return chunk.document_chunks(table(spark, sf, "documents"))
 
 
-@query()
+@query(PARAGRAPHS)
 def paragraph_chunks(spark, sf):
     return chunk.document_paragraphs(table(spark, sf, "documents"))
 
 
-@query()
+@query(BATCHES)
 def chunk_batches(spark, sf):
     units = chunk.sentence_units(F.col("text"))
     return table(spark, sf, "documents").select("doc_id", F.posexplode(chunk.batches(units)).alias("batch_no", "batch"))
@@ -105,8 +105,8 @@ def yes_no_questions(spark, sf):
 
 @query(r"""
 select p_partkey, lower(regexp_replace(regexp_replace(regexp_replace(trim(p_name), '([a-z0-9])([A-Z])', '\1_\2', 'g'), '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) as snake,
-  replace(lower(trim(p_name)), ' ', '_') as slug,
-  array_to_string([upper(x[1]) || x[2:] for x in string_split_regex(p_name, '[^A-Za-z0-9]+') if x <> ''], '') as pascal
+  replace(replace(lower(p_name), ' ', '_'), '-', '_') as slug,
+  array_to_string([upper(x[1]) || lower(x[2:]) for x in string_split_regex(p_name, '[^A-Za-z0-9]+') if x <> ''], '') as pascal
 from part
 """)
 def symbol_styles(spark, sf):
@@ -201,15 +201,19 @@ def overliteral_gate(spark, sf):
 
 @query(f"""
 with i as (select item_id, text, trim(regexp_replace(raw, '\\s+', ' ', 'g')) as stmt from (select item_id, text, unnest(atoms) as raw from ingest_item_results)),
-r as (select item_id, text, {normal('text')} as words, unnest(regexp_extract_all(regexp_extract(stmt, '\\(Premises\\s+((?:\\([^()]+\\)\\s*)+)\\)', 1), '\\([^()]+\\)')) as p from i where contains(stmt, 'Implication')
-  and not (contains(lower(text), ' indicate ') or contains(lower(text), ' indicates ') or contains(lower(text), ' imply ') or contains(lower(text), ' implies ') or contains(lower(text), ' suggest ') or contains(lower(text), ' suggests ') or contains(lower(text), ' if ') or contains(lower(text), ' when '))),
-v as (select *, regexp_extract_all(p, '[$?]([^()\\s]+)', 1) as vs from r where regexp_matches(p, '^{FLAT}$'))
-select item_id, '(: materialized_' || lower(regexp_extract(p, '^{FLAT}$', 1)) || '_fact ' || regexp_replace(regexp_replace(p, '[$?]', '', 'g'), '\\s+', ' ', 'g') || ' (STV 1.0 1.0))' as fact
-from v where len(vs) > 0 and len(list_filter(vs, lambda x: not list_contains(string_split(words, ' '), x))) = 0
+n as (select item_id, {normal('text')} as words, stmt from i where contains(stmt, 'Implication')),
+r as (select item_id, words, stmt, unnest(regexp_extract_all(regexp_extract(stmt, '\\(Premises\\s+((?:\\([^()]+\\)\\s*)+)\\)', 1), '\\([^()]+\\)')) as p from n
+  where not (contains(words, ' indicate ') or contains(words, ' indicates ') or contains(words, ' implies ') or contains(words, ' suggest ') or contains(words, ' suggests ') or contains(words, ' if ') or contains(words, ' when '))),
+v as (select *, regexp_extract(p, '^{FLAT}$', 1) as head, list_filter(string_split_regex(trim(regexp_extract(p, '^{FLAT}$', 2)), '\\s+'), lambda x: x <> '') as args from r where regexp_matches(p, '^{FLAT}$')),
+c as (select *, [{canon("regexp_replace(x, '^[$?]', '')")} for x in args] as bound, [{canon("regexp_replace(x, '^[$?]', '')")} for x in args if regexp_matches(x, '^[$?]')] as vs from v)
+select item_id, fact, count(*) as n from (
+  select distinct item_id, stmt, '(: materialized_' || {canon('head')} || '_fact (' || head || ' ' || array_to_string(bound, ' ') || ') (STV 1.0 1.0))' as fact
+  from c where len(args) > 0 and len(list_filter(vs, lambda x: not list_contains(string_split(words, ' '), x))) = 0) group by 1, 2
 """)
 def grounded_premises(spark, sf):
-    items = table(spark, sf, "ingest_item_results").select("item_id", "text", F.explode("atoms").alias("stmt"))
-    return items.select("item_id", F.explode(hints.grounded_premises(F.col("text"), atoms.collapse_space(F.col("stmt")))).alias("fact"))
+    items = table(spark, sf, "ingest_item_results").select("item_id", "text", F.explode("atoms").alias("raw")).select("item_id", "text", atoms.collapse_space(F.col("raw")).alias("stmt")).distinct()
+    facts = items.select("item_id", F.explode(hints.grounded_premises(F.col("text"), F.col("stmt"))).alias("fact"))
+    return facts.groupBy("item_id", "fact").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""
@@ -362,16 +366,38 @@ def rule_transitive_closure_triples(spark, sf):
     return reached.select(F.regexp_replace("head", "Reaches$", "").alias("predicate"), F.get("args", F.lit(0)).alias("a"), F.get("args", F.lit(1)).alias("b"))
 
 
-@query("select 'customer_' || c_custkey as who from customer where c_custkey not in (select o_custkey from orders)")
+@query("select 'part_' || p_partkey as who from part where p_partkey not in (select l_partkey from lineitem where l_quantity > 49)")
 def negation_as_failure(spark, sf):
-    facts = relational.classes(spark, sf).unionByName(relational.orders_by(spark, sf))
-    rule = reasoner.Rule("idle", (reasoner.Atom("IsA", ("$p", "$k")), reasoner.Atom("Ordered", ("$p", "something"), True)), (reasoner.Atom("Idle", ("$p",)),))
-    return reasoner.apply_rules(facts, [rule], closed_world=True).select(F.get("args", F.lit(0)).alias("who"))
+    """Parts that no order line asks for in the largest quantity."""
+    facts = relational.fact(table(spark, sf, "part"), "IsA", relational.named("part", "p_partkey"), F.lit("part"))
+    bulk = table(spark, sf, "lineitem").where("l_quantity > 49").select("l_partkey").distinct()
+    facts = facts.unionByName(relational.fact(bulk, "Bulk", relational.named("part", "l_partkey"), F.lit("order")))
+    rule = "(: small (Implication (Premises (IsA $p part) (Not (Bulk $p order))) (Conclusions (Small $p))) (STV 1.0 1.0))"
+    return reasoner.apply_rules(facts, reasoner.parse_rule(rule), closed_world=True).select(F.get("args", F.lit(0)).alias("who"))
+
+
+@query("""
+with recursive e as (select s_suppkey % 11 as a, s_nationkey as b, max(0.4 + (s_suppkey % 3) / 10.0) as c from supplier group by 1, 2),
+g as (select 'a' || a as x, 'b' || b as y, c from e union all select 'b' || b, 'a' || ((b * 3) % 11), 0.5 from (select distinct b from e)),
+p as (select x, y, c, 1 as n from g union all select x, y, max(c), n from (select p.x, g.y, p.c * g.c as c, n + 1 as n from p join g on p.y = g.x where n < 8 and p.c * g.c > 0.04) group by x, y, n)
+select x, y, round(max(c), 6) as confidence from p group by 1, 2 having max(c) > 0.05
+""")
+def rule_mixed_confidence(spark, sf):
+    """The most confident derivation of each pair that a chain of links of mixed confidence reaches, with cycles."""
+    s = table(spark, sf, "supplier")
+    link = s.select((F.col("s_suppkey") % 11).alias("a"), F.col("s_nationkey").alias("b"), (0.4 + (F.col("s_suppkey") % 3) / 10.0).alias("c")).groupBy("a", "b").agg(F.max("c").alias("c"))
+    name = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    back = link.select("b").distinct().select(F.array(name("b", F.col("b")), name("a", F.col("b") * 3 % 11)).alias("args"), F.lit(0.5).alias("c"))
+    facts = link.select(F.array(name("a", F.col("a")), name("b", F.col("b"))).alias("args"), "c").unionByName(back).select(F.lit("Link").alias("head"), "args", F.lit(1.0).alias("s"), "c")
+    rule = "(: t (Implication (Premises (Link $x $y) (Link $y $z)) (Conclusions (Link $x $z))) (STV 1.0 1.0))"
+    out = reasoner.fixpoint(facts, reasoner.parse_rule(rule)).where("c > 0.05")
+    return out.select(F.get("args", F.lit(0)).alias("x"), F.get("args", F.lit(1)).alias("y"), F.round("c", 6).alias("confidence"))
 
 
 @query("select 'customer_' || c_custkey as who from customer where c_acctbal < 0 and c_custkey in (select o_custkey from orders)")
 def negation_explicit(spark, sf):
-    poor = table(spark, sf, "customer").where("c_acctbal < 0").select(F.lit("Not:Solvent").alias("head"), F.array(relational.named("customer", "c_custkey")).alias("args"), F.lit(1.0).alias("s"), F.lit(1.0).alias("c"))
+    stmt = F.concat(F.lit("(: poor (Not (Solvent "), relational.named("customer", "c_custkey"), F.lit(")) (STV 1.0 1.0))"))
+    poor = kb.parse_statements(table(spark, sf, "customer").where("c_acctbal < 0").select(stmt.alias("stmt"))).select("head", "args", "tv.s", "tv.c")
     rule = "(: risky (Implication (Premises (Ordered $p something) (Not (Solvent $p))) (Conclusions (Risky $p))) (STV 1.0 1.0))"
     return reasoner.apply_rules(poor.unionByName(relational.orders_by(spark, sf)), reasoner.parse_rule(rule)).select(F.get("args", F.lit(0)).alias("who"))
 
@@ -418,16 +444,23 @@ def query_plan_rank(spark, sf):
     return planner.rank_goals(planner.score_goals(_nation_goals(spark, sf), _nation_signatures(spark, sf)))
 
 
-@query("select n_nationkey * 10 as goal_id, '(: $prf (PartOf nation_' || n_nationkey || ' region_' || n_regionkey || ') $tv)' as candidate, 3 + 5 as score from nation")
+@query("select n_nationkey * 10 as goal_id, '(: $prf (PartOf nation_' || n_nationkey || ' region_' || n_regionkey || ') $tv)' as candidate, 3 as score from nation")
 def grounded_fallback(spark, sf):
     return planner.grounded_fallback(_nation_goals(spark, sf), _nation_signatures(spark, sf))
 
 
-@query("""
-select n_nationkey * 10 + k as goal_id, '(: $prf (PartOf nation_' || m || ' region_' || n_regionkey2 || ') $tv)' as candidate,
-  case when n_nationkey = m then 4 else 1 end + case when r = 'region_' || n_regionkey2 then 4 else 1 end as score
-from nation, (values (1, 'region_0'), (2, 'region_3')) v(k, r), (select n_nationkey as m, n_regionkey as n_regionkey2 from nation) o
-""")
+#: Alignment per argument, written from the rule: equal 4, equal in canonical form 3, all parts of the goal's among the
+#: signature's 2, a part of the signature's in the question 1.
+_ALIGNED = f"""
+with g as (select n_nationkey * 10 + k as goal_id, ['nation_' || n_nationkey, r] as q, string_split('is nation ' || n_nationkey || ' part of a region', ' ') as w from nation, (values (1, 'region_0'), (2, 'region_3')) v(k, r)),
+s as (select ['nation_' || n_nationkey, 'region_' || n_regionkey] as a from nation),
+p as (select goal_id, a, [case when q[i] = a[i] then 4 when {canon('q[i]')} = {canon('a[i]')} then 3
+  when len(list_filter(string_split(q[i], '_'), lambda x: not list_contains(string_split(a[i], '_'), x))) = 0 then 2
+  when list_has_any(string_split(a[i], '_'), w) then 1 end for i in [1, 2]] as points from g, s)
+"""
+
+
+@query(_ALIGNED + "select goal_id, '(: $prf (PartOf ' || a[1] || ' ' || a[2] || ') $tv)' as candidate, points[1] + points[2] as score from p where points[1] is not null and points[2] is not null")
 def aligned_fallback(spark, sf):
     return planner.aligned_fallback(_nation_goals(spark, sf), _nation_signatures(spark, sf))
 
@@ -443,21 +476,80 @@ def candidate_execution(spark, sf):
     return planner.first_proved(ranked, proofs).where("executed is not null").select("question", "executed", "fallback_used")
 
 
-@query()
+@query(_ALIGNED + f""", own as (select question, 0 as stage, score, goal_id as seq, goal from ({_NATION_SCORES})),
+aligned as (select 'Is nation_' || goal_id // 10 || ' part of a region?' as question, 1 as stage, points[1] + points[2] as score, goal_id as seq, '(: $prf (PartOf ' || a[1] || ' ' || a[2] || ') $tv)' as goal from p where points[1] is not null and points[2] is not null),
+grounded as (select 'Is nation_' || n_nationkey || ' part of a region?' as question, 2 as stage, 3 as score, n_nationkey * 10 as seq, '(: $prf (PartOf nation_' || n_nationkey || ' region_' || n_regionkey || ') $tv)' as goal from nation),
+pattern as (select 'Is nation_' || n_nationkey || ' part of a region?' as question, 3 as stage, 0 as score, 0 as seq, '(: $prf (PartOf nation_' || n_nationkey || ' region) $tv)' as goal from nation),
+every as (select * from own union all select * from aligned union all select * from grounded union all select * from pattern),
+b as (select question, goal, min({{'stage': stage, 'minus': -score, 'seq': seq}}) as b from every group by 1, 2)
+select question, goal, b.stage as stage, row_number() over (partition by question order by b.stage, b.minus, b.seq, goal) as rank from b
+""")
 def canonical_plan(spark, sf):
     return planner.plan(_nation_goals(spark, sf), _nation_signatures(spark, sf))
 
 
+_ARGS = "list_filter(string_split_regex(trim(regexp_extract({0}, '^" + FLAT + "$', 2)), '\\s+'), lambda x: x <> '')"
+
+
+@query(f"""
+with {STATEMENTS}, gs as (
+  select item_id * 1000 + pos as goal_id, regexp_extract(trim(regexp_replace(raw, '\\s+', ' ', 'g')), '^\\(:\\s+[^\\s()]+\\s+(\\([^()]+\\))\\s+\\(', 1) as body
+  from (select item_id, unnest(atoms) as raw, unnest(range(len(atoms))) as pos from ingest_item_results)
+), g as (
+  select distinct goal_id, regexp_extract(body, '^{FLAT}$', 1) as head, {_ARGS.format('body')} as args from gs where regexp_matches(body, '^{FLAT}$') and not regexp_matches(body, '[$?][A-Za-z0-9_]')
+), f as (
+  select 'fact' as kind, unnest(regexp_extract_all(stmt, '\\(:\\s+[^\\s()]+\\s+(\\([^()]+\\))\\s+\\((?:STV|PointMass|ParticleFromNormal|ParticleFromPairs)', 1)) as a from tidy
+  union all
+  select 'conclusion', unnest(flatten([regexp_extract_all(b, '\\([^()]+\\)') for b in regexp_extract_all(stmt, '\\(Conclusions\\s+((?:\\([^()]+\\)\\s*)+)\\)', 1)])) from tidy
+), sg as (
+  select distinct kind, regexp_extract(a, '^{FLAT}$', 1) as head, {_ARGS.format('a')} as args from f where regexp_matches(a, '^{FLAT}$') and not starts_with(a, '(Implication')
+), shapes as (select head, len(args) as arity, bool_or(kind = 'fact') as fact, bool_or(kind = 'conclusion') as conclusion from sg group by 1, 2),
+exact as (select distinct head, args from sg where kind = 'fact')
+select goal_id, case when fact then 6 else 0 end + case when conclusion then 4 else 0 end + 3 + case when e.head is not null then 2 else 0 end as score
+from g left join shapes on g.head = shapes.head and len(g.args) = arity left join exact e on g.head = e.head and g.args = e.args
+""")
+def item_goal_scores(spark, sf):
+    """The ground goals of all items, asked as yes-no questions, scored against all stored facts and conclusions."""
+    goals, _ = _goals_and_facts(spark, sf)
+    asked = goals.select("goal_id", F.lit("Is it so?").alias("question"), "goal").where(F.size(atoms.goal_variables(F.col("goal"))) == 0).distinct()
+    s = _statements(spark, sf)
+    each = s.select(F.lit("fact").alias("kind"), F.explode(atoms.fact_atoms(F.col("stmt"))).alias("a")).unionByName(s.select(F.lit("conclusion").alias("kind"), F.explode(atoms.conclusion_atoms(F.col("stmt"))).alias("a")))
+    signatures = each.withColumn("sig", atoms.parse_flat(F.col("a"))).where("sig is not null").select("kind", "sig.head", "sig.args")
+    return planner.score_goals(asked, signatures).select("goal_id", "score")
+
+
 @query("select n_nationkey * 10 + k as goal_id, case when k = 0 then 'weakly_aligned' else 'well_aligned' end as status from nation, (values (0), (1), (2)) v(k)")
 def query_status(spark, sf):
     return _nation_goals(spark, sf).select("goal_id", atoms.query_status(F.col("goal"), F.col("question"), F.lit(False)).alias("status"))
 
 
-@query()
+def _phrase(x: str) -> str:
+    return f"array_to_string([{canon('t')} for t in string_split({x}, ' ') if t not in ('', 'a', 'an', 'the')], '_')"
+
+
+def _pattern_goal(head: str, p: str) -> str:
+    a, b = (_phrase(f"regexp_extract(q, '{p}', {i})") for i in (1, 2))
+    return f"when regexp_matches(q, '{p}') and {a} <> '' and {b} <> '' then '(: $prf ({head} ' || {a} || ' ' || {b} || ') $tv)'"
+
+
+@query(f"""
+with n as (select case_id, question, {normal('question')} as q from benchmark_cases),
+c as (select case_id, [{canon('t', False)} for t in regexp_extract_all(question, '[\\p{{L}}\\p{{N}}_-]+') if regexp_matches(t, '^[A-Z][A-Za-z0-9_-]*$')] as l from n)
+select case_id, case {' '.join(_pattern_goal(h, p) for h, p in planner.PATTERNS)} end as goal, list_filter(l, lambda x, i: x <> '' and list_position(l, x) = i) as constants from n join c using (case_id)
+""")
 def question_goals(spark, sf):
     return table(spark, sf, "benchmark_cases").select("case_id", planner.question_goal(F.col("question")).alias("goal"), text.question_constants(F.col("question")).alias("constants"))
 
 
+@query(f"""
+with n as (select case_id, {normal('question')} as q from benchmark_cases)
+select case_id, array_to_string(list_filter([case when contains(q, 'located at') or contains(q, 'located in') or contains(q, ' in the ') or contains(q, ' in a ') or contains(q, ' in an ') then 'AtLocation' end,
+  case when contains(q, 'used for') then 'UsedFor' end, case when contains(q, 'capable of') then 'CapableOf' end, case when contains(q, 'part of') then 'PartOf' end], lambda x: x is not null), ' ') as heads from n
+""")
+def preferred_heads(spark, sf):
+    return table(spark, sf, "benchmark_cases").select("case_id", F.array_join(planner.preferred_heads(F.col("question")), " ").alias("heads"))
+
+
 # Vectors.
 
 
@@ -518,26 +610,78 @@ def normal_distribution(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.round(dist.greater_than(d, F.lit(1000.0)), 6).alias("above"), F.round(area, 4).alias("area"))
 
 
+@query("select l_partkey, round(10 + sum(l_quantity), 6) as total, max(l_extendedprice) as dearest, count(*) as n from lineitem group by 1")
+def foldall_sum(spark, sf):
+    """Folds over all order lines of a part."""
+    rows = table(spark, sf, "lineitem")
+    total = reasoner.fold_all(rows, ["l_partkey"], F.col("l_quantity"), "+", 10.0).select("l_partkey", F.round("folded", 6).alias("total"))
+    most = reasoner.fold_all(rows, ["l_partkey"], F.col("l_extendedprice"), "max").withColumnRenamed("folded", "dearest")
+    n = reasoner.fold_all(rows, ["l_partkey"], F.lit(1.0), "count").select("l_partkey", F.col("folded").cast("long").alias("n"))
+    return total.join(most, "l_partkey").join(n, "l_partkey")
+
+
+@query("select l_suppkey, round(avg(l_quantity), 4) as mean, cast(count(distinct l_quantity) as int) as particles from lineitem group by 1")
+def average_dist(spark, sf):
+    """The average distribution of the quantities (1 to 50) of a supplier's order lines, each a point mass."""
+    points = table(spark, sf, "lineitem").select("l_suppkey", dist.point_mass(F.col("l_quantity")).alias("dist"))
+    return reasoner.average_dist(points, ["l_suppkey"]).select("l_suppkey", F.round(dist.mean(F.col("dist")), 4).alias("mean"), F.size("dist").alias("particles"))
+
+
+@query("""
+select p_partkey, round((p_size * 2.0 + (p_size + 10) * 2.0) / 2 + 1, 6) as shifted,
+  round(((case when p_size > 20 then 1 else 0 end) + (case when p_size > 30 then 1 else 0 end) + (case when p_size + 10 > 20 then 1 else 0 end) + (case when p_size + 10 > 30 then 1 else 0 end)) / 4.0, 6) as greater,
+  round((p_size + 5.0) * (p_retailprice + 50.0), 4) as product from part
+""")
+def greater_than_and_map(spark, sf):
+    """A two-point distribution of each part's size: mapped, compared with another distribution and multiplied with one."""
+    pair = lambda x, d: dist.from_pairs(F.array(x.cast("double"), (x + d).cast("double")), F.array(F.lit(1.0), F.lit(1.0)))
+    size, price = pair(F.col("p_size"), 10), pair(F.col("p_retailprice"), 100)
+    return table(spark, sf, "part").select(
+        "p_partkey",
+        F.round(dist.mean(dist.map_dist(size, lambda x: x * 2 + 1)), 6).alias("shifted"),
+        F.round(dist.greater_than_dist(size, pair(F.lit(20), 10)), 6).alias("greater"),
+        F.round(dist.mean(dist.reduced(dist.map2_dist(size, price, lambda a, b: a * b))), 4).alias("product"),
+    )
+
+
+@query("select 'supplier_' || l_suppkey as who, round(avg(l_quantity), 4) as mean from lineitem group by 1")
+def rule_average_dist(spark, sf):
+    """The average quantity of a supplier's order lines by a rule with an AverageDist premise."""
+    lines = table(spark, sf, "lineitem")
+    who, line = relational.named("supplier", "l_suppkey"), F.concat(F.col("l_orderkey").cast("string"), F.lit("_"), F.col("l_linenumber").cast("string"))
+    base = relational.fact(lines.select("l_suppkey").distinct(), "Supplier", who, F.lit("known")).withColumn("dist", F.lit(None).cast("array<struct<x:double,w:double>>"))
+    made = relational.fact(lines, "QuantityDist", who, line, dist.point_mass(F.col("l_quantity")))
+    rule = "(: avg (Implication (Premises (Supplier $s known) (AverageDist (QuantityDist $s $l) -> $d)) (Conclusions (AvgQuantityDist $s))) (STV 1.0 1.0))"
+    out = reasoner.apply_rules(base.unionByName(made), reasoner.parse_rule(rule))
+    return out.select(F.get("args", F.lit(0)).alias("who"), F.round(dist.mean(F.col("dist")), 4).alias("mean"))
+
+
 # Metrics.
 
 
 def _results(spark, sf):
-    e = table(spark, sf, "events")
+    e, i = table(spark, sf, "events"), F.col("event_id")
+    goal = lambda head: F.concat(F.lit("(: $prf ("), head, F.lit(" a b) $tv)"))
     return e.select(
         (F.col("user_id") % 3).alias("parser"),
-        (F.col("event_id") % 2 == 0).alias("proof_found"),
-        F.when(F.col("event_id") % 5 > 0, F.col("event_id") % 3 == 0).alias("expected"),
-        F.when(F.col("event_id") % 7 == 0, "no_query").when(F.col("event_id") % 7 == 1, "weakly_aligned").otherwise("well_aligned").alias("status"),
-        (F.col("event_id") % 11 == 0).alias("fallback_used"),
+        (i % 2 == 0).alias("proof_found"),
+        F.when(i % 5 > 0, i % 3 == 0).alias("expected"),
+        F.when(i % 7 == 0, "no_query").when(i % 7 == 1, "weakly_aligned").otherwise("well_aligned").alias("status"),
+        (i % 11 == 0).alias("fallback_used"),
+        F.when(i % 7 > 0, goal(F.col("event_type"))).alias("original_query"),
+        F.when(i % 7 > 0, F.when(i % 11 == 0, F.lit("(: $prf (Not (Other a)) $tv)")).otherwise(goal(F.col("event_type")))).alias("executed_query"),
         F.col("value").alias("seconds"),
-        F.when(F.col("event_id") % 4 > 0, F.col("value") * 2).alias("ingest_seconds"),
+        F.when(i % 4 > 0, F.col("value") * 2).alias("ingest_seconds"),
+        F.when(i % 3 > 0, F.col("value") * 3).alias("query_seconds"),
+        F.when(i % 6 > 0, F.col("value") / 2).alias("reasoning_seconds"),
     )
 
 
 _RESULTS = """
 r as (select user_id % 3 as parser, event_id % 2 = 0 as proof_found, case when event_id % 5 > 0 then event_id % 3 = 0 end as expected,
   case when event_id % 7 = 0 then 'no_query' when event_id % 7 = 1 then 'weakly_aligned' else 'well_aligned' end as status, event_id % 11 = 0 as fallback_used, value as seconds,
-  case when event_id % 4 > 0 then value * 2 end as ingest_seconds from events)
+  case when event_id % 4 > 0 then value * 2 end as ingest_seconds, case when event_id % 3 > 0 then value * 3 end as query_seconds, case when event_id % 6 > 0 then value / 2 end as reasoning_seconds,
+  case when event_id % 7 > 0 then event_type else '__unparsed__' end as asked, case when event_id % 7 = 0 then '__unparsed__' when event_id % 11 = 0 then 'Other' else event_type end as run from events)
 """
 
 
@@ -551,8 +695,9 @@ def parser_summary(spark, sf):
 
 
 @query(f"""
-with {_RESULTS} select parser, avg(proof_found::int) as proof_rate, avg(fallback_used::int) as fallback_rate, avg((status = 'no_query')::int) as no_query_rate, avg(fallback_used::int) filter (proof_found) as proxy_rate,
-  median(seconds) as median_seconds, median(ingest_seconds) as median_ingest_seconds from r group by 1
+with {_RESULTS} select parser, count(*) as cases, count(*) filter (proof_found) as proofs, avg(proof_found::int) as proof_rate, avg(fallback_used::int) as fallback_rate, avg((status = 'no_query')::int) as no_query_rate,
+  coalesce(avg((asked <> run)::int) filter (proof_found), 0.0) as proxy_rate, count(*) filter (proof_found and (asked = '__unparsed__' or run = '__unparsed__')) as unparsed_heads,
+  median(coalesce(ingest_seconds, 0) + coalesce(query_seconds, 0)) as median_ingest_plus_query, median(reasoning_seconds) as median_reasoning_seconds from r group by 1
 """)
 def analysis_summary(spark, sf):
     return metrics.analysis_summary(_results(spark, sf))
@@ -580,18 +725,24 @@ def ingest_report(spark, sf):
 # Extractions.
 
 
-@query()
+def _extractions(spark, sf):
+    """Extractions of every class but rules out of the triples: the class by relation, some without an attribute, with a
+    variable or with a fuzzy alignment."""
+    a = table(spark, sf, "conceptnet_assertions").select("assertion_id", "load_batch", "relation", *[F.regexp_extract(f"{c}_uri", "^/c/[a-z]+/([^/]*)", 1).alias(c) for c in ("start", "end")])
+    i = F.col("assertion_id")
+    subject = F.when(i % 17 == 0, F.lit("$x")).otherwise(F.replace("start", F.lit("_"), F.lit(" ")))
+    cls = (
+        F.when(F.col("relation") == "/r/IsA", "type_decl").when(F.col("relation") == "/r/HasProperty", "property").when(F.col("relation") == "/r/PartOf", "inheritance")
+        .when(F.col("relation") == "/r/Antonym", "negation").when(F.col("relation") == "/r/RelatedTo", "guess").otherwise("fact")
+    )
+    named = {"predicate": F.when(i % 13 > 0, F.substring("relation", 4, 40)), "subject": subject, "object": F.col("end"), "entity": subject, "type": F.col("end"), "property": F.lit("quality"), "value": F.col("end"), "child": subject, "parent": F.col("end")}
+    pairs = F.create_map(*[x for k, v in named.items() for x in (F.lit(k), v)])
+    return a.select("assertion_id", "load_batch", cls.alias("cls"), pairs.alias("attributes"), F.array().cast("array<string>").alias("arguments"), F.when(i % 9 == 0, "MATCH_FUZZY").otherwise("MATCH_EXACT").alias("alignment"))
+
+
+@query(EXTRACTIONS)
 def extraction_translate(spark, sf):
-    a = table(spark, sf, "conceptnet_assertions")
-    subject, obj = F.regexp_extract("start_uri", "^/c/[a-z]+/([^/]*)", 1), F.regexp_extract("end_uri", "^/c/[a-z]+/([^/]*)", 1)
-    rows = a.select(
-        "assertion_id",
-        F.when(F.col("relation") == "/r/IsA", "type_decl").when(F.col("relation") == "/r/HasProperty", "property").otherwise("fact").alias("cls"),
-        F.create_map(*[x for k, v in {"predicate": F.substring("relation", 4, 40), "subject": subject, "object": obj, "entity": subject, "type": obj, "property": F.lit("quality"), "value": obj}.items() for x in (F.lit(k), v)]).alias("attributes"),
-        F.array().cast("array<string>").alias("arguments"),
-        F.when(F.col("assertion_id") % 9 == 0, "MATCH_FUZZY").otherwise("MATCH_EXACT").alias("alignment"),
-    )
-    return extract.translate(rows).select("assertion_id", "stmt", "reason")
+    return extract.translate(_extractions(spark, sf), rules=False).select("assertion_id", "load_batch", "stmt", "reason")
 
 
 # Event windows (extensions).
