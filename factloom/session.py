@@ -35,18 +35,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests on one machine) a temporary one."""
+    """The folder named by spark.checkpoint.dir, or the session's checkpoint folder; where neither is set, a temporary one
+    on a single machine and an error on a cluster, whose executors would each write to a disk of their own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    set_ = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if set_.isDefined():
+        return set_.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _local_dirs:
         _local_dirs.append(tempfile.mkdtemp(prefix="factloom-"))
         atexit.register(shutil.rmtree, _local_dirs[0], ignore_errors=True)
     return f"file://{_local_dirs[0]}"
 
 
+#: One folder for the intermediate tables of this process.
+_RUN = f"factloom/{uuid.uuid4().hex}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/factloom/{label}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{_RUN}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Removes the intermediate tables of this process. DataFrames that read them end with it."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{_RUN}")
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
