@@ -47,6 +47,24 @@ def p3_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return cut.select("request_id", "text_no", F.posexplode("pieces").alias("piece_no", "piece"))
 
 
+def p3_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Per size: oversized texts, their characters, and pieces or texts that break a promise: pieces over the limit, texts
+    that the pieces without their overlaps do not give back, overlaps that differ from the end before them."""
+    rows = split.oversized_requests(table(spark, sf, "ingest_requests"), table(spark, sf, "ingest_settings"), keep_text=True).dropDuplicates(["request_id", "text_no"])
+    over = F.least(F.greatest(F.col("chunk_overlap"), F.lit(0)), F.col("chunk_size") - 1)
+    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("bad"))
+
+    def step(acc, p):
+        back = F.least(over, F.length(acc["text"]))
+        return F.struct(F.concat(acc["text"], p.substr(back + 1, F.length(p))).alias("text"), (acc["bad"] + (F.right(acc["text"], back) != p.substr(F.lit(1), back)).cast("int")).alias("bad"))
+
+    checked = rows.select("chunk_size", split.trimmed(F.col("text")).alias("whole"), F.aggregate("pieces", start, step).alias("r"), F.size(F.filter("pieces", lambda p: F.length(p) > F.col("chunk_size"))).alias("long"))
+    return checked.groupBy("chunk_size").agg(
+        F.count(F.lit(1)).alias("texts"), F.sum(F.length("r.text")).alias("characters"), F.sum("long").cast("long").alias("over_limit"),
+        F.sum("r.bad").cast("long").alias("bad_overlaps"), F.count_if(F.col("r.text") != F.col("whole")).alias("not_rebuilt"),
+    )
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     texts = sentences.request_texts(table(spark, sf, "ingest_requests"))
     return sentences.sentences(texts, "text", ["request_id", "text_no"]).select("request_id", "text_no", "end_pos").distinct()
@@ -71,6 +89,17 @@ def p6_pack(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(packing.token_sizes(table(spark, sf, "documents")), table(spark, sf, "context_budgets"))
 
 
+def p6_check(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents packed by characters: what is placed per capacity, and containers or items that break a promise."""
+    docs = table(spark, sf, "documents").where(F.col("text").isNotNull()).select("doc_id", F.length("text").cast("long").alias("tokens"))
+    rows = packing.pack(docs, table(spark, sf, "context_budgets"))
+    bins = rows.groupBy("budget_id", "capacity", "bin").agg(F.sum("tokens").alias("held"), F.count(F.lit(1)).alias("pieces"), F.count_if((F.col("piece") > 0) & (F.col("tokens") > F.col("capacity"))).alias("bad"))
+    return bins.groupBy("budget_id").agg(
+        F.sum("held").alias("placed"), F.sum("pieces").alias("pieces"), F.count_if(F.col("held") > F.col("capacity")).alias("overfull"),
+        (F.sum("held") >= 0.9 * F.sum("capacity")).alias("well_filled"),
+    )
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.leaked(table(spark, sf, "documents"), table(spark, sf, "benchmark_cases")).select("case_id", "doc_id")
 
@@ -89,5 +118,5 @@ def p8_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    each = (p1_found, p1_replay, p1_sample, p2_found, p2_batch, p3_found, p3_pieces, p4_found, p5_found, p5_counts, p6_pack, p7_found, p7_longest, p8_found, p8_labels)
+    each = (p1_found, p1_replay, p1_sample, p2_found, p2_batch, p3_found, p3_pieces, p3_check, p4_found, p5_found, p5_counts, p6_pack, p6_check, p7_found, p7_longest, p8_found, p8_labels)
     return {f.__name__: f for f in each}

@@ -8,7 +8,7 @@ array functions. Everything is a Column expression: no shuffle and no Python.
 
 Defined cases: white space at both ends is dropped first; NULL text, NULL or non-positive size gives NULL; a blank
 text gives no piece; a NULL or negative overlap counts as 0 and one of size or more as size - 1; a text no longer
-than the size is its only piece. Lengths are Unicode characters; a cut never parts a combining mark from its base
+than the size is its only piece. A boundary is seen behind up to 64 white-space characters. Lengths are Unicode characters; a cut never parts a combining mark from its base
 unless the marks alone exceed the limit.
 """
 
@@ -36,10 +36,10 @@ def _alternatives(limit: Column) -> Column:
     return F.concat_ws(
         "|",
         F.concat(whole, F.lit(r"\z")),
-        F.concat(upper, F.lit(r"(?<=\n[ \t\r]{0,8}\n)")),
-        F.concat(upper, F.lit(rf"(?<=[.!?…؟।]{CLOSE}{{0,3}}\s{{1,4}}|[。！？｡]{CLOSE}{{0,3}})(?!{CLOSE}|\s)")),
+        F.concat(upper, F.lit(r"(?<=\n)(?<=\n[ \t\r]{0,64}\n)")),
+        F.concat(upper, F.lit(rf"(?<=[\s。！？｡]|{CLOSE})(?<=[.!?…؟।]{CLOSE}{{0,3}}\s{{1,64}}|[。！？｡]{CLOSE}{{0,3}})(?!{CLOSE}|\s)")),
         F.concat(upper, F.lit(r"(?<=\n)")),
-        F.concat(upper, F.lit(r"(?<=[,;:،؛]\s{1,4}|[，；：、])(?!\s)")),
+        F.concat(upper, F.lit(r"(?<=[\s，；：、])(?<=[,;:،؛]\s{1,64}|[，；：、])(?!\s)")),
         F.concat(whole, F.lit(rf"(?<={SPACE})")),
         F.concat(whole, F.lit(r"(?![\p{M}‍︎️])(?<!‍)")),
         whole,
@@ -72,8 +72,8 @@ def split_texts(texts: DataFrame, text: str, size: str, overlap: str, out: str =
     return texts.withColumn(out, pieces(F.col(text), F.col(size), F.col(overlap)))
 
 
-def oversized_requests(requests: DataFrame, settings: DataFrame) -> DataFrame:
-    """request_id, text_no, chunk_size and pieces of each entry of texts that its request's setting makes too long.
+def oversized_requests(requests: DataFrame, settings: DataFrame, keep_text: bool = False) -> DataFrame:
+    """request_id, text_no, chunk_size, chunk_overlap and pieces (and the text, on request) of each entry of texts that its request's setting makes too long.
 
     Redelivered requests count once. settings is a small fixed table, which Spark broadcasts below its threshold
     and joins by shuffle above it. Only narrow keys are shuffled.
@@ -83,4 +83,4 @@ def oversized_requests(requests: DataFrame, settings: DataFrame) -> DataFrame:
         F.col("text").isNotNull()
     )
     cut = split_texts(entries.join(setting, "setting_id"), "text", "chunk_size", "chunk_overlap")
-    return cut.where(F.size("pieces") > 1).select("request_id", "text_no", "chunk_size", "chunk_overlap", "pieces")
+    return cut.where(F.size("pieces") > 1).select("request_id", "text_no", "chunk_size", "chunk_overlap", "pieces", *(["text"] if keep_text else []))

@@ -91,6 +91,38 @@ from t join ingest_settings using (setting_id)
 where length(regexp_replace(text, '^{SPACE}+|{SPACE}+$', '', 'g')) > chunk_size
 """
 
+P3_CHECK = f"""
+with r as (select distinct request_id, setting_id, texts from ingest_requests where texts is not null and len(texts) > 0),
+t as (select request_id, setting_id, unnest(texts) as text, unnest(range(len(texts))) as text_no from r),
+u as (select distinct request_id, text_no, chunk_size, length(regexp_replace(text, '^{SPACE}+|{SPACE}+$', '', 'g')) as n from t join ingest_settings using (setting_id))
+select chunk_size, count(*) as texts, cast(sum(n) as bigint) as characters, 0::bigint as over_limit, 0::bigint as bad_overlaps, 0::bigint as not_rebuilt from u where n > chunk_size group by 1
+"""
+
+P6_CHECK = """
+select budget_id, cast(sum(length(text)) as bigint) as placed, cast(sum(ceil(length(text) / capacity_tokens)) as bigint) as pieces, 0::bigint as overfull, true as well_filled
+from documents, context_budgets where length(text) > 0 group by 1
+"""
+
+P7_LONGEST = r"""
+with e as (
+  select case_id, cast(n as int) as entry_no, text from (select case_id, unnest(texts) as text, unnest(range(len(texts))) as n from benchmark_cases)
+  union all select case_id, -1, question from benchmark_cases
+), ew as (
+  select case_id, entry_no, regexp_extract_all(lower(nfc_normalize(text)), '[\p{L}\p{N}]+') as w from e where text is not null
+), eg as (
+  select case_id, entry_no, i, array_to_string(w[i:i + 11], ' ') as gram from (select case_id, entry_no, w, unnest(range(1, len(w) - 10)) as i from ew where len(w) >= 12)
+), dw as (
+  select doc_id, regexp_extract_all(lower(nfc_normalize(text)), '[\p{L}\p{N}]+') as w from documents where text is not null
+), dg as (
+  select doc_id, j, gram from (select doc_id, j, array_to_string(w[j:j + 11], ' ') as gram from (select doc_id, w, unnest(range(1, len(w) - 10)) as j from dw where len(w) >= 12)) where gram in (select gram from eg)
+), m as (
+  select case_id, entry_no, doc_id, i, j, j - i as d, i - row_number() over (partition by case_id, entry_no, doc_id, j - i order by i) as run from eg join dg using (gram)
+), runs as (
+  select case_id, entry_no, doc_id, count(*) + 11 as words, min(j) - 1 as doc_word, min(i) - 1 as entry_word from m group by case_id, entry_no, doc_id, d, run
+), best as (select *, row_number() over (partition by case_id, entry_no, doc_id order by words desc, doc_word, entry_word) as k from runs)
+select case_id, entry_no, doc_id, cast(words as int) as words, cast(doc_word as int) as doc_word, cast(entry_word as int) as entry_word from best where k = 1
+"""
+
 _CANON = "list_sort([regexp_replace(lower(x), '[^\\p{L}\\p{N}]+', '', 'g') for x in %s if x is not null])"
 
 P5_KEYS = f"""
@@ -133,4 +165,4 @@ select distinct case_id, doc_id from eg join dg using (gram)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p1_replay": P1_REPLAY, "p1_sample": P1_SAMPLE, "p3_found": P3_FOUND, "p5_found": P5_FOUND, "p5_counts": P5_COUNTS, "p7_found": P7_FOUND}
+    return {"p1_found": P1_FOUND, "p1_replay": P1_REPLAY, "p1_sample": P1_SAMPLE, "p3_found": P3_FOUND, "p5_found": P5_FOUND, "p5_counts": P5_COUNTS, "p7_found": P7_FOUND, "p3_check": P3_CHECK, "p6_check": P6_CHECK, "p7_longest": P7_LONGEST}

@@ -65,3 +65,9 @@ def test_requests(spark):
     got = oversized_requests(requests, settings).select("request_id", "text_no").distinct().collect()
     assert [tuple(r) for r in got] == [(1, 0)]
     assert oversized_requests(requests.limit(0), settings).count() == 0
+
+
+def test_boundary_behind_a_long_gap(spark):
+    gap = " " * 30
+    assert cut(spark, f"Aaaa bbbb cccc dddd eeee ffff.{gap}Gggg hhhh, iiii jjjj kkkk llll mmmm nnnn oooo", 70, 0)[0] == f"Aaaa bbbb cccc dddd eeee ffff.{gap}"
+    assert cut(spark, f"Aaaa bbbb cccc dddd\n{gap}\nGggg hhhh. iiii jjjj kkkk llll mmmm nnnn oooo pppp", 70, 0)[0] == f"Aaaa bbbb cccc dddd\n{gap}\n"
