@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions.text import slug
@@ -74,9 +74,10 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.col("nl").isNotNull() & F.col("pln").isNotNull()).drop("_bad")
 
 
-def cases(spark: SparkSession, path: str) -> DataFrame:
-    """Benchmark cases of either spelling: question or user_query, texts, premises or input_text."""
-    raw = spark.read.schema(CASE).option("multiLine", True).json(path)
+def cases(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Benchmark cases of either spelling: question or user_query, texts, premises or input_text; from one JSON list a
+    file, or from JSON lines."""
+    raw = spark.read.schema(CASE).option("multiLine", multi_line).json(path)
     name = F.coalesce("name", "id", "case_id", slug(F.coalesce("question", "user_query", F.lit("case"))))
     texts = F.coalesce("texts", "premises", F.when(F.col("input_text").isNotNull(), F.array("input_text")))
     expected = F.when(F.col("expected_proof").isNotNull(), F.lower(F.trim("expected_proof")).isin("1", "true", "yes", "y"))
@@ -87,7 +88,7 @@ def pick_cases(rows: DataFrame, wanted: str | list[str] | None = None, limit: in
     """Cases whose case_id, id or name is wanted; at most limit of them."""
     if wanted is not None:
         names = [wanted] if isinstance(wanted, str) else list(wanted)
-        rows = rows.where(F.col("case_id").isin(names) | F.col("id").isin(names) | F.col("name").isin(names))
+        rows = rows.where(F.col("case_id").cast("string").isin(names) | F.col("id").cast("string").isin(names) | F.col("name").isin(names))
     return rows.limit(limit) if limit else rows
 
 
@@ -115,6 +116,15 @@ def is_stale(found: dict | None, source_file: str, version: int, min_weight: flo
     return found is None or any(found.get(k) != v for k, v in want.items())
 
 
+def stale(version: int, min_weight: float, coverage: float, seed: int) -> Column:
+    """Whether a manifest row was made with other settings; NULLs count as other."""
+    want = {"normalization_version": version, "min_weight": min_weight, "coverage_percent": coverage, "sample_seed": seed}
+    out = F.lit(False)
+    for name, value in want.items():
+        out = out | ~F.col(name).eqNullSafe(F.lit(value))
+    return out
+
+
 def write_background(emitted: DataFrame, atoms_path: str, records_path: str) -> None:
     """Atom lines and JSON records of emitted triples."""
     emitted.select("atom").write.mode("overwrite").text(atoms_path)
