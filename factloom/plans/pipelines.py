@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.functions import text
-from factloom.operators import atoms, extract, kb, metrics, planner, postprocess, reasoner, triples, vectors
+from factloom.operators import atoms, extract, hints, kb, metrics, planner, postprocess, reasoner, triples, vectors
 from factloom.plans import relational
 from factloom.plans.catalog import _ALIGNED, _NATION_SCORES, _extractions, _nation_goals, _nation_signatures, _statements, query
-from factloom.plans.sqltext import EXTRACTIONS, FLAT, REASON, SCORE, STATEMENTS, TRIPLES, canon, snake
+from factloom.plans.sqltext import EXTRACTIONS, FLAT, REASON, SCORE, STATEMENTS, TRIPLES, canon, normal, snake, words
 from factloom.session import scratch_path, table
 from factloom.sources import files
 from factloom.streaming import ingest
@@ -298,3 +298,46 @@ def kb_sizes(spark, sf):
     """Numbers of records by kind, in one pass."""
     b = F.col("background")
     return table(spark, sf, "vector_records").agg(F.count_if(b).alias("background"), F.count_if(~b).alias("own"), F.count_if(F.col("source").isNull()).alias("without_source"))
+
+
+@query("""
+with q as (select vec_id, embedding from embeddings where vec_id % 50 = 0), p as (select vec_id, embedding, 'sentence ' || label as nl from embeddings where vec_id % 50 <> 0),
+s as (select q.vec_id as proof_id, p.nl, round(list_cosine_similarity(q.embedding::double[], p.embedding::double[]), 12) as score, p.vec_id from q, p),
+r as (select *, row_number() over (partition by proof_id order by score desc, vec_id) as k from s)
+select proof_id, nl from r where k = 1 and score > 0.2
+""")
+def source_nearest(spark, sf):
+    """The sentence nearest to the atom of a proof, with vectors that the atoms spell out."""
+    e = table(spark, sf, "embeddings")
+    atom = F.concat(F.lit("(at "), F.array_join(F.transform("embedding", lambda x: x.cast("string")), " "), F.lit(")"))
+    proofs = e.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("proof_id"), F.concat(F.lit("("), atom, F.lit(" (STV 1.0 1.0))")).alias("proof"))
+    points = e.where(F.col("vec_id") % 50 != 0).select("vec_id", "embedding", F.concat(F.lit("sentence "), F.col("label").cast("string")).alias("nl"))
+    spelled = lambda text_: F.transform(F.slice(F.split(text_, " "), 2, 64), lambda x: x.cast("float"))
+    return vectors.source_lookup(proofs, points, spelled, least=0.2)
+
+
+@query(f"""
+with n as (select case_id, question, string_split({normal('question')}, ' ') as w, {normal('question')} as q, texts from benchmark_cases)
+select case_id, case when q = '' then [] else list_filter([
+  case when w[1] in ({words(text.YES_NO_WORDS)}) then '; intent: yes-no question, prefer a goal that can be proved directly' when list_has_any(w, [{words(hints.QUESTION_WORDS)}]) then '; intent: open question, prefer a goal with a variable' end,
+  case when list_has_any(w, [{words(hints.EXISTENTIAL_WORDS)}]) then '; existential wording: a helper predicate is allowed where no direct goal can be derived' end,
+  case when list_has_any(w, ['not', 'never']) then '; negation only where facts or rules state it' end,
+  '; predicates to use first: IsA, STV, PartOf',
+  case when ends_with(question, '?') then '; keep what the question asks and a goal that can be run' end], lambda x: x is not null) end as lines from n where question is not null
+""")
+def question_hints(spark, sf):
+    """What a translator is told of each question, in a context of two statements."""
+    known = F.lit("(: a (IsA x y) (STV 1 1)) (: b (PartOf x y) (STV 1 1))")
+    q = table(spark, sf, "benchmark_cases").where("question is not null")
+    return q.select("case_id", hints.question_hints(F.col("question"), known, full=True).alias("lines"))
+
+
+@query(f"""
+with {STATEMENTS}, h as (select record_id, pos, regexp_extract_all(stmt, '\\(([A-Za-z][A-Za-z0-9_]*)', 1) as l from tidy),
+d as (select record_id, pos, list_filter(l, lambda x, i: list_position(l, x) = i and x not in ('Implication', 'Premises', 'Conclusions', 'STV', 'And', 'Or', 'Not', 'IsA')) as l from h),
+k as (select record_id, pos, ['known-one'] || list_filter(l, lambda x: x <> 'known-one') as l from d)
+select record_id, cast(pos as int) as pos, array_to_string([x || '->' || replace({snake('x')}, '_', '-') for x in l[1:24]], ', ') as pairs from k
+""")
+def vocabulary_pairs(spark, sf):
+    pairs = extract.vocabulary_pairs(F.array(F.lit("known-one")), F.array("stmt"))
+    return _statements(spark, sf).select("record_id", "pos", pairs.alias("pairs"))

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 _local_dirs: list[str] = []
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
-    """A single-JVM session for tests and benchmarks."""
+def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **config: str) -> SparkSession:
+    """A single-JVM session for tests and benchmarks; config overrides what is set here."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("factloom")
@@ -26,6 +26,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.warehouse.dir", os.path.join(tempfile.gettempdir(), "factloom-warehouse"))
+        .config(map=config)
         .getOrCreate()
     )
 

@@ -10,7 +10,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from factloom.session import local_session
 
-    session = local_session(8, 4)
+    # tables of a few rows: tasks and compiled code cost more than the rows
+    session = local_session(8, 2, **{"spark.default.parallelism": "2", "spark.sql.codegen.wholeStage": "false", "spark.sql.adaptive.enabled": "false"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
