@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import dist
-from factloom.functions.text import canonical_symbol
+from factloom.functions.text import canonical_symbol, let
 from factloom.operators import atoms
 
 
@@ -17,8 +17,9 @@ def parse_statements(statements: DataFrame, column: str = "stmt") -> DataFrame:
     inner = F.coalesce(atoms.body_of(s), F.regexp_extract(s, r"^\(:\s+[^\s()]+\s+(\([^()]+\)|\(Not\s+\([^()]+\)\s*\))\s+\(", 1))
     parsed = statements.withColumn("body", F.nullif(inner, F.lit("")))
     negated = F.regexp_extract("body", r"^\(Not\s+(\([^()]+\))\s*\)$", 1)
-    parsed = parsed.withColumn("sig", atoms.parse_flat(F.when(negated != "", negated).otherwise(F.col("body"))))
-    mark = F.when(negated != "", "Not:").otherwise("")
+    flat = F.when(F.col("body").startswith("(Not"), F.coalesce(F.nullif(negated, F.lit("")), F.col("body"))).otherwise(F.col("body"))
+    parsed = parsed.withColumn("sig", let(flat, atoms.parse_flat))
+    mark = F.when(F.col("body").startswith("(Not"), "Not:").otherwise("")
     return parsed.select(
         "*",
         atoms.name_of(s).alias("name"),
@@ -51,24 +52,22 @@ def append(statements: DataFrame, path: str, column: str = "stmt") -> DataFrame:
     return bad
 
 
-def _first_by(facts: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """First fact of each wanted key by seq: facts are reduced to the keys asked for, by a join that the planner makes a
-    filter before the shuffle where it can, and combined before theirs, so that a join meets one row per key."""
-    asked = wanted.select("key").where("key is not null").distinct()
-    held = facts.select(F.col(key).alias("key"), "stmt", "seq").where("key is not null")
-    return held.join(asked, "key", "left_semi").groupBy("key").agg(F.min_by("stmt", "seq").alias("proof"))
+def _first_by(facts: DataFrame, key: str) -> DataFrame:
+    """First fact of each key by seq, combined before the shuffle, so that a join meets one row per key. Keys are often
+    computed, so facts are not filtered by the goals' keys first: that would compute them again."""
+    return facts.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.min_by("stmt", "seq").alias("proof"))
 
 
 def lookup_exact(goals: DataFrame, facts: DataFrame) -> DataFrame:
     """goals(goal_id, goal) with the first fact (by seq) whose body is the ground goal's; NULL where there is none."""
     wanted = goals.select("goal_id", atoms.ground_goal(F.col("goal")).alias("key"))
-    return wanted.join(_first_by(facts, "body", wanted), "key", "left").select("goal_id", "proof")
+    return wanted.join(_first_by(facts, "body"), "key", "left").select("goal_id", "proof")
 
 
 def lookup_canonical(goals: DataFrame, facts: DataFrame) -> DataFrame:
     """As lookup_exact, by head and canonical arguments."""
     wanted = goals.select("goal_id", canonical_key(atoms.parse_flat(atoms.ground_goal(F.col("goal")))).alias("key"))
-    return wanted.join(_first_by(facts, "canon_key", wanted), "key", "left").select("goal_id", "proof")
+    return wanted.join(_first_by(facts, "canon_key"), "key", "left").select("goal_id", "proof")
 
 
 def lookup(goals: DataFrame, facts: DataFrame) -> DataFrame:
