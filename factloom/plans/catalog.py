@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import dist, text
-from factloom.operators import atoms, chunk, extract, hints, kb, metrics, planner, reasoner, triples, vectors
+from factloom.operators import atoms, chunk, closure, extract, hints, kb, metrics, planner, reasoner, triples, vectors
 from factloom.plans import relational
 from factloom.plans.sqltext import BATCHES, CHUNKS, CONCEPTS, EXTRACTIONS, FLAT, PARAGRAPHS, REASON, SCORE, SENTENCES, STATEMENTS, TRIPLES, UNITS, YES_NO, canon, normal, normal_particles, plural, singular
 from factloom.session import table
@@ -354,16 +354,9 @@ def rule_transitive_closure(spark, sf):
 
 @query()
 def rule_transitive_closure_triples(spark, sf):
-    """All that IsA and PartOf reach over the eligible triples, each by itself. The rule is linear, so a round joins the
-    newest pairs with the triples only."""
+    """All that IsA and PartOf reach over the eligible triples, each by itself."""
     rows = triples.eligible(table(spark, sf, "conceptnet_assertions")).where(F.col("predicate").isin("IsA", "PartOf"))
-    one = F.lit(1.0)
-    edges = rows.select("predicate", F.array("source", "target").alias("args")).distinct()
-    edges = edges.select(F.inline(F.array(*[F.struct(F.concat("predicate", F.lit(k)).alias("head"), "args", one.alias("s"), one.alias("c")) for k in ("", "Reaches")])))
-    rule = "(: trans (Implication (Premises ({0} $x $y) ({0}Reaches $y $z)) (Conclusions ({0}Reaches $x $z))) (STV 1.0 1.0))"
-    out = reasoner.fixpoint(edges, [r for p in ("IsA", "PartOf") for r in reasoner.parse_rule(rule.format(p))])
-    reached = out.where(F.col("head").isin("IsAReaches", "PartOfReaches"))
-    return reached.select(F.regexp_replace("head", "Reaches$", "").alias("predicate"), F.get("args", F.lit(0)).alias("a"), F.get("args", F.lit(1)).alias("b"))
+    return closure.closure(rows.select("predicate", F.col("source").alias("a"), F.col("target").alias("b")))
 
 
 @query("select 'part_' || p_partkey as who from part where p_partkey not in (select l_partkey from lineitem where l_quantity > 49)")
